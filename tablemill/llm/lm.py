@@ -446,7 +446,7 @@ class Pairs:
         return out
 
 
-def learn(df: DataFrame, weight: float = 4.0, folder: str | None = None) -> dict:
+def learn(df: DataFrame, weight: float = 32.0, folder: str | None = None) -> dict:
     """The model of the training documents of (doc_id, text): where its files are, and its totals."""
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "lm")
@@ -483,6 +483,6 @@ def score(df: DataFrame, model: dict) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(df: DataFrame, weight: float = 4.0) -> DataFrame:
+def score_documents(df: DataFrame, weight: float = 32.0) -> DataFrame:
     """Learn from the training folds and score every document, the held-out ones too."""
     return score(df, learn(df, weight))
