@@ -48,7 +48,11 @@ def _starts(s: Column, pattern: str) -> Column:
 def answer_unit(folded: Column) -> Column:
     """struct(kind, scale): a year or a count if asked for; else the first unit after the last ask phrase that has one after it, else the last unit; else VND."""
     unit = lambda kind, scale: F.struct(F.lit(kind).alias("kind"), F.lit(scale).alias("scale"))
-    found = F.concat(*(F.transform(_starts(folded, p), lambda at, i=i, k=k, x=x: F.struct(at.alias("at"), F.lit(i).alias("order"), F.lit(k).alias("kind"), F.lit(x).alias("scale"))) for i, (p, k, x) in enumerate(packs.ANSWER_UNITS)))
+
+    def hit(order: int, kind: str, scale: float):
+        return lambda at: F.struct(at.alias("at"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), F.lit(scale).alias("scale"))
+
+    found = F.concat(*(F.transform(_starts(folded, p), hit(i, k, x)) for i, (p, k, x) in enumerate(packs.ANSWER_UNITS)))
 
     def choose(hits: Column) -> Column:
         def after_ask(asks: Column) -> Column:

@@ -69,7 +69,7 @@ def solve_ratio_of_labels(ir: DataFrame, facts: DataFrame) -> DataFrame:
 def aligned_values(ir: DataFrame, facts: DataFrame) -> DataFrame:
     """(qid, items): of each question its targets' aligned facts as (ticker, year, at, v, f), by ticker and year. A question's targets are few."""
     q = ir.select("qid", "tickers")
-    a = lookup_aligned(ir, facts).join(q, "qid").withColumns({"v": F.col("value_raw") * F.col("unit_scale"), "at": F.array_position("tickers", F.col("ticker"))})
+    a = lookup_aligned(ir, facts).join(q, "qid").withColumns({"v": F.col("value_raw") * F.col("unit_scale"), "at": F.array_position("tickers", F.col("ticker")).cast("int")})
     item = F.struct("ticker", F.col("period_year").alias("year"), F.col("at"), F.col("v"), evidence().alias("f"))
     return a.groupBy("qid").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
