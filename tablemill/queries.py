@@ -14,6 +14,7 @@ from tablemill.functions import numbers, periods, text, vectors
 from tablemill.operators import bm25, documents, emit, facts, grids, locate, lookup, patch, prompts, quality, questions, retrieve, solve, verify
 from tablemill.operators import vectors as vector_search
 from tablemill.plans import ir as plan_ir
+from tablemill.session import store
 from tablemill.sources import html, reports, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,15 +119,15 @@ golden(
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.documents(statements.render(spark, sf_dir))
+    return reports.documents(store(statements.render(spark, sf_dir), "reports"))
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.tables(_docs(spark, sf_dir))
+    return store(reports.tables(_docs(spark, sf_dir)), "tables")
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.extract(_tables(spark, sf_dir))
+    return store(facts.extract(_tables(spark, sf_dir)), "facts")
 
 
 _DOCS_SQL = f"WITH {statements.TRUTH_SQL}, docs AS (SELECT t.*, ticker || '_' || CAST(year AS VARCHAR) || '_consolidated' AS doc_id, EXISTS (SELECT 1 FROM truth p WHERE p.ticker = t.ticker AND p.year = t.year - 1) AS has_last FROM truth t)"
@@ -567,7 +568,7 @@ golden(
 
 
 def _irs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return questions.parse(statements.questions(spark, kind), statements.companies(spark, sf_dir))
+    return store(questions.parse(statements.questions(spark, kind), statements.companies(spark, sf_dir)), "questions")
 
 
 def _solved(kind: str, sql: str) -> None:
