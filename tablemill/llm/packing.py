@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import column, materialise, text_chunks
 from .pretokens import MemoEncoder
 
-#: Groups that the pieces of one length are dealt into, to number them without one task for a common length.
-RANK_GROUPS = 256
+#: Pieces that a group has about, of those that each length is dealt into, so that a common length is numbered by many tasks; and the fewest groups.
+GROUP_PIECES, LEAST_GROUPS = 100_000, 32
 
 
 class SegmentTree:
@@ -142,9 +143,23 @@ def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int,
 
         def encode_many(pretokens: list[str]) -> Iterator[bytes]:
             for e in tokenizer.encode_batch_fast(pretokens, add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-
-        memo, end = MemoEncoder(pattern, encode_many), np.array([end_id], "<u4").tobytes()
+                yield array("I", e.ids).tobytes()
+
+        # ids whose token starts with the byte-mapped space; of words in a row each starts with one
+        starts = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
+
+        def encode_words(words: list[str]) -> Iterator[bytes]:
+            """Words that start with a space, many in one call of the library; each is a pre-token, so its ids are its own."""
+            for k in range(0, len(words), 500):
+                ids = np.array(tokenizer.encode("".join(words[k : k + 500]), add_special_tokens=False).ids, "<u4")
+                cuts = [*np.flatnonzero(starts[ids]).tolist(), len(ids)]
+                if len(cuts) - 1 != len(words[k : k + 500]):
+                    raise ValueError("words and pre-tokens differ")
+                raw = ids.tobytes()
+                for a, b in zip(cuts, cuts[1:]):
+                    yield raw[4 * a : 4 * b]
+
+        memo, end = MemoEncoder(pattern, encode_many, encode_words), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part, texts in text_chunks(batch):
                 rows: list[tuple[int, int, int, int, int]] = []
@@ -173,15 +188,15 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         raise ValueError(f"a length is not in 1..{capacity}")
     rows, _ = best_fit_plan(counts, capacity)
     names = [c for c in pieces.columns if c != "length"]
-    key = F.pmod(F.xxhash64(*names), F.lit(RANK_GROUPS)) if names else F.lit(0)
+    key = F.pmod(F.xxhash64(*names), F.lit(max(LEAST_GROUPS, sum(counts.values()) // GROUP_PIECES))) if names else F.lit(0)
     dealt = pieces.withColumn("_group", key)
-    # ranks: one within (length, group), after what the length's earlier groups hold; the groups' counts are bounded
+    # ranks: one within (length, group), after what the length's earlier groups hold; both are dealt by (length, group)
     held = dealt.groupBy("length", "_group").count()
     before = held.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "_group", F.coalesce("_before", F.lit(0)).alias("_before"))
     order = [F.col(c) for c in names] or [F.lit(0)]
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "_group"])  # at most capacity x RANK_GROUPS rows
+    ranked = ranked.join(before, ["length", "_group"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_group", "_before")
     plan = pieces.sparkSession.sparkContext.broadcast(rows)  # bounded by the capacity, not by the input
     from pyspark.sql.types import LongType, StructType

@@ -3,64 +3,80 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import regex
 
 #: Entries of either memo after which it starts anew, and the longest key that is kept.
-MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 1_400_000, 48
+#: Marks that follow words.
+MARKS = ".,;:?!"
 
 
 class MemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    A pre-token never reaches over the start of a run of white space, nor over the last space before a word, so a text
-    can be cut at such spaces and each part looked up. Texts with a space inside a longer run take the pattern itself.
-    encode_many: from pre-tokens to the ids of each, as bytes.
+    A pre-token starts at every space that a word or mark follows, so a text can be cut before such spaces and each part looked up, as what
+    stands after the space. A part that is empty or starts with white space means a space inside a run; its text takes the pattern itself.
+    encode_many: from pre-tokens to the ids of each, as bytes; encode_words: the same for pre-tokens that are a space and letters.
     """
 
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable[bytes]]):
+    def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], Iterable[bytes]] | None = None):
         self.find = regex.compile(pattern).findall
-        self.encode_many = encode_many
-        self.parts: dict[str, bytes] = {}
+        self.encode_many, self.encode_words = encode_many, encode_words or encode_many
+        self.parts: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
-        self.odd: set[str] = set()
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         split = [self.find(t) for t in texts]
         seen = self.pieces
-        new = list({p for s in split for p in s if p not in seen})
-        extra = {}
-        for p, ids in zip(new, self.encode_many(new) if new else ()):
-            (seen if len(p) <= MEMO_CHARS else extra)[p] = ids
-        out = [b"".join([seen[p] if p in seen else extra[p] for p in s]) for s in split]
+        new = list(set(chain.from_iterable(split)).difference(seen))
+        seen.update(zip(new, self.encode_many(new) if new else ()))
+        out = [b"".join(map(seen.__getitem__, s)) for s in split]
+        for p in new:
+            if len(p) > MEMO_CHARS:
+                del seen[p]
         if len(seen) > MEMO_ENTRIES:
             seen.clear()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        heads, split = [], []
         for t in texts:
             s = t.split(" ")
-            s[1:] = [" " + x for x in s[1:]]
+            heads.append(s[0])
+            del s[0]
             split.append(s)
         known = self.parts
-        new = list({p for s in split for p in s if p not in known})
-        self.odd.update(p for p in new if not p.strip() or p[-1].isspace() or p[0].isspace() and (p[0] != " " or p[1].isspace()))
-        plain = [p for p in new if p not in self.odd]
-        extra = {}
-        for p, ids in zip(plain, self._pieces(plain)):
-            (known if len(p) <= MEMO_CHARS else extra)[p] = ids
-        out: list[bytes] = [b""] * len(texts)
+        new = list(set(chain.from_iterable(split)).difference(known))
+        # most parts are a word, or a word and one mark, which is a pre-token of its own
+        marked = [p for p in new if p[-1:] in MARKS and p[:-1].isalpha()]
+        words = list({p for p in new if p.isalpha()}.union([p[:-1] for p in marked]).difference(known))
+        known.update(zip(words, self.encode_words([" " + p for p in words]) if words else ()))
+        if marked:
+            ids = dict(zip(MARKS, self._pieces(list(MARKS))))
+            known.update([(p, known[p[:-1]] + ids[p[-1]]) for p in marked])
+        rest = [p for p in new if p not in known]
+        odd = [p for p in rest if not p or p[0].isspace()]
+        known.update(dict.fromkeys(odd))
+        plain = [p for p in rest if p not in known]
+        known.update(zip(plain, self._pieces([" " + p for p in plain])))
+        first = self._pieces(heads)
+        out: list[bytes] = []
         whole = []
         for i, s in enumerate(split):
-            if self.odd.isdisjoint(s):
-                out[i] = b"".join(map(known.__getitem__, s)) if not extra else b"".join([known[p] if p in known else extra[p] for p in s])
-            else:
+            try:
+                out.append(first[i] + b"".join(map(known.__getitem__, s)))
+            except TypeError:  # None: a space inside a run
+                out.append(b"")
                 whole.append(i)
         for i, ids in zip(whole, self._pieces([texts[i] for i in whole])):
             out[i] = ids
+        for p in {*new, *words}:
+            if len(p) > MEMO_CHARS:
+                del known[p]
         if len(known) > MEMO_ENTRIES:
             known.clear()
-        if len(self.odd) > MEMO_ENTRIES:
-            self.odd.clear()
         return out
