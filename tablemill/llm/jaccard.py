@@ -5,10 +5,12 @@ hash space. Two sets over the threshold differ in at most k shingles, so among m
 keyed by (size class, block, contents of the block): every block whose contents differ is skipped without being read. (Lists of single
 prefix tokens, the usual form, hold every document that shares a common passage; a block's contents do not.)
 
-Answers from a highly similar set. In each list the least set is the leader, and only its pairs are computed at first. What a
-member has in common with its leader bounds what two members have in common:
-    |x & L| + |y & L| - |L|  <=  |x & y|  <=  min(|x & L|, |y & L|) + min(|x \\ L|, |y \\ L|)
-so that most further pairs are linked or skipped without reading either set; pairs inside one component need no answer at all. Only the rest are computed.
+Answers from a highly similar set. In each list the least set L is the leader, and only its pairs are computed at first, as differences: what a
+member x lacks of L and what it adds. They give any two members' intersection without their texts:
+    |x & y| = |L| - |L\\x| - |L\\y| + |both lack| + |both add|
+Members that are linked to their leader are in one component, and pairs inside a component need no answer. Two members of different components can only be
+linked if their differences have at least c elements in common, c known from the sizes; so a prefix of each difference, rarest first, is indexed,
+and only members that share an element of their prefixes are compared. Members that are unlike their leader are led anew, by the blocks of another permutation.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, column, components, fresh_name, hash_words, materialise, mix, row_key, seeded, signed, starts_of, text_chunks
 
-#: Ratio of the size classes' ends, permutations that sets with many empty blocks may take, and pairs up to which a list's members are compared without another cut.
-CLASS_RATIO, PERMUTATIONS, LIST_PAIRS = 0.6, 3, 20_000
+#: Ratio of the size classes' ends, and permutations that sets with many empty blocks may take.
+CLASS_RATIO, PERMUTATIONS = 0.6, 3
+#: Similarity, in percent, from which a member is like its leader.
+ALIKE = 50
 #: Members of a leader that share a copy of its text.
 LEADER_SHARE = 64
 
@@ -66,8 +70,8 @@ def class_of(n: int) -> int:
 
 
 @cache
-def scheme(c: int, percent: int) -> int:
-    """The blocks of a class. Its lists hold its own sets and the smaller sets that can reach one of its own.
+def scheme(c: int, percent: int) -> tuple[int, int]:
+    """The blocks of a class, and the most shingles that two sets of it differ in if they are linked. Its lists hold its own sets and the smaller sets that can reach one of its own.
 
     One more than the shingles that two of its sets can differ in, and some more for the empty blocks that its largest sets have.
     """
@@ -76,8 +80,8 @@ def scheme(c: int, percent: int) -> int:
     for m in range(k + 1, 2 * k + 2):
         mean = m * math.exp(-largest / m)
         if m - k - 1 >= mean + 2 * math.sqrt(mean) - 0.5:
-            return m
-    return k + 1
+            return m, k
+    return k + 1, k
 
 
 def keys_of(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
@@ -87,13 +91,13 @@ def keys_of(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
     blocks that stay equal at least, less one, then one that is equal is not empty. A set with more takes another permutation too, and at last its empty blocks.
     """
     n, out = len(s), []
-    differ = n * (100 - percent) // percent
     c = class_of(n)
     classes = [c]
     while 100 * n >= percent * smallest(classes[-1] + 1):
         classes.append(classes[-1] + 1)
     for own in classes:
-        m = scheme(own, percent)
+        m, k = scheme(own, percent)
+        differ = min(k, n * (100 - percent) // percent)
         for turn in range(PERMUTATIONS):
             x = s if not turn and not salt else np.sort(seeded(s, 1 + turn + salt))
             block = (x >> U64(32)) * U64(m) >> U64(32)  # ascending, as x is
@@ -188,10 +192,11 @@ def led(lists: DataFrame) -> DataFrame:
     return lists.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, leader long, ln int, node long, n int")
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(a, b, na, nb, o) for distinct pairs (a, b), a given as the one with more pairs; texts: (node, text), one row a node.
+def differences(pairs: DataFrame, texts: DataFrame, n: int, alike: int) -> DataFrame:
+    """(a, b, na, nb, o, lacks, adds) for distinct pairs (a, b); texts: (node, text), one row a node.
 
-    Each copy of a's text serves LEADER_SHARE members at most, so that a set with very many partners is spread over tasks.
+    lacks and adds, what b has not of a and what it has besides, are null for pairs that are less alike than `alike` percent. Each copy of a's text
+    serves LEADER_SHARE members at most, so that a set with very many partners is spread over tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,24 +206,23 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                 at, a_texts = column(part, "a").to_pylist(), column(part, "at").cast(pa.binary())
                 fresh = [i for i, a in enumerate(at) if i == 0 or a != at[i - 1]]
                 lead = dict(zip(fresh, shingles(*hash_words([(a_texts[i].as_py() or b"").lower() for i in fresh], memo), n)))
-                na, o = [], []
+                na, o, lacks, adds = [], [], [], []
                 sets = shingles(*hash_words([t.lower() for t in bt], memo), n)
                 for i, s in enumerate(sets):
                     own = lead.get(i, own)
+                    same = len(np.intersect1d(own, s, assume_unique=True))
+                    near = 100 * same >= alike * (len(own) + len(s) - same)
                     na.append(len(own))
-                    o.append(len(np.intersect1d(own, s, assume_unique=True)))
-                yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(na, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(o, pa.int64())], ["a", "b", "na", "nb", "o"])
+                    o.append(same)
+                    lacks.append(signed(np.setdiff1d(own, s, assume_unique=True)) if near else None)
+                    adds.append(signed(np.setdiff1d(s, own, assume_unique=True)) if near else None)
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(na, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(o, pa.int64()), pa.array(lacks, longs), pa.array(adds, longs)], ["a", "b", "na", "nb", "o", "lacks", "adds"])
 
     many = pairs.groupBy("a").count().select("a", (F.col("count") / LEADER_SHARE).cast("int").alias("shares"))
     lead = many.join(texts.select(F.col("node").alias("a"), F.col("text").alias("at")), "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares"))))
     member = pairs.join(texts.select(F.col("node").alias("b"), "text"), "b").join(many, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares") + 1).cast("int"))
-    return member.join(lead.select("a", "share", "at"), ["a", "share"]).select("a", "b", "text", "at").mapInArrow(run, "a long, b long, na long, nb long, o long")
-
-
-def class_texts(df: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, text) of one row of each set: the one with the least row key."""
-    one = sets.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row"))
-    return df.select("_row", "text").join(one, "_row").dropDuplicates(["node"]).select("node", "text")
+    return member.join(lead.select("a", "share", "at"), ["a", "share"]).select("a", "b", "text", "at").mapInArrow(run, "a long, b long, na long, nb long, o long, lacks array<long>, adds array<long>")
 
 
 def linked(o, na, nb, percent: int):
@@ -234,21 +238,16 @@ def join_components(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """
     docs = row_key(df.select("doc_id", "text"))
     sets = materialise(sets_of(docs, n), "sets")
-    lists = materialise(led(postings(docs.select("text"), n, percent)), "lists")
-    can = (F.least("ln", "n") * 100 >= percent * F.greatest("ln", "n"))  # the sizes allow a link
-    first = lists.where(can).groupBy("leader", "node").agg(F.count("*").alias("c")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    texts = docs.select("_row", "text").join(sets.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row")), "_row").select("node", "text")
+    first = led(postings(docs.select("text"), n, percent)).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c")).select("a", "b")
     first = materialise(first, "pairs")
     ends = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
-    # one text of each set that is in a pair
-    rows = sets.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row")).join(ends, "node", "left_semi")
-    texts = docs.select("_row", "text").join(rows, "_row").select("node", "text")
-    texts = materialise(texts, "texts")
-    known = materialise(overlaps(first, texts, n), "overlaps").dropDuplicates(["a", "b"])
+    texts = materialise(texts.join(ends, "node", "left_semi"), "texts")
+    known = materialise(differences(first, texts, n, ALIKE), "known")
     edges = known.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     comp = components(df.sparkSession, edges)
-    more = further_edges(docs, sets, lists, known, comp, texts, n, percent)
-    if more is not None:
-        comp = components(df.sparkSession, edges.unionAll(more))
+    more = further_edges(known, comp, texts, n, percent)
+    comp = components(df.sparkSession, edges.unionAll(more)) if more.limit(1).count() else comp
     names = sets.where("node is not null").join(comp, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = comp.join(least, "root").select("node", "component_id")
@@ -258,66 +257,61 @@ def join_components(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def further_edges(docs: DataFrame, sets: DataFrame, lists: DataFrame, known: DataFrame, comp: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Links between different components that share a list; None if no list holds two components that could be linked.
+def rooted(df: DataFrame, comp: DataFrame, node: str) -> DataFrame:
+    """Adds `root`, the component of a column of nodes; a node without a link is its own."""
+    return df.join(comp.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
+
+
+def further_edges(known: DataFrame, comp: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between different components of members with one leader.
 
-    A list's members in its leader's component are compared with the others only, and the others with each other.
+    Of a linked pair either both are like the leader, or one is not and the other, by the triangle inequality of the Jaccard distance, is at most
+    100 - percent above the bound. The latter members of a leader share a list again in another permutation, refined by the leader.
     """
-    root = comp.select(F.col("node"), F.col("root"))
-    of = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = of.join(root.select(F.col("node").alias("leader"), F.col("root").alias("lroot")), "leader", "left").withColumn("lroot", F.coalesce("lroot", "leader"))
-    of = of.join(known.select(F.col("a").alias("leader"), F.col("b").alias("node"), "o"), ["leader", "node"], "left")
-    mixed = of.where("root <> lroot").groupBy("key").agg(F.count("*").alias("others"))
-    size = of.groupBy("key").agg(F.count("*").alias("members"))
-    of = materialise(of.join(mixed, "key").join(size, "key"), "mixed")
-    small = of.where(F.col("members") * F.col("others") <= LIST_PAIRS)
-    large = of.where(F.col("members") * F.col("others") > LIST_PAIRS)
-    found = [_cross(small, percent)]
-    if large.limit(1).count():
-        # long lists of unlike sets are cut by the blocks of another permutation, which linked sets share one of as well
-        every = large.select("key", "node").union(large.select("key", F.col("leader").alias("node"))).distinct()
-        finer = postings(texts_for(docs, sets, every), n, percent, "key")
-        again = led(finer).withColumn("o", F.lit(None).cast("long"))
-        again = again.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        again = again.join(root.select(F.col("node").alias("leader"), F.col("root").alias("lroot")), "leader", "left").withColumn("lroot", F.coalesce("lroot", "leader"))
-        again = materialise(again, "finer")
-        lead = again.where((F.col("root") != F.col("lroot")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))).select(F.col("leader").alias("a"), F.col("node").alias("b"), F.lit(None).cast("boolean").alias("sure"))
-        found += [lead, _cross(again, percent)]
-    pairs = found[0]
-    for f in found[1:]:
-        pairs = pairs.unionAll(f)
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
-    pairs = materialise(pairs, "further")
-    if not pairs.limit(1).count():
-        return None
-    sure = pairs.where("sure").select("a", "b")
-    rest = pairs.where("sure is null").select("a", "b")
-    ends = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
-    own = texts_for(docs, sets, ends.withColumn("key", F.lit(0))).select("node", "text")
-    done = overlaps(rest, own, n)
-    return materialise(sure.unionAll(done.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")), "more")
-
-
-def texts_for(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, text) for rows (key, node)."""
-    rows = sets.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row")).join(nodes, "node")
-    return docs.select("_row", "text").join(rows, "_row").select("key", "node", "text").dropDuplicates(["key", "node"])
-
-
-def _cross(of: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's members in different components, one of them outside the leader's, that sizes and common answers allow.
-
-    sure: true if the answers alone show the link, else null.
+    near = known.where("lacks is not null")
+    like = 100 * F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
+    far = rooted(known.where(like < ALIKE + 100 - percent).select("a", "b"), comp, "b")
+    several = far.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("a")
+    far = far.join(several, "a", "left_semi").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    again = led(postings(texts.join(far, "node").select("key", "text"), n, percent, "key"))
+    pairs = again.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    anew = materialise(differences(pairs, texts, n, 0), "anew")
+    found = anew.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    # in a list of the second permutation the leader is the least node, so that its pairs are (a, b) as computed
+    return materialise(found.unionAll(derived(near.unionByName(anew).dropDuplicates(["a", "b"]), comp, percent)), "more")
+
+
+def derived(known: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one leader, derived from their differences to it.
+
+    weight(x) = percent * |x| + (100 + percent) * |L\\x|; x and y are linked if their differences share (weight(x) + weight(y)) / (100 + percent) - |L|
+    elements or more. A partner in another component is not linked to L if x is: its weight is above 100 * |L|; any weight is at least that of L.
     """
-    cols = ["key", "node", "n", "root", "lroot", "o", "ln"]
-    x = of.where("root <> lroot").select(*(F.col(c).alias(f"x_{c}") for c in cols))
-    y = of.select(*(F.col(c).alias(f"y_{c}") for c in cols))
-    nx, ny, ox, oy = (F.col(c).cast("long") for c in ("x_n", "y_n", "x_o", "y_o"))
-    most = F.coalesce(F.least(ox, oy) + F.least(nx - ox, ny - oy), F.least(nx, ny))
-    least = F.when(ox.isNotNull() & oy.isNotNull(), ox + oy - F.col("x_ln"))
-    once = (F.col("y_root") == F.col("y_lroot")) | (F.col("x_node") < F.col("y_node"))
-    on = (F.col("x_key") == F.col("y_key")) & (F.col("x_root") != F.col("y_root")) & once & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & linked(most, nx, ny, percent)
-    return x.join(y, on).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.when((least > 0) & linked(least, nx, ny, percent), F.lit(True)).alias("sure"))
+    whole = 100 + percent
+    rows = rooted(known, comp, "b").withColumn("weight", percent * F.col("nb") + whole * F.size("lacks"))
+    partner = F.when(linked(F.col("o"), F.col("na"), F.col("nb"), percent), 100 * F.col("na") + 1).otherwise(percent * F.greatest(F.col("na"), F.ceil(F.col("nb") * percent / 100)))
+    least = F.greatest(F.lit(1), F.ceil((F.col("weight") + partner) / whole) - F.col("na"))
+    mixed = rows.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("a")
+    rows = materialise(rows.withColumn("prefix", (F.size("lacks") + F.size("adds") - least + 1).cast("int")).join(mixed, "a", "left_semi"), "members")
+    each = rows.where("prefix > 0").select("a", "b", "prefix", F.explode(F.concat("lacks", "adds")).alias("e"))
+    often = each.groupBy("a", "e").agg(F.count("*").alias("c"))
+    ordered = each.join(often, ["a", "e"]).groupBy("a", "b").agg(F.first("prefix").alias("prefix"), F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
+    index = ordered.select("a", "b", F.posexplode(F.slice("es", F.lit(1), F.col("prefix"))).alias("p", "x")).where("x.c > 1").select("a", "b", F.col("x.e").alias("e"), "p")
+    index = index.join(rows.select("a", "b", "root", "nb", "na", "weight", (F.size("lacks") + F.size("adds")).alias("d")), ["a", "b"])
+    split = index.groupBy("a", "e").agg(F.min("root").alias("main"), F.max("root").alias("other")).where("main < other").select("a", "e", "main")
+    index = materialise(index.join(split, ["a", "e"]), "prefixes")
+    x = index.where("root <> main").select("a", "e", F.col("b").alias("x"), F.col("root").alias("xr"), F.col("nb").alias("xn"), F.col("weight").alias("xw"), (F.col("d") - F.col("p")).alias("xd"), F.col("na").alias("l"))
+    y = index.select("a", "e", "main", F.col("b").alias("y"), F.col("root").alias("yr"), F.col("nb").alias("yn"), F.col("weight").alias("yw"), (F.col("d") - F.col("p")).alias("yd"))
+    sizes = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
+    once = (F.col("yr") == F.col("main")) | (F.col("x") < F.col("y"))
+    # by position: from the first element in common on (positions count from 0), either difference must hold as many as the two must share
+    enough = F.least("xd", "yd") >= (F.col("xw") + F.col("yw")) / whole - F.col("l")
+    met = x.alias("p").join(y.alias("q"), (F.col("p.a") == F.col("q.a")) & (F.col("p.e") == F.col("q.e")) & (F.col("xr") != F.col("yr")) & once & sizes & enough)
+    met = met.groupBy("x", "y").agg(F.min("p.a").alias("a"))
+    side = lambda k: rows.select("a", F.col("b").alias(k), F.col("na").alias("l"), F.col("nb").alias(f"{k}n"), F.col("lacks").alias(f"{k}l"), F.col("adds").alias(f"{k}a"))
+    both = met.join(side("x"), ["a", "x"]).join(side("y").drop("l"), ["a", "y"])
+    common = F.col("l") - F.size("xl") - F.size("yl") + F.size(F.array_intersect("xl", "yl")) + F.size(F.array_intersect("xa", "ya"))
+    return both.where(linked(common, F.col("xn"), F.col("yn"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def keep_one(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -192,9 +192,10 @@ def test_jaccard_families(spark, n, percent):
     assert {r[0]: (r[1], r[2]) for r in out.collect()} == plain.jaccard_components(docs, n, percent)
 
 
-def test_jaccard_long_lists_are_cut(spark, monkeypatch):
-    """With lists of any length cut by another permutation the links are the same."""
-    monkeypatch.setattr(jaccard, "LIST_PAIRS", 0)
+@pytest.mark.parametrize("alike", [0, 30, 100])
+def test_jaccard_bound_of_likeness_changes_no_link(spark, monkeypatch, alike):
+    """Whichever members are compared by differences and whichever are led anew, the links are the same."""
+    monkeypatch.setattr(jaccard, "ALIKE", alike)
     test_jaccard_families(spark, 3, 80)
 
 
