@@ -125,10 +125,10 @@ def repeats(df: DataFrame, window: int) -> DataFrame:
 
     kinds = "_row long, start int, size int, anchor long, run long"
     counted = df.select("_row", "text").mapInArrow(runs_counted, f"{kinds}, n long")
-    # one exchange by anchor serves both groupings
+    # one exchange by anchor serves both groupings: with the same columns read, Spark reuses it for the second
     by_run = counted.repartition("anchor").groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.min(F.struct("_row", "start", "size")).alias("one"))
-    stats = by_run.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    seeds = by_run.join(stats.where("all > 1"), "anchor")
+    stats = by_run.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.max("one").alias("any"))
+    seeds = by_run.join(stats.where("all > 1 and any is not null").drop("any"), "anchor")
     seeds = materialise(seeds.select("run", "n", "kinds", "one._row", "one.start", "one.size"), "seeds")
     full = seeds.where("n > 1").select("run", F.expr("shiftleft(1L, size) - 1").alias("bits"))
     # runs that others differ from at the same anchor: their windows one by one
@@ -151,7 +151,8 @@ def repeats(df: DataFrame, window: int) -> DataFrame:
     one_by_one = materialise(one_by_one, "windows")
     twice = one_by_one.groupBy("window").agg(F.sum("n").alias("c")).where("c > 1").select("window")
     partly = one_by_one.join(twice, "window", "left_semi").groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
-    bits = full.unionAll(partly).groupBy("run").agg(F.bit_or("bits").alias("bits"))
+    # written, so that the join below has an exchange of its own on either side and a run that stands in very many documents can be split
+    bits = materialise(full.unionAll(partly).groupBy("run").agg(F.bit_or("bits").alias("bits")), "bits")
     found = df.select("_row", "text").mapInArrow(runs, kinds).select("_row", "start", "run").join(bits, "run")
     return found.groupBy("_row").agg(F.collect_set(F.struct("start", "bits")).alias("runs"))
 
