@@ -28,7 +28,7 @@ END = U64(0x5DEECE66D1CE4E5B)
 #: Bits of a hash that are kept of a successor within its context, of a context within its shard, and of a word.
 CHILD_BITS, CONTEXT_BITS, WORD_BITS = 40, 48, 52
 #: Bytes of text from which a task packs counts at once, tokens that a shard of the second level has about, and shards that a worker keeps open.
-PACK_BYTES, SHARD_TOKENS, SHARDS_HELD = 16 << 20, 4_000_000, 256
+PACK_BYTES, SHARD_TOKENS, SHARDS_HELD = 8 << 20, 2_000_000, 256
 #: Range of the 16-bit codes of log10 probabilities.
 FLOOR = -16.0
 
