@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.functions.text import label_score, tokens
+from tablemill.functions.text import label_score, strip, tokens
 from tablemill.plans.ir import is_benign
 
 HEAD_ROWS, LABEL_COLUMNS = 8, 2
@@ -57,7 +57,7 @@ def fit(build: Callable[[int, int], str], n_tables: int, count: Callable[[str],
 def fenced(answer: Column) -> Column:
     """The first fenced block of a model's answer, else all of it."""
     pattern = r"(?s)```(?:\w+)?\s*\n(.*?)```"
-    return F.trim(F.when(answer.rlike(pattern), F.regexp_extract(answer, pattern, 1)).otherwise(answer))
+    return strip(F.when(answer.rlike(pattern), F.regexp_extract(answer, pattern, 1)).otherwise(answer))
 
 
 @dataclass

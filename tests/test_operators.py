@@ -85,13 +85,13 @@ def test_companies_file(spark, tmp_path):
 
 
 def test_evidence_is_not_inferred(spark, tmp_path):
-    t = spark.createDataFrame([("d", 1, 1, [["Nhãn", "2020"], ["Doanh thu, \"thuần\"", "713.942"], ["x", "-"]])], "doc_id string, table_idx int, n_header_rows int, grid array<array<string>>")
+    t = spark.createDataFrame([("d", 1, 1, [["Nhãn", "2020"], ["Doanh thu, \"thuần\"", "713.942"], ["y", "-"]])], "doc_id string, table_idx int, n_header_rows int, grid array<array<string>>")
     e = emit.evidence(t).first()
     assert (e["file"], e["columns"], e["numeric"]) == ("d_table_1.csv", ["nhan", "2020" if "2020" in e["columns"] else e["columns"][1]], [])
     csv = emit.evidence(t).select(emit.csv_text(F.col("columns"), F.col("rows"))).first()[0]
     (tmp_path / "e.csv").write_text(csv)
     back = reports.read_evidence(spark, str(tmp_path / "e.csv"), e["columns"], [e["columns"][1]]).collect()
-    assert [tuple(r) for r in back] == [('Doanh thu, "thuần"', 713942.0), ("x", None)]
+    assert [tuple(r) for r in back] == [('Doanh thu, "thuần"', 713942.0), ("y", None)]
 
 
 def test_package_and_read_back(spark, tmp_path):
