@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import string
 import zlib
 
 import numpy as np
@@ -349,6 +350,21 @@ def test_token_efficiency():
     assert kinds("hash 9e107d9d372bb6826bd81d3542a419d6") == ["hex"]
 
 
+@pytest.mark.parametrize("alphabet, lengths", [(string.ascii_letters, (16, 20, 30, 40)), (string.ascii_uppercase, (16, 20, 40)), (string.ascii_letters + string.digits, (8, 10, 16, 17, 18, 19, 20, 40))])
+def test_random_strings_are_found(alphabet, lengths):
+    s, rnd = secrets.Scanner(plain.RANKS, P.PATTERN, 2.0), random.Random(6)
+    for n in lengths:
+        # without a digit a short string is not told from words
+        runs = [r for r in ("".join(rnd.choice(alphabet) for _ in range(n)) for _ in range(300)) if n >= 16 or secrets._MIXED.match(r)]
+        assert sum(any(k == "random" for k, _, _ in s.spans(f"is {r} so")[1]) for r in runs) >= 0.95 * len(runs), n
+
+
+def test_prose_is_not_random(docs):
+    s = secrets.Scanner(plain.RANKS, P.PATTERN, 2.0)
+    found = sum(k == "random" for _, t in docs for k, _, _ in s.spans(t or "")[1])
+    assert found <= sum(len((t or "").split()) for _, t in docs) // 50_000
+
+
 def test_redaction(odd, empty):
     out = secrets.redact_secrets(odd, plain.RANKS, P.PATTERN)
     texts = {r["doc_id"]: r["text"] for r in out.where("doc_id is not null").collect()}
