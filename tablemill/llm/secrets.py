@@ -49,17 +49,25 @@ def base_spans(text: str) -> list[Span]:
 
 
 def random_spans(text: str, count_tokens, chars_per_token: float, taken: list[Span]) -> list[Span]:
-    """Spans by the token-efficiency test that overlap none of `taken`."""
+    """Spans by the token-efficiency test of the parts of runs that none of `taken` covers."""
     out: list[Span] = []
+    spans = sorted((a, b) for _, a, b in taken)
+    k, covered = 0, 0
     for m in _RUN.finditer(text):
-        run = m[0].strip("=-_/+")
-        if len(run) < LEAST_MIXED or len(run) < LEAST and not _MIXED.match(run) or _DIGEST.match(run) or _UUID.match(run) or _IDENTIFIER.match(run):
-            continue
-        at = m.start() + m[0].index(run)
-        if any(a < at + len(run) and at < b for _, a, b in taken):
-            continue
-        if len(run) < chars_per_token * count_tokens(run):
-            out.append(("random", at, at + len(run)))
+        parts = []
+        while k < len(spans) and spans[k][0] < m.end():
+            parts.append((max(m.start(), covered), spans[k][0]))
+            covered = max(covered, spans[k][1])
+            k += 1
+        parts.append((max(m.start(), covered), m.end()))
+        for a, b in parts:
+            part = text[a:b] if a < b else ""
+            run = part.strip("=-_/+")
+            if len(run) < LEAST_MIXED or len(run) < LEAST and not _MIXED.match(run) or _DIGEST.match(run) or _UUID.match(run) or _IDENTIFIER.match(run):
+                continue
+            if len(run) < chars_per_token * count_tokens(run):
+                at = a + part.index(run)
+                out.append(("random", at, at + len(run)))
     return out
 
 
