@@ -230,12 +230,8 @@ def linked(o, na, nb, percent: int):
     return 100 * o >= percent * (na + nb - o)
 
 
-def join_components(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Per row of (doc_id, text): n_shingles and component_id, the least doc_id that links reach, its own included.
-
-    A row with an empty set (null or blank text) is linked with nothing: its component is its own doc_id. Equal rows, and rows with equal sets, are
-    linked. A null doc_id never becomes a component's id unless no row of the component has another. Other columns are ignored.
-    """
+def linked_sets(df: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets (doc_id, _row, n_shingles, node), and the components (node, root) of the nodes that have a link."""
     docs = row_key(df.select("doc_id", "text"))
     sets = materialise(sets_of(docs, n), "sets")
     texts = docs.select("_row", "text").join(sets.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row")), "_row").select("node", "text")
@@ -248,6 +244,16 @@ def join_components(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     comp = components(df.sparkSession, edges)
     more = further_edges(known, comp, texts, n, percent)
     comp = components(df.sparkSession, edges.unionAll(more)) if more.limit(1).count() else comp
+    return sets, comp
+
+
+def join_components(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """Per row of (doc_id, text): n_shingles and component_id, the least doc_id that links reach, its own included.
+
+    A row with an empty set (null or blank text) is linked with nothing: its component is its own doc_id. Equal rows, and rows with equal sets, are
+    linked. A null doc_id never becomes a component's id unless no row of the component has another. Other columns are ignored.
+    """
+    sets, comp = linked_sets(df, n, percent)
     names = sets.where("node is not null").join(comp, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = comp.join(least, "root").select("node", "component_id")
@@ -315,17 +321,15 @@ def derived(known: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df less near copies: of each component the row with the least doc_id stays; of rows with that id, one.
+    """The rows of df less near copies: of each component the row with the least doc_id stays (null ids come last); of rows with that id, one.
 
-    Rows with an empty set all stay. Any further columns are kept as they are.
+    Only linked rows go, whatever ids they have: rows with an empty set all stay. Any further columns are kept as they are.
     """
-    key, own, empty, least = (fresh_name(df, x) for x in ("row_key", "own_id", "no_words", "least_key"))
+    key = fresh_name(df, "row_key")
     docs = row_key(df, key)
-    comp = join_components(df, n, percent)
-    stay = comp.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own), (F.col("n_shingles") == 0).alias(empty)).distinct()
-    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(own)), "inner")
+    sets, comp = linked_sets(df, n, percent)
+    full = rooted(sets.where("node is not null"), comp, "node")
+    stay = full.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("least")).select(F.col("least._row").alias(key))
     blank = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    full = out.where(~F.col(empty) & ~blank)
-    one = full.groupBy(F.col(own).alias(least + "_id")).agg(F.min(key).alias(least))
-    full = full.join(one, F.col(own).eqNullSafe(F.col(least + "_id")) & (F.col(key) == F.col(least)), "left_semi").dropDuplicates([key])
-    return out.where(F.col(empty) & blank).select(*df.columns).unionByName(full.select(*df.columns))
+    one = docs.where(~blank).join(stay, key, "left_semi").dropDuplicates([key])
+    return docs.where(blank).select(*df.columns).unionByName(one.select(*df.columns))

@@ -232,6 +232,15 @@ def test_keep_one(odd, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
+def test_keep_one_takes_linked_rows_only(spark):
+    text = lambda name, changed=None: " ".join(f"{name}{i}" if i != changed else "changed" for i in range(100))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b", 50)), (None, text("c")), (7, text("c", 99)), (1, text("d")), (2, text("d", 99)), (2, text("e")), (2, text("f")), (3, text("f", 0)), (3, text("g")), (3, text("g")), (4, text("g", 1)), (None, ""), (None, None), (None, None)]
+    kept = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()]
+    b = [r for r in kept if r in rows[1:3]]
+    assert len(b) == 1
+    assert sorted((r for r in kept if r not in b), key=repr) == sorted([rows[0], rows[4], rows[5], rows[7], rows[8], rows[10], *rows[13:]], key=repr)
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------------
 
 
