@@ -28,8 +28,8 @@ def nearest_years(wanted: DataFrame, available: DataFrame, n: int = 2) -> DataFr
     return both.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
-def filter_documents(ir: DataFrame, docs: DataFrame, most: int = 40) -> DataFrame:
-    """(qid, doc_id, place): candidate documents in order of ticker, year and name, `most` at most.
+def filter_documents(ir: DataFrame, docs: DataFrame, most: int | None = 40) -> DataFrame:
+    """(qid, doc_id, place): candidate documents in order of ticker, year and name, `most` at most (all if None).
 
     A company and year take the best type that exists there, and documents of no type; companies without any type take all
     of the year. Without documents of the year the two nearest years stand in. Without years in the question all years count.
@@ -52,4 +52,5 @@ def filter_documents(ir: DataFrame, docs: DataFrame, most: int = 40) -> DataFram
     both = both.withColumn("best", best).where("typeless or best is null or rank = best or kind = 'other'")
     first = both.groupBy("qid", "doc_id").agg(F.min(F.struct("t", "y", "k", "doc_id")).alias("at"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("at"))
-    return first.withColumn("place", place).where(F.col("place") <= most).select("qid", "doc_id", "place")
+    placed = first.withColumn("place", place)
+    return (placed if most is None else placed.where(F.col("place") <= most)).select("qid", "doc_id", "place")

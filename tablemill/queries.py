@@ -477,7 +477,7 @@ def priority_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     docs = o.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_custkey").cast("string").alias("ticker"), F.year("o_orderdate").alias("year"), F.expr(_KINDS).alias("stmt_type"))
     ir = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.lit(None).cast("string").alias("stmt_type"), F.array(F.lit(1998)).alias("years"), F.array(F.col("c_custkey").cast("string")).alias("tickers"), F.array().cast("array<string>").alias("ops"))
-    return documents.filter_documents(ir, docs, most=1000).select("qid", "doc_id")
+    return documents.filter_documents(ir, docs, most=None).select("qid", "doc_id")
 
 
 _DENSE_SQL = "s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a, embeddings b), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS n FROM s)"
