@@ -5,8 +5,11 @@ Each shard of a level is a file in the shared folder: context hashes and, relati
 Elias-Fano sequences; where each context's successors start, as another; and a quantised smoothed log-probability for each successor.
 Scoring maps the files into memory and answers the pairs of a chunk of text shard by shard, by successor search within the context.
 
-P(w | v) = (c(v, w) + weight * P(w)) / (c(v) + weight), with P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). The end of a document is a token, and the
-context of its first word.
+From the third level on, up to the order asked for, a level's shard holds the successors of the same shard's entries one level above: monotone pointers
+from each entry to its successors, their hashes relative to the entry, and exact counts.
+
+P(w | v) = (c(v, w) + weight * P(w)) / (c(v) + weight), with P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), and P(w | u v) from P(w | v) likewise, and so on.
+The end of a document is a token, and the context of its first word; no context reaches beyond it.
 """
 
 from __future__ import annotations
@@ -203,11 +206,13 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
 
 
 def blob(*arrays: np.ndarray) -> bytes:
-    """Arrays packed: sorted hashes as differences, unsorted ones by their first seven bytes, counts as narrow as they fit."""
+    """Arrays packed: sorted hashes as differences, unsorted ones by their first seven bytes (five if the rest is zero), counts as narrow as they fit."""
     out = []
     for a in arrays:
         if a.dtype == U64 and (len(a) < 2 or (a[1:] > a[:-1]).all()):
             width, body = 9, np.r_[a[:1], np.diff(a)].tobytes()
+        elif a.dtype == U64 and not (a & U64((1 << 64 - CHILD_BITS) - 1)).any():
+            width, body = 5, a.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
         elif a.dtype == U64:
             width, body = 7, a.view(np.uint8).reshape(-1, 8)[:, 1:].tobytes()
         else:
@@ -225,16 +230,16 @@ def unblob(data: bytes) -> list[np.ndarray]:
         at += 9 + n
         if width == 9:
             out.append(np.cumsum(np.frombuffer(body, "<u8"), dtype=U64))
-        elif width == 7:
-            full = np.zeros((n // 7, 8), np.uint8)
-            full[:, 1:] = np.frombuffer(body, np.uint8).reshape(-1, 7)
+        elif width in (5, 7):
+            full = np.zeros((n // width, 8), np.uint8)
+            full[:, 8 - width :] = np.frombuffer(body, np.uint8).reshape(-1, width)
             out.append(full.view(U64).ravel())
         else:
             out.append(np.frombuffer(body, f"<u{width}").astype(np.int64))
     return out
 
 
-def paired(parts: list[np.ndarray]) -> list[np.ndarray]:
+def paired(shard: int, parts: list[np.ndarray]) -> list[np.ndarray]:
     """(contexts, successors each, successors, counts) as one context a pair."""
     contexts, each, successors, counts = parts
     return [np.repeat(contexts, each), successors, counts]
@@ -257,7 +262,7 @@ def merge(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
 MERGE_PARTS = 24
 
 
-def merged(batches: Iterator[pa.RecordBatch], open_part=lambda x: x) -> Iterator[tuple[int, list[np.ndarray]]]:
+def merged(batches: Iterator[pa.RecordBatch], open_part=lambda s, x: x) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(shard, merged arrays) of rows (shard, data) that come sorted by shard."""
     shard, parts = None, []
     for b in batches:
@@ -266,7 +271,7 @@ def merged(batches: Iterator[pa.RecordBatch], open_part=lambda x: x) -> Iterator
                 yield shard, merge(parts)
                 parts = []
             shard = s
-            parts.append(open_part(unblob(data.as_py())))
+            parts.append(open_part(s, unblob(data.as_py())))
             if len(parts) >= MERGE_PARTS:
                 parts = [merge(parts)]
     if parts:
@@ -316,10 +321,10 @@ def ranges(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def pair_shards(contexts: np.ndarray, successors: np.ndarray, context_counts: np.ndarray, shards: int, total: int) -> np.ndarray:
-    """A context's pairs share a shard; those of one with more than its part of a shard's tokens are spread by successor."""
+    """A context's pairs share a shard; those of one with more than its part of a shard's tokens are spread by the bytes of the successor that counts keep."""
     split = 1 + context_counts * 4 * shards // max(total, 1)
     with np.errstate(over="ignore"):
-        part = seeded(successors, 5) % split.astype(U64)
+        part = seeded(successors & ~U64(255), 5) % split.astype(U64)
         return (mix(contexts + part * U64(0x9E3779B97F4A7C15)) % U64(shards)).astype(np.int64)
 
 
@@ -416,44 +421,178 @@ class Pairs:
             self.held[s] = (*trees, arrays[6])
         return self.held[s]
 
-    def log10(self, contexts: np.ndarray, tokens: np.ndarray, context_counts: np.ndarray, token_log10: np.ndarray, total: int) -> np.ndarray:
-        """Of pairs that are sorted by context."""
+    def find(self, s: int, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Where pairs, sorted by context, stand among a shard's successors, or -1."""
+        out = np.full(len(contexts), -1, np.int64)
+        if s not in self.files:
+            return out
+        nodes, starts, successors, codes = self.shard(s)
+        lead = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]])
+        which = np.repeat(np.arange(len(lead)), np.diff(np.r_[lead, len(contexts)]))
+        at = nodes.find(contexts[lead] >> U64(64 - CONTEXT_BITS))
+        known = np.flatnonzero(at[which] >= 0)
+        if not len(known):
+            return out
+        there = np.maximum(at, 0)
+        first = starts.get(there)
+        past = np.full(len(there), len(codes), np.int64)
+        inner = there + 1 < starts.n
+        past[inner] = starts.get(there[inner] + 1).astype(np.int64)
+        w = which[known]
+        value = (there[w].astype(U64) << U64(CHILD_BITS)) | (tokens[known] >> U64(64 - CHILD_BITS))
+        out[known] = successors.find(value, first[w].astype(np.int64), past[w].astype(np.int64))
+        return out
+
+    def log10(self, contexts: np.ndarray, tokens: np.ndarray, context_counts: np.ndarray, token_log10: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs that are sorted by context; also the shard and the place there of each."""
         out = np.log10(self.weight) + token_log10 - np.log10(context_counts + self.weight)
-        shard = pair_shards(contexts, tokens & ~U64(255), context_counts, self.shards, total)
+        shard, hit = pair_shards(contexts, tokens, context_counts, self.shards, total), np.full(len(tokens), -1, np.int64)
         order = np.argsort(shard, kind="stable")
         for s, a, b in ranges(shard[order]):
-            if s not in self.files:
-                continue
-            nodes, starts, successors, codes = self.shard(s)
             own = order[a:b]
-            c = contexts[own]
-            lead = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            which = np.repeat(np.arange(len(lead)), np.diff(np.r_[lead, len(c)]))
-            at = nodes.find(c[lead] >> U64(64 - CONTEXT_BITS))
-            known = np.flatnonzero(at[which] >= 0)
-            if not len(known):
-                continue
-            there = np.maximum(at, 0)
-            first = starts.get(there)
-            past = np.full(len(there), len(codes), np.int64)
-            inner = there + 1 < starts.n
-            past[inner] = starts.get(there[inner] + 1).astype(np.int64)
-            w = which[known]
-            value = (there[w].astype(U64) << U64(CHILD_BITS)) | (tokens[own[known]] >> U64(64 - CHILD_BITS))
-            hit = successors.find(value, first[w].astype(np.int64), past[w].astype(np.int64))
-            seen = hit >= 0
-            out[own[known[seen]]] = dequantise(codes[hit[seen]].astype(np.float64))
+            hit[own] = at = self.find(s, contexts[own], tokens[own])
+            seen = at >= 0
+            if seen.any():
+                out[own[seen]] = dequantise(self.shard(s)[3][at[seen]].astype(np.float64))
+        return out, shard, hit
+
+
+# --- from the third level on --------------------------------------------------------------------------------------------
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    top = int(counts.max()) if len(counts) else 0
+    return counts.astype(next(k for k in ("u1", "<u2", "<u4", "<u8") if top < 1 << 8 * np.dtype(k).itemsize))
+
+
+def depths(n: np.ndarray) -> np.ndarray:
+    """Each token's number in its text, from 0."""
+    return np.arange(int(n.sum())) - np.repeat(starts_of(n)[:-1], n)
+
+
+class Grams:
+    """A level from the third on: for an entry of the level above (its shard and place) and a token, how often the token followed it in training."""
+
+    def __init__(self, folder: str, files: list[tuple[int, str]]):
+        self.fs, self.root = open_fs(folder)
+        self.files = dict(files)
+        self.held: dict[int, tuple] = {}
+
+    def shard(self, s: int) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndarray]:
+        """Pointers from the entries above, successors, their counts, and the entries' sums of counts."""
+        if s not in self.held:
+            if len(self.held) >= SHARDS_HELD:
+                self.held.clear()
+            meta, arrays = load(self.fs, f"{self.root}/{self.files[s]}")
+            trees = [EliasFano(n, low_bits, arrays[2 * i], arrays[2 * i + 1]) for i, (n, low_bits) in enumerate(meta["levels"])]
+            self.held[s] = (*trees, arrays[4], arrays[5])
+        return self.held[s]
+
+    def find(self, s: int, above: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Where tokens stand among the successors of entries (-1: none) of a shard, or -1."""
+        out = np.full(len(above), -1, np.int64)
+        known = np.flatnonzero(above >= 0)
+        if s in self.files and len(known):
+            starts, successors, _, _ = self.shard(s)
+            p = above[known]
+            value = (p.astype(U64) << U64(CHILD_BITS)) | (tokens[known] >> U64(64 - CHILD_BITS))
+            out[known] = successors.find(value, starts.get(p).astype(np.int64), starts.get(p + 1).astype(np.int64))
         return out
 
+    def counts(self, shard: np.ndarray, above: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the tokens after their entries, of the entries, and the places."""
+        n, c, hit = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64), np.full(len(tokens), -1, np.int64)
+        order = np.argsort(shard, kind="stable")
+        for s, a, b in ranges(shard[order]):
+            own = order[a:b][above[order[a:b]] >= 0]
+            if s not in self.files or not len(own):
+                continue
+            _, _, counts, totals = self.shard(s)
+            c[own] = totals[above[own]]
+            hit[own] = at = self.find(s, above[own], tokens[own])
+            n[own[at >= 0]] = counts[at[at >= 0]]
+        return n, c, hit
+
+
+def learn_grams(df: DataFrame, words: dict, pairs: dict, above: list[dict]) -> dict:
+    """Count training n-grams of the next order and write their level, each beside the pair that it starts with; above: the levels from the third on."""
+    folder, order = words["folder"], len(above) + 3
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, level = WordHashes(), Words(**words)
+        for ids, texts in packed(batches):
+            train = [t for t, h in zip(texts, is_held_out(ids)) if not h]
+            if not train:
+                continue
+            token, _, each = tokens_of(train, memo)
+            depth = depths(each)
+            distinct, which = np.unique(token, return_inverse=True)
+            size = np.int64(len(distinct))
+            start, gram = np.unique(np.r_[np.searchsorted(distinct, END), which[:-1]] * size + which, return_inverse=True)
+            pair = np.arange(len(start))  # of each gram, the pair that it starts with
+            later = []  # and its tokens from the third on
+            for k in range(3, order + 1):
+                at = np.flatnonzero(depth >= k - 2)
+                key, number, n = np.unique(gram[at - 1] * size + which[at], return_inverse=True, return_counts=True)
+                up = key // size
+                pair, later = pair[up], [*(x[up] for x in later), key % size]
+                gram = np.full(len(token), -1, np.int64)
+                gram[at] = number
+            if not len(pair):
+                continue
+            u, v = start // size, start % size
+            shard = pair_shards(distinct[u], distinct[v], level.counts(distinct)[u], pairs["shards"], words["total"])[pair]
+            by = np.argsort(shard, kind="stable")
+            keep = ~U64((1 << 64 - CHILD_BITS) - 1)
+            out = []
+            for s, a, b in ranges(shard[by]):
+                own = by[a:b]
+                p = pair[own]
+                lead = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])  # grams come sorted by their pair, pairs by their context
+                first = u[p[lead]]
+                top = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+                nested = [distinct[first[top]], np.diff(np.r_[top, len(lead)]), distinct[v[p[lead]]] & keep, np.diff(np.r_[lead, len(p)])]
+                out.append((s, blob(*nested, *(distinct[x[own]] & keep for x in later), n[own])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["shard", "data"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_fs(folder)
+        second, levels = Pairs(**pairs), [Grams(**g) for g in above]
+
+        def open_part(s: int, parts: list[np.ndarray]) -> list[np.ndarray]:
+            context, successors, token, each, *later, n = parts
+            at = np.repeat(second.find(s, np.repeat(context, successors), token), each)
+            for level, x in zip(levels, later):
+                at = level.find(s, at, x)
+            return [at, later[-1], n]
+
+        for s, (entry, child, n) in merged(batches, open_part):
+            held = levels[-1].shard(s)[1] if levels else second.shard(s)[2]
+            starts = EliasFano.build(np.searchsorted(entry, np.arange(held.n + 1)).astype(U64), len(entry) + 1)
+            succ = EliasFano.build((entry.astype(U64) << U64(CHILD_BITS)) | (child >> U64(64 - CHILD_BITS)), max(1, held.n) << CHILD_BITS)
+            sums = starts_of(n)[starts.get(np.arange(held.n + 1)).astype(np.int64)]
+            name = f"grams{order}-{s}-{uuid.uuid4().hex}"
+            save(fs, f"{root}/{name}", {"levels": [[e.n, e.low_bits] for e in (starts, succ)]}, [*starts.arrays(), *succ.arrays(), narrow(n), narrow(np.diff(sums))])
+            for own in (second, *levels):
+                own.held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name])], ["shard", "file"])
+
+    parts = df.select("doc_id", "text").mapInArrow(count, "shard int, data binary")
+    rows = parts.repartition(pairs["shards"], "shard").sortWithinPartitions("shard").mapInArrow(write, "shard int, file string").collect()  # a row a shard
+    return {"folder": folder, "files": [(r[0], r[1]) for r in rows]}
+
 
-def learn(df: DataFrame, weight: float = 32.0, folder: str | None = None) -> dict:
+def learn(df: DataFrame, weight: float = 32.0, folder: str | None = None, order: int = 2) -> dict:
     """The model of the training documents of (doc_id, text): where its files are, and its totals."""
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "lm")
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = learn_words(df, folder, shards)
     pairs = learn_pairs(df, words, max(1, words["total"] // SHARD_TOKENS), weight)
-    return {"words": words, "pairs": pairs}
+    grams: list[dict] = []
+    for _ in range(3, order + 1):
+        grams.append(learn_grams(df, words, pairs, grams))
+    return {"words": words, "pairs": pairs, "grams": grams}
 
 
 def score(df: DataFrame, model: dict) -> DataFrame:
@@ -463,7 +602,7 @@ def score(df: DataFrame, model: dict) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, words, pairs = WordHashes(), Words(**model["words"]), Pairs(**model["pairs"])
+        memo, words, pairs, grams = WordHashes(), Words(**model["words"]), Pairs(**model["pairs"]), [Grams(**g) for g in model["grams"]]
         for ids, texts in packed(batches):
             token, context, n = tokens_of(texts, memo)
             distinct, which = np.unique(token, return_inverse=True)
@@ -472,17 +611,26 @@ def score(df: DataFrame, model: dict) -> DataFrame:
             before = np.r_[np.searchsorted(distinct, END), which[:-1]]
             pair, pair_of = np.unique(before * np.int64(len(distinct)) + which, return_inverse=True)
             v, w = pair // len(distinct), pair % len(distinct)
-            log = pairs.log10(distinct[v], distinct[w], counts[v], base[w], words.total)
+            log, shard, place = pairs.log10(distinct[v], distinct[w], counts[v], base[w], words.total)
+            log, gram, depth = log[pair_of], pair_of, depths(n)
+            for k, level in enumerate(grams, 3):
+                at = np.flatnonzero(depth >= k - 2)
+                key, number = np.unique(gram[at - 1] * np.int64(len(distinct)) + which[at], return_inverse=True)
+                up = key // len(distinct)
+                c, of, place = level.counts(shard[up], place[up], distinct[key % len(distinct)])
+                shard, gram = shard[up], np.full(len(token), -1, np.int64)
+                gram[at] = number
+                log[at] = np.log10((c[number] + pairs.weight * 10 ** log[at]) / (of[number] + pairs.weight))
             starts = starts_of(n)[:-1]
             total = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(is_held_out(ids)), pa.array(n), pa.array(total((counts[which] > 0).astype(np.int64))), pa.array(np.full(len(ids), words.total, np.int64)), pa.array(total(base[which])), pa.array(total(log[pair_of]))],
+                [pa.array(ids, pa.int64()), pa.array(is_held_out(ids)), pa.array(n), pa.array(total((counts[which] > 0).astype(np.int64))), pa.array(np.full(len(ids), words.total, np.int64)), pa.array(total(base[which])), pa.array(total(log))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(df: DataFrame, weight: float = 32.0) -> DataFrame:
-    """Learn from the training folds and score every document, the held-out ones too."""
-    return score(df, learn(df, weight))
+def score_documents(df: DataFrame, weight: float = 32.0, order: int = 2) -> DataFrame:
+    """Learn n-grams up to `order` (2 or more) from the training folds and score every document, the held-out ones too."""
+    return score(df, learn(df, weight, order=order))

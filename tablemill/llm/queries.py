@@ -38,7 +38,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(_table(spark, sf_dir, "documents"))
+    return lm.score_documents(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

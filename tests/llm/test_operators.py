@@ -299,6 +299,30 @@ def test_lm_is_a_distribution_and_matches_the_formula(spark):
     assert sum(p2("a", w) for w in one) + weight * 0.5 / (n + 0.5 * (v + 1)) / (one["a"] + weight) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("order, shard_tokens", [(2, 40), (3, 2_000_000), (3, 40), (4, 40)])
+def test_lm_orders_match_the_formula(spark, monkeypatch, order, shard_tokens):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard_tokens)  # several shards, and frequent contexts spread over them
+    rnd = random.Random(order)
+    docs = [(i, " ".join(rnd.choice("aaaabbcdefgh") for _ in range(rnd.randrange(9)))) for i in range(80)]
+    weight = 4.0
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), weight, order).collect()}
+    whole = lambda t: [None, *t.split(), None]
+    seen, after = collections.Counter(), collections.Counter()
+    for t in (whole(t) for d, t in docs if not plain.held_out(d)):
+        for i in range(1, len(t)):
+            for k in range(min(order, i + 1)):
+                seen[tuple(t[i - k : i + 1])] += 1
+                after[tuple(t[i - k : i])] += 1
+    n, v = after[()], sum(len(g) == 1 for g in seen)
+
+    def p(g):
+        return (seen[g] + weight * p(g[1:])) / (after[g[:-1]] + weight) if len(g) > 1 else (seen[g] + 0.5) / (n + 0.5 * (v + 1))
+
+    for d, t in docs:
+        t = whole(t)
+        assert got[d] == pytest.approx(sum(np.log10(p(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(1, len(t))), abs=2e-4 * len(t)), d
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 2**40 - 1), max_size=300), st.lists(st.integers(0, 2**40 - 1), max_size=50))
 def test_elias_fano(values, others):
