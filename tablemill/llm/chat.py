@@ -26,7 +26,7 @@ Template = Callable[[list[Message]], str]
 _SPECIAL = re.compile(r"[\\<\[]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
-#: Turns that one rendering holds; longer conversations are rendered in blocks after the template has shown that blocks add up.
+#: Turns that one rendering of an additive template holds; longer conversations are rendered in blocks.
 BLOCK_TURNS = 64
 
 
@@ -39,6 +39,13 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
+def additive(template: Template) -> Template:
+    """Declares that a template's output for messages is its outputs for any parts of them put together."""
+    template.additive = True
+    return template
+
+
+@additive
 def bracket_template(messages: list[Message]) -> str:
     """Turns as <s>[ROLE]role[/ROLE]text</s>; users' texts stand between [INST] and [/INST]. Texts and roles are escaped."""
     out = []
@@ -73,20 +80,19 @@ def _common(a: str, b: str) -> int:
 def locate(messages: list[Message], template: Template, block: int = BLOCK_TURNS) -> Spans:
     """Spans of all turns by rendering each prefix once.
 
-    Up to `block` turns, every prefix is the conversation's own. Beyond, later blocks are rendered alone if the template's output
-    for the first block and one turn more is its outputs for both put together, and prefix by prefix otherwise.
+    Every prefix is the conversation's own, whatever its length, unless the template declares itself additive: then blocks are rendered alone,
+    and the prefixes after all if the blocks put together are not what the template gives for the whole.
     """
-    if len(messages) > block:
-        head, nxt = messages[:block], messages[block : block + 1]
-        if template(head + nxt) == template(head) + template(nxt) and template(nxt + nxt) == template(nxt) + template(nxt):
-            text, turns, rewrites = [], [], []
-            at = 0
-            for k in range(0, len(messages), block):
-                s = locate(messages[k : k + block], template, block)
-                text.append(s.text)
-                turns += [(a + at, b + at) for a, b in s.turns]
-                rewrites += [k + r for r in s.rewrites]
-                at += len(s.text)
+    if len(messages) > block and getattr(template, "additive", False):
+        text, turns, rewrites = [], [], []
+        at = 0
+        for k in range(0, len(messages), block):
+            s = locate(messages[k : k + block], template, block)
+            text.append(s.text)
+            turns += [(a + at, b + at) for a, b in s.turns]
+            rewrites += [k + r for r in s.rewrites]
+            at += len(s.text)
+        if "".join(text) == template(messages):
             return Spans("".join(text), turns, rewrites)
     last, turns, rewrites = "", [], []
     for k in range(1, len(messages) + 1):

@@ -551,6 +551,23 @@ def test_blocks_only_if_they_add_up():
         assert s.text == template(ms) and s.turns == chat.locate(ms, template, block=999).turns
 
 
+def test_late_rewriting_is_found():
+    ms = [(("user", "assistant")[i % 2], f"<think>{i}</think>{i};") for i in range(130)]
+
+    def trims(x):
+        return "".join(t for _, t in x[-100:])
+
+    def forgets_reasoning(x):
+        past = max((i for i, (r, _) in enumerate(x) if r == "user"), default=0)
+        return "".join(chat.re.sub("<think>.*?</think>", "", t) if i < past and i >= 64 else t for i, (_, t) in enumerate(x))
+
+    for template, first in ((trims, 100), (forgets_reasoning, 66)):
+        s = chat.locate(ms, template)
+        assert s.text == template(ms) and s.rewrites[0] == first
+    wrong = chat.additive(lambda x: trims(x))  # a declaration that the whole belies
+    assert chat.locate(ms, wrong).text == trims(ms)
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------------
 
 
