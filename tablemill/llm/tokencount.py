@@ -17,32 +17,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import SentencePieceBpe
-from .common import column, open_fs, scratch_path, text_chunks
+from .common import column, materialise, open_fs, scratch_path, text_chunks
 
 #: Bytes a block has.
 BLOCK_BYTES = 4 << 20
 
 
 def write_token_files(df: DataFrame, folder: str, ranks_path: str, pattern: str, end_id: int, dtype: str = "<u2") -> DataFrame:
-    """Tokenise (doc_id, text) into a flat file a task; returns (file, documents), for an action to run. Null text is an empty document."""
+    """Tokenise (doc_id, text) into a flat file a task; returns (file, doc_no, doc_id), for one action to run. Null text is an empty document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         bpe, name, out, n = SentencePieceBpe(ranks_path, pattern), f"{uuid.uuid4().hex}.tok", None, 0
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            for _, texts in text_chunks(batch):
+            for part, texts in text_chunks(batch):
                 if out is None and texts:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}")
                 for ids in bpe.encode([t.decode() for t in texts]):
                     out.write(ids.astype(dtype).tobytes() + end)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts)), pa.array(range(n, n + len(texts)), pa.int64()), column(part, "doc_id").cast(pa.int64())], ["file", "doc_no", "doc_id"])
                 n += len(texts)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "documents"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "file string, documents long")
+    return df.select("doc_id", "text").mapInArrow(run, "file string, doc_no long, doc_id long")
 
 
 def plan_blocks(spark: SparkSession, folder: str, files: list[str] | None, width: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -92,8 +92,14 @@ def separator_scan(spark: SparkSession, folder: str, end_id: int, files: list[st
 
 
 def count_tokens(df: DataFrame, ranks_path: str, pattern: str, end_id: int) -> DataFrame:
-    """Write the documents as flat token files in the shared folder and count each one's tokens from the files alone."""
+    """Write the documents as flat token files in the shared folder and count each one's tokens from the files alone.
+
+    Per row of (doc_id, text): doc_id, from a side table by file and doc_no, and what separator_scan gives. Repeated and null ids are kept.
+    """
     spark = df.sparkSession
     folder = scratch_path(spark, "tokens")
-    files = [r[0] for r in write_token_files(df, folder, ranks_path, pattern, end_id).collect()]  # a name a task
-    return separator_scan(spark, folder, end_id, files)
+    ids = materialise(write_token_files(df, folder, ranks_path, pattern, end_id), "token-ids")
+    files = sorted(r[0] for r in ids.select("file").distinct().collect())  # a name a task
+    numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, file_no int")  # plan_blocks numbers files by path
+    ids = ids.join(F.broadcast(numbers), "file").select("file_no", "doc_no", "doc_id")
+    return separator_scan(spark, folder, end_id, files).join(ids.hint("merge"), ["file_no", "doc_no"]).select("doc_id", "file_no", "doc_no", "start", "n_tokens")

@@ -497,6 +497,14 @@ def test_token_counts_odd_rows(odd, empty):
     assert tokencount.count_tokens(empty, ranks, P.PATTERN, 50256).count() == 0
 
 
+def test_token_counts_by_document(spark, sf, docs, odd):
+    ranks = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = bpe.SentencePieceBpe(ranks, P.PATTERN)
+    for df, rows in ((odd, odd_docs()), (spark.read.parquet(f"{sf}/documents.parquet").repartition(7), docs)):
+        want = sorted(((d, len(x)) for (d, _), x in zip(rows, enc.encode([t or "" for _, t in rows]))), key=repr)
+        assert rows_of(tokencount.count_tokens(df, ranks, P.PATTERN, 50256), "doc_id", "n_tokens") == want
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------
 
 
