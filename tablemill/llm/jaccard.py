@@ -1,23 +1,28 @@
 """Exact n-gram Jaccard join by skipping over set relations.
 
-Index lists by position. A set's shingle hashes, in the global order of hash values, are cut into blocks by position in the
-hash space. Two sets over the threshold differ in at most k shingles, so among more than k blocks at least one is equal in both. Lists are
-keyed by (size class, block, contents of the block): every block whose contents differ is skipped without being read. (Lists of single
-prefix tokens, the usual form, hold every document that shares a common passage; a block's contents do not.)
-
-Answers from a highly similar set. In each list the least set L is the leader, and only its pairs are computed at first, as differences: what a
-member x lacks of L and what it adds. They give any two members' intersection without their texts:
-    |x & y| = |L| - |L\\x| - |L\\y| + |both lack| + |both add|
-Members that are linked to their leader are in one component, and pairs inside a component need no answer. Two members of different components can only be
-linked if their differences have at least c elements in common, c known from the sizes; so a prefix of each difference, rarest first, is indexed,
-and only members that share an element of their prefixes are compared. Members that are unlike their leader are led anew, by the blocks of another permutation.
+1. Lists by blocks. A set's shingle hashes, in the order of their values, are cut into blocks by position in the hash space. Linked sets differ in at
+most k shingles, so among more than k blocks at least one is equal in both, and a set with f filled blocks shares f - k of them with any partner.
+Lists are keyed by (size class, block, contents of the block): blocks whose contents differ are skipped unread. Only sets that share as many
+lists as a partner would need go on; most documents end here, and only of the others the sets are stored.
+
+2. Answers taken over. Each set is compared with one leader only, the list leader that it shares most lists with. A set that is linked to its leader
+takes the leader's answer, its component, and needs no further one; lists whose members are all in one component are skipped from then on. This is repeated
+for the lists that are left, with a member of another component as leader.
+
+3. Lists by position. The sets that still share enough lists with another component are joined exactly, rarest shingles first. Shingles that no other component
+has can't be shared, so they come first and only use up positions. A list's entries are sorted by size and held in blocks with the partner sizes that the
+block's positions still allow; whole blocks are skipped. Pairs that are left and whose sets were both compared with one leader get bounds from those two answers,
+    |L & x| + |L & y| - |L| <= |x & y| <= min(|L & x|, |L & y|) + min(|x \\ L|, |y \\ L|),
+and only pairs that these don't decide are intersected.
+
+Which leaders are compared in step 2 changes the work of step 3, never the links. Tables of each step are in the shared folder.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, column, components, fresh_name, hash_words, materialise, mix, row_key, seeded, signed, starts_of, text_chunks
+from .common import U64, WordHashes, column, components, fresh_name, hash_words, materialise, mix, row_key, seeded, starts_of, text_chunks
 
 #: Ratio of the size classes' ends, and permutations that sets with many empty blocks may take.
 CLASS_RATIO, PERMUTATIONS = 0.6, 3
-#: Similarity, in percent, from which a member is like its leader.
-ALIKE = 50
-#: Members of a leader that share a copy of its text.
-LEADER_SHARE = 64
+#: Rounds in which sets take a leader's answer over.
+ROUNDS = 2
+#: Rows up to which a table of one long a row is broadcast (16 MB), entries of a list that one task holds, and entries of a block that is skipped whole.
+BROADCAST_ROWS, LIST_SHARE, BLOCK = 2_000_000, 4096, 64
+#: Bytes of text whose lists are put together before they are sent.
+COMBINE_BYTES = 16 << 20
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
@@ -84,36 +91,40 @@ def scheme(c: int, percent: int) -> tuple[int, int]:
     return k + 1, k
 
 
-def keys_of(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
-    """The lists that a set stands in. Any two different sets over the threshold have one in common.
+def lists_of(s: np.ndarray, percent: int) -> list[tuple[np.ndarray, int, int]]:
+    """The lists that a set stands in, as (keys, lot, need) for each lot. Any two different sets over the threshold have a list in common.
 
     Linked sets differ in at most n * (100 - percent) / percent shingles, so that many blocks at most. If the set's empty blocks are no more than the
     blocks that stay equal at least, less one, then one that is equal is not empty. A set with more takes another permutation too, and at last its empty blocks.
+    need: a set has a partner only if in one of its lots it shares this many lists with other sets.
     """
     n, out = len(s), []
-    c = class_of(n)
-    classes = [c]
+    classes = [class_of(n)]
     while 100 * n >= percent * smallest(classes[-1] + 1):
         classes.append(classes[-1] + 1)
     for own in classes:
         m, k = scheme(own, percent)
         differ = min(k, n * (100 - percent) // percent)
         for turn in range(PERMUTATIONS):
-            x = s if not turn and not salt else np.sort(seeded(s, 1 + turn + salt))
+            x = s if not turn else np.sort(seeded(s, 1 + turn))
             block = (x >> U64(32)) * U64(m) >> U64(32)  # ascending, as x is
             edges = np.searchsorted(block, np.arange(m + 1, dtype=U64))
             total = np.zeros(n + 1, U64)
             np.cumsum(seeded(x, 99), out=total[1:])
             held, full = total[edges[1:]] - total[edges[:-1]], edges[1:] > edges[:-1]
-            last = turn == PERMUTATIONS - 1
-            many = m - int(full.sum()) > m - 1 - differ
-            take = np.ones(m, bool) if last and many else full
+            filled = int(full.sum())
+            many = m - filled > m - 1 - differ
+            lot = own * 16 + turn
             with np.errstate(over="ignore"):
-                tag = U64((own * 16 + turn) * 1_000_003 + salt) * U64(0x9E3779B97F4A7C15)
-                out.append(mix(held + seeded(np.arange(m, dtype=np.int64).view(U64) + tag, 7))[take])
+                keys = mix(held + seeded(np.arange(m, dtype=np.int64).view(U64) + U64(lot * 1_000_003) * U64(0x9E3779B97F4A7C15), 7))
+            out.append((keys if many and turn == PERMUTATIONS - 1 else keys[full], lot, 1 if many else filled - differ))
             if not many:
                 break
-    return np.concatenate(out)
+    return out
+
+
+def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
+    return np.concatenate([keys for keys, _, _ in lists_of(s, percent)])
 
 
 @cache
@@ -139,90 +150,100 @@ def sets_of(df: DataFrame, n: int) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), "_row", "text").mapInArrow(run, "doc_id long, _row long, n_shingles long, node long")
 
 
-def postings(df: DataFrame, n: int, percent: int, prefix: str | None = None) -> DataFrame:
-    """(key, node, n): the lists that each text's set stands in; a task names a set once. prefix: a column that keys are refined by."""
+LISTS = "key long, node long, lot int, need int"
+
+
+def postings(df: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, node, lot, need, held): the lists that each text's set stands in.
+
+    What a task reads is put together some COMBINE_BYTES at a time, so that a list that very many sets stand in gets one row from each: of the sets of a
+    list the least node stands for the others (held: 1; 0 if it is alone), which are known to share the list (2). A task names a set once.
+    """
+
+    def rows(key: list, node: list, lot: list, need: list) -> pa.RecordBatch:
+        k = np.concatenate(key).view(np.int64)
+        each = [np.repeat(np.array(x), [len(y) for y in key]) for x in (node, lot, need)]
+        order = np.lexsort((each[0], k))
+        k, (who, lot_, need_) = k[order], (x[order] for x in each)
+        new = np.r_[True, k[1:] != k[:-1]]
+        held = np.where(new, 0, 2)
+        first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        held[first[~new]] = 1
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(who, pa.int64()), pa.array(lot_, pa.int32()), pa.array(need_, pa.int32()), pa.array(held, pa.int32())], ["key", "node", "lot", "need", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = WordHashes(), set()
+        memo, seen, size = WordHashes(), set(), 0
+        out: tuple[list, list, list, list] = ([], [], [], [])
         for batch in batches:
-            for part, texts in text_chunks(batch):
-                keys, nodes, sizes = [], [], []
-                above = column(part, prefix).to_pylist() if prefix else [None] * len(texts)
-                for s, p in zip(shingles(*hash_words([t.lower() for t in texts], memo), n), above):
-                    if not len(s) or (node_of(s), p) in seen:
+            for _, texts in text_chunks(batch):
+                for s in shingles(*hash_words([t.lower() for t in texts], memo), n):
+                    if not len(s) or (name := node_of(s)) in seen:
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen.add((node_of(s), p))
-                    k = keys_of(s, percent, 50 if prefix else 0)
-                    if prefix:
-                        with np.errstate(over="ignore"):
-                            k = mix(k + seeded(np.array([p], np.int64).view(U64), 3))
-                    keys.append(k)
-                    nodes.append(np.full(len(k), node_of(s), np.int64))
-                    sizes.append(np.full(len(k), len(s), np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["key", "node", "n"])
+                    seen.add(name)
+                    for keys, lot, need in lists_of(s, percent):
+                        for x, y in zip(out, (keys, name, lot, need)):
+                            x.append(y)
+                size += sum(map(len, texts))
+                if size >= COMBINE_BYTES and out[0]:
+                    yield rows(*out)
+                    out, size = ([], [], [], []), 0
+        if out[0]:
+            yield rows(*out)
 
-    return df.select("text", *[prefix] * bool(prefix)).mapInArrow(run, "key long, node long, n int")
+    return df.select("text").mapInArrow(run, LISTS + ", held int")
 
 
-def led(lists: DataFrame) -> DataFrame:
-    """(key, leader, ln, node, n) for the lists with two sets or more: the least node leads; members come without the leader.
+def shared(lists: DataFrame) -> DataFrame:
+    """The rows of lists that two sets or more stand in. Rows come to a task sorted; a list is read in a stream, whatever its length.
 
-    Rows come to a task sorted; a list is read in a stream, whatever its length.
+    Rows that are known to share their list aren't gathered by it, so a list that very many sets stand in is spread over the tasks.
     """
+    names = ["key", "node", "lot", "need"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_node = lead = size = None
+        last, waits = (None, None), None  # the last row's key and node; the row of a list that has no second one yet
         for b in batches:
-            key, node, n = (column(b, c).to_numpy() for c in ("key", "node", "n"))
-            if not len(key):
+            rows = b.select(names)
+            key, node, held = (column(b, c).to_numpy() for c in ("key", "node", "held"))
+            if (held == 2).any():
+                yield rows.filter(pa.array(held == 2))
+            again = np.r_[(key[:1] == last[0]) & (node[:1] == last[1]) if last[0] is not None else np.zeros(len(key[:1]), bool), (key[1:] == key[:-1]) & (node[1:] == node[:-1]) & (held[:-1] != 2)]
+            at = np.flatnonzero((held != 2) & ~again)
+            if not len(at):
                 continue
-            new = np.r_[key[0] != last_key if last_key is not None else True, key[1:] != key[:-1]]
-            again = ~new & (node == np.r_[last_node if last_node is not None else node[0], node[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            lead_of = np.where(first >= 0, node[first], lead if lead is not None else 0)
-            size_of = np.where(first >= 0, n[first], size if size is not None else 0).astype(np.int32)
-            keep = ~new & ~again & (node != lead_of)
-            last_key, last_node, lead, size = key[-1], node[-1], lead_of[-1], size_of[-1]
+            key, node, held, rows = key[at], node[at], held[at], rows.take(pa.array(at))
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            full = (size > 1) | (np.maximum.reduceat(held, start) == 1)
+            if key[0] == last[0]:
+                full[0] = True
+                if waits is not None:
+                    yield waits
+            keep = np.repeat(full, size)
+            waits, last = None if full[-1] else rows.slice(len(key) - 1), (key[-1], node[-1])
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, lead_of, size_of, node, n)], ["key", "leader", "ln", "node", "n"])
+                yield rows.filter(pa.array(keep))
 
-    return lists.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, leader long, ln int, node long, n int")
+    where = F.when(F.col("held") == 2, F.xxhash64("key", "node")).otherwise(F.xxhash64("key"))
+    # of equal rows the one that stands for others comes first; rows that aren't gathered come after those that are
+    order = [F.col("held") == 2, F.col("key"), F.col("node"), F.col("held").desc()]
+    return lists.withColumn("place", where).repartition("place").sortWithinPartitions(*order).drop("place").mapInArrow(run, LISTS)
 
 
-def differences(pairs: DataFrame, texts: DataFrame, n: int, alike: int) -> DataFrame:
-    """(a, b, na, nb, o, lacks, adds) for distinct pairs (a, b); texts: (node, text), one row a node.
-
-    lacks and adds, what b has not of a and what it has besides, are null for pairs that are less alike than `alike` percent. Each copy of a's text
-    serves LEADER_SHARE members at most, so that a set with very many partners is spread over tasks.
-    """
+def set_rows(df: DataFrame, n: int) -> DataFrame:
+    """(node, n, s): the set of each text, by its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, own = WordHashes(), None
+        memo = WordHashes()
         for batch in batches:
-            for part, bt in text_chunks(batch):
-                at, a_texts = column(part, "a").to_pylist(), column(part, "at").cast(pa.binary())
-                fresh = [i for i, a in enumerate(at) if i == 0 or a != at[i - 1]]
-                lead = dict(zip(fresh, shingles(*hash_words([(a_texts[i].as_py() or b"").lower() for i in fresh], memo), n)))
-                na, o, lacks, adds = [], [], [], []
-                sets = shingles(*hash_words([t.lower() for t in bt], memo), n)
-                for i, s in enumerate(sets):
-                    own = lead.get(i, own)
-                    same = len(np.intersect1d(own, s, assume_unique=True))
-                    near = 100 * same >= alike * (len(own) + len(s) - same)
-                    na.append(len(own))
-                    o.append(same)
-                    lacks.append(signed(np.setdiff1d(own, s, assume_unique=True)) if near else None)
-                    adds.append(signed(np.setdiff1d(s, own, assume_unique=True)) if near else None)
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(na, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(o, pa.int64()), pa.array(lacks, longs), pa.array(adds, longs)], ["a", "b", "na", "nb", "o", "lacks", "adds"])
-
-    many = pairs.groupBy("a").count().select("a", (F.col("count") / LEADER_SHARE).cast("int").alias("shares"))
-    lead = many.join(texts.select(F.col("node").alias("a"), F.col("text").alias("at")), "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares"))))
-    member = pairs.join(texts.select(F.col("node").alias("b"), "text"), "b").join(many, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares") + 1).cast("int"))
-    return member.join(lead.select("a", "share", "at"), ["a", "share"]).select("a", "b", "text", "at").mapInArrow(run, "a long, b long, na long, nb long, o long, lacks array<long>, adds array<long>")
+            for _, texts in text_chunks(batch):
+                sets = shingles(*hash_words([t.lower() for t in texts], memo), n)
+                values = pa.ListArray.from_arrays(pa.array(starts_of(np.array([len(s) for s in sets], np.int64)), pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, U64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), values], ["node", "n", "s"])
+
+    return df.select("text").mapInArrow(run, "node long, n long, s array<long>")
 
 
 def linked(o, na, nb, percent: int):
@@ -230,21 +251,151 @@ def linked(o, na, nb, percent: int):
     return 100 * o >= percent * (na + nb - o)
 
 
+def rooted(df: DataFrame, comp: DataFrame | None, node: str) -> DataFrame:
+    """Adds `root`, the component of a column of nodes; a node without a link is its own."""
+    if comp is None:
+        return df.withColumn("root", F.col(node))
+    return df.join(comp.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
+
+
+def weighed(lists: DataFrame) -> DataFrame:
+    """Adds `weight` to each row's node: the sum of its lists' lengths, largest for the sets in the middle of many near copies."""
+    length = lists.groupBy("key").agg(F.count("*").alias("length"))
+    weight = lists.join(length, "key").groupBy("node").agg(F.sum("length").alias("weight"))
+    return lists.join(weight, "node")
+
+
+def mixed(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The rows of lists with members of different components, of nodes that share enough such lists; lead: a list's member of most weight."""
+    own = rooted(lists, comp, "node")
+    lead = own.groupBy("key").agg(F.max(F.struct("weight", "node", "root")).alias("lead"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key", "lead")
+    met = own.join(lead, "key")
+    enough = met.groupBy("node", "lot").agg(F.count("*").alias("c"), F.max("need").alias("least")).where("c >= least").select("node", "lot")
+    return met.join(enough, ["node", "lot"], "left_semi")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, o) for pairs (a, b)."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
+
+
+def contracted(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components after further links (a, b)."""
+    ends = rooted(links.select("a", "b"), comp, "a").withColumnRenamed("root", "ra")
+    more = components(links.sparkSession, rooted(ends, comp, "b").select(F.col("ra").alias("a"), F.col("root").alias("b")))
+    if comp is None:
+        return more
+    old = comp.withColumnRenamed("root", "was").join(more.select(F.col("node").alias("was"), "root"), "was", "left").select("node", F.coalesce("root", "was").alias("root"))
+    return materialise(old.unionAll(more.join(comp, "node", "left_anti").select("node", "root")), "components")
+
+
 def linked_sets(df: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows' sets (doc_id, _row, n_shingles, node), and the components (node, root) of the nodes that have a link."""
     docs = row_key(df.select("doc_id", "text"))
-    sets = materialise(sets_of(docs, n), "sets")
-    texts = docs.select("_row", "text").join(sets.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row")), "_row").select("node", "text")
-    first = led(postings(docs.select("text"), n, percent)).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c")).select("a", "b")
-    first = materialise(first, "pairs")
-    ends = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
-    texts = materialise(texts.join(ends, "node", "left_semi"), "texts")
-    known = materialise(differences(first, texts, n, ALIKE), "known")
-    edges = known.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    comp = components(df.sparkSession, edges)
-    more = further_edges(known, comp, texts, n, percent)
-    comp = components(df.sparkSession, edges.unionAll(more)) if more.limit(1).count() else comp
-    return sets, comp
+    named = materialise(sets_of(docs, n), "sets")
+    lists = materialise(shared(postings(docs, n, percent)), "lists")
+    lists = materialise(weighed(materialise(mixed(lists.withColumn("weight", F.lit(0)), None).select("key", "node", "lot", "need"), "lists")), "lists")
+    sets = stored_sets(docs, named, lists.select("node").distinct(), n)
+    comp, tested = None, None
+    for _ in range(ROUNDS):
+        met = mixed(lists, comp).where("root <> lead.root")
+        pairs = met.groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b"), "lot").agg(F.count("*").alias("c"), F.max("need").alias("least")).where("c >= least")
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        best = pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+        now = materialise(compared(best, sets), "tested")
+        tested = now if tested is None else tested.unionAll(now)
+        comp = contracted(comp, now.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)))
+    found = rest(sets, rooted(mixed(lists, comp).select("node").distinct(), comp, "node"), tested, percent)
+    return named, contracted(comp, found)
+
+
+def stored_sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The sets of the nodes, each from one of its rows, as a table."""
+    rows = materialise(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("_row").alias("_row")).select("_row"), "rows")
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    return materialise(set_rows(docs.join(rows, "_row", "left_semi"), n).dropDuplicates(["node"]), "members")
+
+
+def rest(sets: DataFrame, nodes: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """Links (a, b) between the components (root) of nodes (node, root), exactly, as a table; tested: pairs that were compared."""
+    each = sets.join(nodes, "node").select("node", "root", "n", F.explode("s").alias("e"))
+    often = each.groupBy("e").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("e", "df")
+    own = each.join(often, "e").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    # a partner shares least elements or more; what only this component has can't be among them
+    least, reach = F.ceil(percent * F.col("n") / 100), F.size("es")
+    own = own.where(reach >= least).select("node", "root", "n", reach.alias("reach"), F.posexplode(F.slice("es", F.lit(1), (reach - least + 1).cast("int"))).alias("p", "x"))
+    entries = materialise(own.select(F.col("x.e").alias("e"), "node", "root", "n", (F.col("reach") - F.col("p")).alias("reach")), "entries")
+    shares = entries.groupBy("e").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("e", F.ceil(F.col("c") / LIST_SHARE).cast("int").alias("shares"))
+    dealt = entries.join(shares, "e")
+    index = dealt.withColumn("share", F.pmod(F.xxhash64("node"), "shares").cast("int")).withColumn("probe", F.lit(False))
+    probe = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("probe", F.lit(True))
+    rows = index.unionByName(probe).drop("shares").repartition("e", "share").sortWithinPartitions("e", "share", "probe", "n", "node")
+    pairs = rows.mapInArrow(lambda batches: met_by_position(batches, percent), "a long, b long").distinct()
+    if tested is None:
+        return materialise(compared(pairs, sets).where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b"), "rest")
+    # a node was compared with a leader once a round: of the leaders that both ends have, all bounds hold
+    side = lambda k: tested.select(F.col("b").alias(k), F.col("a").alias("l"), F.col("na").alias("nl"), F.col("nb").alias(f"n{k}"), F.col("o").alias(f"o{k}"))
+    low = F.col("oa") + F.col("ob") - F.col("nl")
+    high = F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+    bounds = pairs.join(side("a"), "a").join(side("b").drop("nl"), ["b", "l"])
+    known = bounds.groupBy("a", "b").agg(F.max(linked(low, F.col("na"), F.col("nb"), percent)).alias("yes"), F.max(~linked(high, F.col("na"), F.col("nb"), percent)).alias("no"))
+    pairs = materialise(pairs.join(known, ["a", "b"], "left"), "met")
+    read = compared(pairs.where("yes is null or not (yes or no)"), sets).where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    return materialise(read.unionAll(pairs.where("yes").select("a", "b")), "rest")
+
+
+def met_by_position(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b) of different components that a list doesn't exclude by size and position; rows (e, share, probe, n, reach, node, root) sorted, index before probes.
+
+    Two sets of sizes n and m that share at least percent * (n + m) / (100 + percent) elements have as many left, from their first common element on:
+    so a set with `reach` elements left takes partners of at most reach * (100 + percent) / percent - n elements.
+    """
+    own: tuple | None = None
+    index: list[np.ndarray] = []
+    edges = low = high = top = np.empty(0, np.int64)
+    for batch in batches:
+        e, share, probe, n, reach, node, root = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("e", "share", "probe", "n", "reach", "node", "root"))
+        most = np.minimum(reach * (100 + percent) // percent - n, 100 * n // percent)  # the largest partner
+        for a, b in zip(*stretches(e, share, probe)):
+            name = (e[a], share[a])
+            if name != own:
+                own, index = name, []
+            if not probe[a]:
+                index.append(np.stack([n[a:b], most[a:b], node[a:b], root[a:b]]))
+                continue
+            if not index:
+                continue
+            held = np.concatenate(index, axis=1)
+            index = [held]
+            edges = np.arange(0, held.shape[1], BLOCK)
+            low, high, top = held[0, edges], held[0, np.r_[edges[1:], held.shape[1]] - 1], np.maximum.reduceat(held[1], edges)
+            for c in range(a, b, 256):
+                p = slice(c, min(c + 256, b))
+                nn, mm = n[p, None], most[p, None]
+                at, blocks = np.nonzero((high * 100 >= percent * nn) & (low <= mm) & (top >= nn))
+                if not len(at):
+                    continue
+                y = (edges[blocks][:, None] + np.arange(BLOCK)).ravel()
+                x = np.repeat(at, BLOCK) + c
+                x, y = x[y < held.shape[1]], y[y < held.shape[1]]
+                size, past, who, part = held[:, y]
+                ok = (100 * size >= percent * n[x]) & (size <= most[x]) & (past >= n[x]) & (who > node[x]) & (part != root[x])
+                if ok.any():
+                    pair = np.unique(np.stack([node[x][ok], who[ok]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+
+def stretches(*keys: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches of rows with equal keys."""
+    n = len(keys[0])
+    if not n:
+        return [], []
+    edges = [0, *(np.flatnonzero(reduce(np.logical_or, (k[1:] != k[:-1] for k in keys))) + 1).tolist(), n]
+    return edges[:-1], edges[1:]
 
 
 def join_components(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -263,63 +414,6 @@ def join_components(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def rooted(df: DataFrame, comp: DataFrame, node: str) -> DataFrame:
-    """Adds `root`, the component of a column of nodes; a node without a link is its own."""
-    return df.join(comp.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
-
-
-def further_edges(known: DataFrame, comp: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between different components of members with one leader.
-
-    Of a linked pair either both are like the leader, or one is not and the other, by the triangle inequality of the Jaccard distance, is at most
-    100 - percent above the bound. The latter members of a leader share a list again in another permutation, refined by the leader.
-    """
-    near = known.where("lacks is not null")
-    like = 100 * F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
-    far = rooted(known.where(like < ALIKE + 100 - percent).select("a", "b"), comp, "b")
-    several = far.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("a")
-    far = far.join(several, "a", "left_semi").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    again = led(postings(texts.join(far, "node").select("key", "text"), n, percent, "key"))
-    pairs = again.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    anew = materialise(differences(pairs, texts, n, 0), "anew")
-    found = anew.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    # in a list of the second permutation the leader is the least node, so that its pairs are (a, b) as computed
-    return materialise(found.unionAll(derived(near.unionByName(anew).dropDuplicates(["a", "b"]), comp, percent)), "more")
-
-
-def derived(known: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one leader, derived from their differences to it.
-
-    weight(x) = percent * |x| + (100 + percent) * |L\\x|; x and y are linked if their differences share (weight(x) + weight(y)) / (100 + percent) - |L|
-    elements or more. A partner in another component is not linked to L if x is: its weight is above 100 * |L|; any weight is at least that of L.
-    """
-    whole = 100 + percent
-    rows = rooted(known, comp, "b").withColumn("weight", percent * F.col("nb") + whole * F.size("lacks"))
-    partner = F.when(linked(F.col("o"), F.col("na"), F.col("nb"), percent), 100 * F.col("na") + 1).otherwise(percent * F.greatest(F.col("na"), F.ceil(F.col("nb") * percent / 100)))
-    least = F.greatest(F.lit(1), F.ceil((F.col("weight") + partner) / whole) - F.col("na"))
-    mixed = rows.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("a")
-    rows = materialise(rows.withColumn("prefix", (F.size("lacks") + F.size("adds") - least + 1).cast("int")).join(mixed, "a", "left_semi"), "members")
-    each = rows.where("prefix > 0").select("a", "b", "prefix", F.explode(F.concat("lacks", "adds")).alias("e"))
-    often = each.groupBy("a", "e").agg(F.count("*").alias("c"))
-    ordered = each.join(often, ["a", "e"]).groupBy("a", "b").agg(F.first("prefix").alias("prefix"), F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
-    index = ordered.select("a", "b", F.posexplode(F.slice("es", F.lit(1), F.col("prefix"))).alias("p", "x")).where("x.c > 1").select("a", "b", F.col("x.e").alias("e"), "p")
-    index = index.join(rows.select("a", "b", "root", "nb", "na", "weight", (F.size("lacks") + F.size("adds")).alias("d")), ["a", "b"])
-    split = index.groupBy("a", "e").agg(F.min("root").alias("main"), F.max("root").alias("other")).where("main < other").select("a", "e", "main")
-    index = materialise(index.join(split, ["a", "e"]), "prefixes")
-    x = index.where("root <> main").select("a", "e", F.col("b").alias("x"), F.col("root").alias("xr"), F.col("nb").alias("xn"), F.col("weight").alias("xw"), (F.col("d") - F.col("p")).alias("xd"), F.col("na").alias("l"))
-    y = index.select("a", "e", "main", F.col("b").alias("y"), F.col("root").alias("yr"), F.col("nb").alias("yn"), F.col("weight").alias("yw"), (F.col("d") - F.col("p")).alias("yd"))
-    sizes = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
-    once = (F.col("yr") == F.col("main")) | (F.col("x") < F.col("y"))
-    # by position: from the first element in common on (positions count from 0), either difference must hold as many as the two must share
-    enough = F.least("xd", "yd") >= (F.col("xw") + F.col("yw")) / whole - F.col("l")
-    met = x.alias("p").join(y.alias("q"), (F.col("p.a") == F.col("q.a")) & (F.col("p.e") == F.col("q.e")) & (F.col("xr") != F.col("yr")) & once & sizes & enough)
-    met = met.groupBy("x", "y").agg(F.min("p.a").alias("a"))
-    side = lambda k: rows.select("a", F.col("b").alias(k), F.col("na").alias("l"), F.col("nb").alias(f"{k}n"), F.col("lacks").alias(f"{k}l"), F.col("adds").alias(f"{k}a"))
-    both = met.join(side("x"), ["a", "x"]).join(side("y").drop("l"), ["a", "y"])
-    common = F.col("l") - F.size("xl") - F.size("yl") + F.size(F.array_intersect("xl", "yl")) + F.size(F.array_intersect("xa", "ya"))
-    return both.where(linked(common, F.col("xn"), F.col("yn"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
 def keep_one(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df less near copies: of each component the row with the least doc_id stays (null ids come last); of rows with that id, one.
 

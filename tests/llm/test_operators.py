@@ -193,10 +193,10 @@ def test_jaccard_families(spark, n, percent):
     assert {r[0]: (r[1], r[2]) for r in out.collect()} == plain.jaccard_components(docs, n, percent)
 
 
-@pytest.mark.parametrize("alike", [0, 30, 100])
-def test_jaccard_bound_of_likeness_changes_no_link(spark, monkeypatch, alike):
-    """Whichever members are compared by differences and whichever are led anew, the links are the same."""
-    monkeypatch.setattr(jaccard, "ALIKE", alike)
+@pytest.mark.parametrize(("name", "value"), [("ROUNDS", 0), ("ROUNDS", 1), ("ROUNDS", 4), ("LIST_SHARE", 3), ("BLOCK", 2), ("COMBINE_BYTES", 1), ("BROADCAST_ROWS", -1)])
+def test_jaccard_work_changes_no_link(spark, monkeypatch, name, value):
+    """Whichever sets are compared with leaders, and however lists are dealt and put together, the links are the same."""
+    monkeypatch.setattr(jaccard, name, value)
     test_jaccard_families(spark, 3, 80)
 
 
@@ -212,6 +212,43 @@ def test_linked_sets_share_a_list(n, seed, percent):
         assert set(jaccard.keys_of(a, percent).tolist()) & set(jaccard.keys_of(b, percent).tolist())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 120), st.integers(0, 2**32), st.sampled_from([90, 80]))
+def test_linked_sets_share_as_many_lists_as_they_need(n, seed, percent):
+    rnd = np.random.default_rng(seed)
+    a = np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64))
+    gone = rnd.integers(0, n * (100 - percent) // (2 * percent) + 1)
+    b = np.unique(np.r_[a[gone:], rnd.integers(0, 2**63, rnd.integers(0, gone + 1), dtype=np.uint64)])
+    o = len(np.intersect1d(a, b))
+    if 100 * o >= percent * (len(a) + len(b) - o):
+        for x, y in ((a, b), (b, a)):
+            theirs = jaccard.keys_of(y, percent)
+            assert any(np.isin(keys, theirs).sum() >= need for keys, _, need in jaccard.lists_of(x, percent))
+
+
+def test_jaccard_pairs_of_near_copies_grow_with_the_copies(spark, monkeypatch):
+    """Near copies of one text, some of them linked to most others and some not: pairs that are compared are a few a copy, not all."""
+    rnd, counts = random.Random(4), []
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(500):
+        own = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            own[rnd.randrange(150)] = f"x{i}"
+        docs.append((i, " ".join(own)))
+
+    whole = jaccard.compared
+
+    def counted(pairs, sets):
+        counts.append(pairs.count())
+        return whole(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "compared", counted)
+    got = {r[0]: r[2] for r in jaccard.join_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 3, 90).collect()}
+    assert got == {d: c for d, (_, c) in plain.jaccard_components(docs, 3, 90).items()}
+    assert sum(counts) <= 3 * len(docs), counts
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = jaccard.join_components(odd, 3, 90).collect()
     assert len(got) == len(odd_docs())
