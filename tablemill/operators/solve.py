@@ -12,7 +12,7 @@ from tablemill.functions.numbers import finite
 from tablemill.functions.text import fold, is_expense, matches
 from tablemill.sources import packs
 
-from .lookup import lookup, lookup_aligned, lookup_concept
+from .lookup import PLACE, lookup, lookup_aligned, lookup_concept
 from .questions import named_ratio, ratio_sides, too_complex
 from .retrieve import top_k
 
@@ -140,7 +140,7 @@ def expense_magnitude(value: Column, retrieval_query: Column, ops: Column) -> Co
 def route(ir: DataFrame, solved: DataFrame, facts_best: DataFrame, located: DataFrame, least: float = 0.55) -> DataFrame:
     """(qid, route, answer, facts): the formula's answer, else the best fact with a good label, else the best cell, else 0."""
     unit = lambda v: in_unit(v, F.col("unit_kind"), F.col("unit_scale"))
-    top = Window.partitionBy("qid").orderBy(F.desc("score"))
+    top = Window.partitionBy("qid").orderBy(F.desc("score"), *(F.col(c) for c in PLACE if c in facts_best.columns))  # ties by place
     fact = facts_best.withColumn("_n", F.row_number().over(top)).where("_n = 1").where(F.col("label_score") >= least)
     fact = fact.select("qid", (F.col("value_raw") * F.col("unit_scale")).alias("fact_value"), F.array(evidence()).alias("fact_facts"))
     cell = located.select("qid", (F.col("value") * F.coalesce(F.col("unit_scale"), F.lit(1.0))).alias("cell_value")) if "unit_scale" in located.columns else located.select("qid", F.col("value").alias("cell_value"))

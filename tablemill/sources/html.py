@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -53,10 +54,14 @@ def _span(value: str | None) -> int:
 
 
 def html_to_grid(html: str | None) -> list[list[str]]:
-    """A rectangle of texts: spans are filled with copies, a cell goes to the first free column, and spans may reach below the last row."""
+    """A rectangle of texts: spans are filled with copies, a cell goes to the first free column, and spans may reach below the last row.
+
+    What the parser can't read ends the table; the cells before it are kept.
+    """
     events = _TableEvents()
-    events.feed(html or "")
-    events.close()
+    with suppress(AssertionError, ValueError, IndexError):
+        events.feed(html or "")
+        events.close()
     lines: list[dict[int, str]] = []
     for at, row in enumerate(filter(None, events.rows)):
         column = 0

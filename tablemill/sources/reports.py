@@ -28,8 +28,8 @@ TABLES = (
 
 def read_corpus(spark: SparkSession, folder: str, pattern: str = "*_extracted.txt") -> DataFrame:
     """(path, text) of all matching files below ticker/year/document folders; malformed bytes become U+FFFD."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
-    return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    text = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("text"))
 
 
 def document_meta(path: Column) -> dict[str, Column]:
@@ -97,7 +97,8 @@ def _locate(text: Column, part: Column, start: Column) -> Column:
 
 
 def tables(docs: DataFrame) -> DataFrame:
-    """Table rows of (doc_id, ticker, year, stmt_type, text): position, caption, section, grid, unit and periods."""
+    """Table rows of (doc_id, ticker, year, stmt_type, text): position, caption, section, grid, unit and periods. Of rows with one doc_id one counts."""
+    docs = docs.dropDuplicates(["doc_id"])
     placed = table_positions(docs).join(line_context(lines(docs)), ["doc_id", "line_no"])
     rows = placed.join(docs.select("doc_id", "ticker", "year", "stmt_type"), "doc_id").withColumn("section", F.coalesce("section", F.lit("OTHER")))
     rows = rows.withColumn("grid", html.grid(F.col("raw_html")))

@@ -12,14 +12,17 @@ from tablemill.sources import reports
 def read_stream(spark: SparkSession, folder: str, pattern: str = "*_extracted.txt", max_files: int = 10_000) -> DataFrame:
     """(path, text) of files as they arrive."""
     stream = spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).format("text").load(folder)
-    return stream.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return stream.select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("text"))
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*_extracted.txt") -> StreamingQuery:
-    """Writes document and table rows of new files below `out`. A batch that is repeated overwrites its own part, so results are exactly once."""
+    """Writes document and table rows of new files below `out`. A batch that is repeated overwrites its own part, so results are exactly once; a doc_id of an earlier batch is left out."""
 
     def batch(files: DataFrame, number: int) -> None:
         docs = reports.documents(files).dropDuplicates(["doc_id"])
+        if number:  # batches are numbered from 0, and an earlier one is complete
+            earlier = spark.read.schema("doc_id string, batch int").option("basePath", f"{out}/docs").parquet(f"{out}/docs")
+            docs = docs.join(earlier.where(F.col("batch") < number).select("doc_id"), "doc_id", "left_anti")
         docs.drop("text").write.mode("overwrite").parquet(f"{out}/docs/batch={number}")
         reports.tables(docs).write.mode("overwrite").parquet(f"{out}/tables/batch={number}")
 
