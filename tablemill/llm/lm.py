@@ -1,14 +1,14 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Learning counts words, then pairs (word, next word), over all training documents; what is counted travels as packed arrays, one row a task and shard.
-Each shard of a level is a file in the shared folder: context hashes and, relative to each context, its successors' hashes, as
-Elias-Fano sequences; where each context's successors start, as another; and a quantised smoothed log-probability for each successor.
-Scoring maps the files into memory and answers the pairs of a chunk of text shard by shard, by successor search within the context.
-
-From the third level on, up to the order asked for, a level's shard holds the successors of the same shard's entries one level above: monotone pointers
-from each entry to its successors, their hashes relative to the entry, and exact counts.
-
-P(w | v) = (c(v, w) + weight * P(w)) / (c(v) + weight), with P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), and P(w | u v) from P(w | v) likewise, and so on.
+Learning counts words, which numbers them, then all windows of the order's length over the training documents, once; shorter n-grams are the windows' prefixes.
+What is counted travels as packed arrays, one row a pack of text and shard. A window belongs to the shard of the pair that it starts with.
+A shard is a file in the shared folder, mapped into memory to score. Its first level holds the contexts' numbers as an Elias-Fano sequence. Each further level holds,
+for the entries above, monotone pointers to their successors, the successors' numbers relative to their entry as an Elias-Fano sequence, and a 16-bit quantised
+log-probability for each; from the third level on also a quantised backoff weight for each entry above.
+Scoring answers the n-grams of a pack of text shard by shard, level by level, by successor search within the context that the level above found.
+
+P(w | v) = (c(v, w) + weight * P(w)) / (c(v) + weight), with P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), and P(w | u v) from P(w | v) likewise, and so on:
+c / (c(context) + weight) is stored for an n-gram, weight / (c(context) + weight) for its context; the second level's sum is stored as a whole.
 The end of a document is a token, and the context of its first word; no context reaches beyond it.
 """
 
@@ -23,15 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, column, hash_words, mix, open_fs, scratch_path, seeded, starts_of, text_chunks
 
 END = U64(0x5DEECE66D1CE4E5B)
-#: Bits of a hash that are kept of a successor within its context, of a context within its shard, and of a word.
-CHILD_BITS, CONTEXT_BITS, WORD_BITS = 40, 48, 52
-#: Bytes of text from which a task packs counts at once, tokens that a shard of the second level has about, and shards that a worker keeps open.
-PACK_BYTES, SHARD_TOKENS, SHARDS_HELD = 8 << 20, 2_000_000, 256
+#: Bits of a word's hash that are kept.
+WORD_BITS = 52
+#: Bytes of text from which a task packs counts at once, tokens that a shard has about, and shards that a worker keeps open.
+PACK_BYTES, SHARD_TOKENS, SHARDS_HELD = 6 << 20, 1_500_000, 256
 #: Range of the 16-bit codes of log10 probabilities.
 FLOOR = -16.0
 
@@ -39,10 +38,9 @@ FLOOR = -16.0
 class EliasFano:
     """A sorted sequence of numbers in about 2 + log2(universe / n) bits each: low bits packed, high bits in unary."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.zeros, self.ones = starts_of(64 - ones), starts_of(ones)  # before each 64 bits: the directories for select
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        """zeros, ones: how many there are before each 64 bits of the unary part, the directories for select."""
+        self.n, self.low_bits, self.low, self.high, self.zeros, self.ones = n, low_bits, low, high, zeros, ones
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> EliasFano:
@@ -60,10 +58,12 @@ class EliasFano:
             np.bitwise_or.at(packed, word, low << shift)
             over = shift + U64(low_bits) > U64(64)
             np.bitwise_or.at(packed, word[over] + 1, low[over] >> (U64(64) - shift[over]))
-        return EliasFano(n, low_bits, packed, words)
+        ones = np.bitwise_count(words).astype(np.int64)
+        kind = "<u4" if 64 * len(words) < 1 << 32 else "<u8"
+        return EliasFano(n, low_bits, packed, words, starts_of(64 - ones).astype(kind), starts_of(ones).astype(kind))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.low, self.high]
+        return [self.low, self.high, self.zeros, self.ones]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -77,8 +77,8 @@ class EliasFano:
 
     def select_zero(self, k: np.ndarray) -> np.ndarray:
         """Position of the zero number k (from 0) in the unary part."""
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        left = k - self.zeros[word]
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), side="right") - 1
+        left = k - self.zeros[word].astype(np.int64)
         x = ~self.high[word]
         at = np.zeros(len(k), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
@@ -98,33 +98,42 @@ class EliasFano:
 
     def find(self, values: np.ndarray, first: np.ndarray | None = None, past: np.ndarray | None = None) -> np.ndarray:
         """The index of each value, or -1: a successor search among the values with the same high part, from index `first` to before `past`."""
-        if not self.n:
-            return np.full(len(values), -1, np.int64)
+        out = np.full(len(values), -1, np.int64)
+        if not self.n or not len(values):
+            return out
         high, low = (values >> U64(self.low_bits)).astype(np.int64), values & U64((1 << self.low_bits) - 1)
-        a, b = self.start_of(high), self.start_of(high + 1)
+        # the ones after the zero that ends the high part below are the values with this high part
+        at = np.zeros(len(high), np.int64)
+        some = high > 0
+        at[some] = self.select_zero(high[some] - 1) + 1
+        a = at - high
+        word, shift = at >> 6, (at & 63).astype(U64)
+        x = self.high[word] >> shift
+        over = (shift > 0) & (word + 1 < len(self.high))
+        x[over] |= self.high[word[over] + 1] << (U64(64) - shift[over])
+        ones = np.bitwise_count(x ^ (x + U64(1))).astype(np.int64) - 1
+        b = a + ones
+        long = np.flatnonzero(ones >= 63)
+        if len(long):
+            b[long] = self.start_of(high[long] + 1)
         if first is not None:
             a, b = np.maximum(a, first), np.minimum(b, past)
-        end = b.copy()
-        while True:
-            open_ = a < b
-            if not open_.any():
-                break
-            mid = (a + b) // 2
-            less = np.zeros(len(a), bool)
-            less[open_] = self.lows(mid[open_]) < low[open_]
-            a = np.where(open_ & less, mid + 1, a)
-            b = np.where(open_ & ~less, mid, b)
-        hit = a < end
-        out = np.full(len(values), -1, np.int64)
-        same = np.flatnonzero(hit)
-        same = same[self.lows(a[same]) == low[same]]
-        out[same] = a[same]
+        open_ = np.flatnonzero(a < b)
+        a, b, low = a[open_], b[open_], low[open_]
+        while len(open_):
+            mid = (a + b) >> 1
+            there = self.lows(mid)
+            same = there == low
+            out[open_[same]] = mid[same]
+            a, b = np.where(there < low, mid + 1, a), np.where(there < low, b, mid)
+            left = np.flatnonzero(~same & (a < b))
+            open_, a, b, low = open_[left], a[left], b[left], low[left]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values by index: the unary part's one number i gives the high bits."""
-        word = np.searchsorted(self.ones, i, side="right") - 1
-        left, x, at = i - self.ones[word], self.high[word], np.zeros(len(i), np.int64)
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
+        left, x, at = i - self.ones[word].astype(np.int64), self.high[word], np.zeros(len(i), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             n = np.bitwise_count(x & U64((1 << width) - 1)).astype(np.int64)
             up = left >= n
@@ -206,103 +215,119 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
 
 
 def blob(*arrays: np.ndarray) -> bytes:
-    """Arrays packed: sorted hashes as differences, unsorted ones by their first seven bytes (five if the rest is zero), counts as narrow as they fit."""
+    """Arrays of whole numbers packed, each in as few bytes a number as its largest needs; ascending ones as differences."""
     out = []
     for a in arrays:
-        if a.dtype == U64 and (len(a) < 2 or (a[1:] > a[:-1]).all()):
-            width, body = 9, np.r_[a[:1], np.diff(a)].tobytes()
-        elif a.dtype == U64 and not (a & U64((1 << 64 - CHILD_BITS) - 1)).any():
-            width, body = 5, a.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
-        elif a.dtype == U64:
-            width, body = 7, a.view(np.uint8).reshape(-1, 8)[:, 1:].tobytes()
-        else:
-            kind = next(k for k in ("u1", "<u2", "<u4", "<u8") if not len(a) or int(a.max()) < 1 << 8 * np.dtype(k).itemsize)
-            width, body = np.dtype(kind).itemsize, a.astype(kind).tobytes()
-        out.append(struct.pack("<BQ", width, len(body)) + body)
+        a = a.astype("<u8")
+        rises = len(a) > 1 and bool((a[1:] > a[:-1]).all())
+        if rises:
+            a = np.r_[a[:1], np.diff(a)]
+        width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+        body = a.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        out.append(struct.pack("<BBQ", rises, width, len(body)) + body)
     return b"".join(out)
 
 
 def unblob(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
-        width, n = struct.unpack_from("<BQ", data, at)
-        body = data[at + 9 : at + 9 + n]
-        at += 9 + n
-        if width == 9:
-            out.append(np.cumsum(np.frombuffer(body, "<u8"), dtype=U64))
-        elif width in (5, 7):
-            full = np.zeros((n // width, 8), np.uint8)
-            full[:, 8 - width :] = np.frombuffer(body, np.uint8).reshape(-1, width)
-            out.append(full.view(U64).ravel())
-        else:
-            out.append(np.frombuffer(body, f"<u{width}").astype(np.int64))
+        rises, width, n = struct.unpack_from("<BBQ", data, at)
+        full = np.zeros((n // width, 8), np.uint8)
+        full[:, :width] = np.frombuffer(data, np.uint8, n, at + 10).reshape(-1, width)
+        at += 10 + n
+        a = full.view("<u8").ravel()
+        out.append(np.cumsum(a, dtype=U64) if rises else a)
     return out
 
 
-def paired(shard: int, parts: list[np.ndarray]) -> list[np.ndarray]:
-    """(contexts, successors each, successors, counts) as one context a pair."""
-    contexts, each, successors, counts = parts
-    return [np.repeat(contexts, each), successors, counts]
-
-
-def merge(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Sums of counts over equal keys: keys are all arrays of a part but the last, which are sorted together."""
-    keys = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]) - 1)]
-    counts = np.concatenate([p[-1] for p in parts])
+def summed(keys: list[np.ndarray], counts: np.ndarray, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sums of counts over equal keys, sorted by the keys; numbers below 2 ** bits but for the first key's, which are ranked."""
+    if not len(counts):
+        return keys, counts
+    ranks, rank = np.unique(keys[0], return_inverse=True)
+    if len(ranks).bit_length() + bits * (len(keys) - 1) <= 63:
+        one = rank
+        for k in keys[1:]:
+            one = (one << bits) | k
+        order = np.argsort(one)
+        one = one[order]
+        first = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
+        own = one[first]
+        out = []
+        for _ in keys[1:]:
+            out.append(own & ((1 << bits) - 1))
+            own = own >> bits
+        return [ranks[own], *out[::-1]], np.add.reduceat(counts[order], first)
     order = np.lexsort(keys[::-1])
-    keys, counts = [k[order] for k in keys], counts[order]
-    new = np.ones(len(counts), bool)
-    if len(counts):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    first = np.flatnonzero(new)
-    return [*(k[first] for k in keys), np.add.reduceat(counts, first) if len(first) else counts]
+    keys = [k[order] for k in keys]
+    first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    return [k[first] for k in keys], np.add.reduceat(counts[order], first)
 
 
-#: Parts that a reducer holds before it merges them; what it holds then is its shard's distinct keys.
+#: Parts that a reducer of words holds before it merges them; what it holds then is its shard's distinct words.
 MERGE_PARTS = 24
 
 
-def merged(batches: Iterator[pa.RecordBatch], open_part=lambda s, x: x) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(shard, merged arrays) of rows (shard, data) that come sorted by shard."""
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, hashes, counts) of rows (shard, data) that come sorted by shard."""
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return values, np.bincount(at, np.concatenate([p[1] for p in parts]), len(values)).astype(np.int64)
+
     shard, parts = None, []
     for b in batches:
         for s, data in zip(column(b, "shard").to_pylist(), column(b, "data")):
             if s != shard and parts:
-                yield shard, merge(parts)
+                yield shard, *merge()
                 parts = []
             shard = s
-            parts.append(open_part(s, unblob(data.as_py())))
+            parts.append(unblob(data.as_py()))
             if len(parts) >= MERGE_PARTS:
-                parts = [merge(parts)]
+                parts = [merge()]
     if parts:
-        yield shard, merge(parts)
+        yield shard, *merge()
 
 
 class Words:
-    """The unigram level: hashes as an Elias-Fano sequence in each shard, and exact counts."""
+    """The words: hashes as an Elias-Fano sequence in each shard, a range of hash values, and exact counts. A word's number is its place among all."""
 
-    def __init__(self, folder: str, files: list[tuple[int, str]], shards: int, total: int, distinct: int):
+    def __init__(self, folder: str, files: list[tuple[int, str, int]], shards: int, total: int, distinct: int):
         self.fs, self.root = open_fs(folder)
-        self.files, self.shards, self.total, self.distinct = dict(files), shards, total, distinct
-        self.held: dict[int, tuple[EliasFano, np.ndarray]] = {}
-
-    def shard(self, s: int) -> tuple[EliasFano, np.ndarray]:
-        if s not in self.held:
+        files = sorted(files)
+        self.files = {s: (name, i) for i, (s, name, _) in enumerate(files)}
+        self.names, self.bases = [name for _, name, _ in files], starts_of(np.array([n for _, _, n in files], np.int64))
+        self.shards, self.total, self.distinct = shards, total, distinct
+        self.held: dict[str, tuple[EliasFano, np.ndarray]] = {}
+
+    def shard(self, name: str) -> tuple[EliasFano, np.ndarray]:
+        if name not in self.held:
             if len(self.held) >= SHARDS_HELD:
                 self.held.clear()
-            meta, (low, high, counts) = load(self.fs, f"{self.root}/{self.files[s]}")
-            self.held[s] = EliasFano(meta["n"], meta["low_bits"], low, high), counts
-        return self.held[s]
+            meta, (*parts, counts) = load(self.fs, f"{self.root}/{name}")
+            self.held[name] = EliasFano(meta["n"], meta["low_bits"], *parts), counts
+        return self.held[name]
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Training counts of sorted distinct hashes: a shard is a range of hash values."""
-        out = np.zeros(len(hashes), np.int64)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and training counts of sorted distinct hashes; an unknown word has the number of the words, and 0."""
+        ids, out = np.full(len(hashes), self.distinct, np.int64), np.zeros(len(hashes), np.int64)
         for s, a, b in ranges(shard_of(hashes, self.shards)):
             if s in self.files:
-                ef, counts = self.shard(s)
+                name, i = self.files[s]
+                ef, counts = self.shard(name)
                 at = ef.find(hashes[a:b] >> U64(64 - WORD_BITS))
+                ids[a:b][at >= 0] = self.bases[i] + at[at >= 0]
                 out[a:b][at >= 0] = counts[at[at >= 0]]
-        return out
+        return ids, out
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Training counts of words by their numbers."""
+        distinct, back = np.unique(ids, return_inverse=True)
+        out = np.zeros(len(distinct), np.int64)
+        for i, a, b in ranges(np.searchsorted(self.bases, distinct, side="right") - 1):
+            if i < len(self.names):
+                out[a:b] = self.shard(self.names[i])[1][distinct[a:b] - self.bases[i]]
+        return out[back]
 
     def log10(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -321,15 +346,15 @@ def ranges(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def pair_shards(contexts: np.ndarray, successors: np.ndarray, context_counts: np.ndarray, shards: int, total: int) -> np.ndarray:
-    """A context's pairs share a shard; those of one with more than its part of a shard's tokens are spread by the bytes of the successor that counts keep."""
+    """A context's pairs share a shard; those of one with more than its part of a shard's tokens are spread by the successor."""
     split = 1 + context_counts * 4 * shards // max(total, 1)
     with np.errstate(over="ignore"):
-        part = seeded(successors & ~U64(255), 5) % split.astype(U64)
-        return (mix(contexts + part * U64(0x9E3779B97F4A7C15)) % U64(shards)).astype(np.int64)
+        part = seeded(successors.astype(U64), 5) % split.astype(U64)
+        return (mix(contexts.astype(U64) + part * U64(0x9E3779B97F4A7C15)) % U64(shards)).astype(np.int64)
 
 
 def learn_words(df: DataFrame, folder: str, shards: int) -> dict:
-    """Count training words and write the unigram level; returns what Words needs. df: (doc_id, text)."""
+    """Count training words and write them; returns what Words needs. df: (doc_id, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -342,20 +367,50 @@ def learn_words(df: DataFrame, folder: str, shards: int) -> dict:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        for s, (values, n) in merged(batches):
-            keys = values >> U64(64 - WORD_BITS)
-            ef, name = EliasFano.build(keys, 1 << WORD_BITS), f"words-{s}-{uuid.uuid4().hex}"
-            save(fs, f"{root}/{name}", {"n": ef.n, "low_bits": ef.low_bits}, [*ef.arrays(), n.astype("<u4" if n.max() < 1 << 32 else "<u8")])
+        for s, values, n in merged(batches):
+            ef, name = EliasFano.build(values >> U64(64 - WORD_BITS), 1 << WORD_BITS), f"words-{s}-{uuid.uuid4().hex}"
+            save(fs, f"{root}/{name}", {"n": ef.n, "low_bits": ef.low_bits}, [*ef.arrays(), narrow(n)])
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name]), pa.array([int(n.sum())], pa.int64()), pa.array([len(n)], pa.int64())], ["shard", "file", "total", "distinct"])
 
     parts = df.select("doc_id", "text").mapInArrow(count, "shard int, data binary")
     rows = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(write, "shard int, file string, total long, distinct long").collect()  # a row a shard
-    return {"folder": folder, "files": [(r[0], r[1]) for r in rows], "shards": shards, "total": sum(r[2] for r in rows), "distinct": sum(r[3] for r in rows)}
+    return {"folder": folder, "files": [(r[0], r[1], r[3]) for r in rows], "shards": shards, "total": sum(r[2] for r in rows), "distinct": sum(r[3] for r in rows)}
+
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    top = int(counts.max()) if len(counts) else 0
+    return counts.astype(next(k for k in ("u1", "<u2", "<u4", "<u8") if top < 1 << 8 * np.dtype(k).itemsize))
 
-def learn_pairs(df: DataFrame, words: dict, shards: int, weight: float) -> dict:
-    """Count training pairs and write the second level with smoothed probabilities; returns what Pairs needs."""
-    folder = words["folder"]
+
+def nested(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted keys without repeated prefixes: for each key but the last the distinct prefixes' last numbers and how many each has of the next."""
+    out, new = [], np.zeros(len(keys[0]), bool)
+    lead = np.arange(len(keys[0]))
+    starts = []
+    for k in keys[:-1]:
+        new = new | np.r_[True, k[1:] != k[:-1]]
+        starts.append(np.flatnonzero(new))
+    for k, own, below in zip(keys[:-1], starts, [*starts[1:], lead]):
+        first = np.searchsorted(below, own)
+        out += [k[own], np.diff(np.r_[first, len(below)])]
+    return [*out, keys[-1]]
+
+
+def flat(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """The keys that nested() took."""
+    out: list[np.ndarray] = []
+    for k, each in zip(parts[:-1:2], parts[1::2]):
+        out = [np.repeat(x, each) for x in [*out, k]]
+    return [*out, parts[-1]]
+
+
+def learn_grams(df: DataFrame, words: dict, shards: int, weight: float, order: int) -> dict:
+    """Count the training windows of `order` tokens and write the trie's shards; returns what Trie needs.
+
+    A window that reaches past a document's end is filled up with a number that no word has, so each token ends the first pair of one window.
+    """
+    folder, none = words["folder"], words["distinct"]
+    bits = max(1, none.bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, level = WordHashes(), Words(**words)
@@ -363,236 +418,143 @@ def learn_pairs(df: DataFrame, words: dict, shards: int, weight: float) -> dict:
             train = [t for t, h in zip(texts, is_held_out(ids)) if not h]
             if not train:
                 continue
-            token, context, _ = tokens_of(train, memo)
-            context, token, n = merge([[context, token, np.ones(len(token), np.int64)]])
-            first = np.r_[True, context[1:] != context[:-1]]
-            at = np.cumsum(first) - 1
-            held = level.counts(context[first])[at]
-            shard = pair_shards(context, token, held, shards, words["total"])
-            order = np.argsort(shard, kind="stable")
-            out = []
-            for s, a, b in ranges(shard[order]):
-                own = order[a:b]
-                c = context[own]
-                lead = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                out.append((s, blob(c[lead], np.diff(np.r_[lead, len(c)]), token[own] & ~U64(255), n[own])))
+            token, _, each = tokens_of(train, memo)
+            distinct, which = np.unique(token, return_inverse=True)
+            number, held = level.find(distinct)
+            token = number[which]
+            left = np.repeat(starts_of(each)[1:], each) - np.arange(len(token))  # tokens of the document from here on
+            end = number[np.searchsorted(distinct, END)]
+            keys = [np.r_[end, token[:-1]], token]
+            for k in range(2, order):
+                ahead = np.r_[token[k - 1 :], np.full(min(k - 1, len(token)), none)][: len(token)]
+                keys.append(np.where(left > k - 1, ahead, none))
+            keys, n = summed(keys, np.ones(len(token), np.int64), bits)
+            by_id = np.argsort(number)
+            shard = pair_shards(keys[0], keys[1], held[by_id][np.searchsorted(number[by_id], keys[0])], shards, words["total"])
+            order_ = np.argsort(shard, kind="stable")
+            out = [(s, blob(*nested([k[order_[a:b]] for k in keys]), n[order_[a:b]])) for s, a, b in ranges(shard[order_])]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["shard", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
         level = Words(**words)
-        for s, (context, child, n) in merged(batches, paired):
-            lead = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            which = np.repeat(np.arange(len(lead)), np.diff(np.r_[lead, len(context)]))
-            c = level.counts(context[lead])[which]
-            order = np.argsort(child, kind="stable")
-            distinct, back = np.unique(child[order], return_inverse=True)
-            p = np.empty(len(child))
-            p[order] = 10 ** level.log10(level.counts(distinct))[back]
-            code = quantise(np.log10((n + weight * p) / (c + weight)))
-            nodes = EliasFano.build(context[lead] >> U64(64 - CONTEXT_BITS), 1 << CONTEXT_BITS)
-            starts = EliasFano.build(lead.astype(U64), len(context) + 1)
-            # relative to its context, a successor is its hash's first bits; the context's number makes the sequence ascend
-            succ = EliasFano.build((which.astype(U64) << U64(CHILD_BITS)) | (child >> U64(64 - CHILD_BITS)), max(1, len(lead)) << CHILD_BITS)
-            name = f"pairs-{s}-{uuid.uuid4().hex}"
-            save(fs, f"{root}/{name}", {"levels": [[e.n, e.low_bits] for e in (nodes, starts, succ)]}, [*nodes.arrays(), *starts.arrays(), *succ.arrays(), code])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name]), pa.array([len(child)], pa.int64())], ["shard", "file", "pairs"])
-
-    parts = df.select("doc_id", "text").mapInArrow(count, "shard int, data binary")
-    rows = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(write, "shard int, file string, pairs long").collect()  # a row a shard
-    return {"folder": folder, "files": [(r[0], r[1]) for r in rows], "shards": shards, "weight": weight}
-
-
-class Pairs:
-    """The second level: for a context and a token the smoothed log10 probability, if the pair was seen in training."""
-
-    def __init__(self, folder: str, files: list[tuple[int, str]], shards: int, weight: float):
-        self.fs, self.root = open_fs(folder)
-        self.files, self.shards, self.weight = dict(files), shards, weight
-        self.held: dict[int, tuple] = {}
 
-    def shard(self, s: int) -> tuple:
-        if s not in self.held:
-            if len(self.held) >= SHARDS_HELD:
-                self.held.clear()
-            meta, arrays = load(self.fs, f"{self.root}/{self.files[s]}")
-            trees = [EliasFano(n, low_bits, arrays[2 * i], arrays[2 * i + 1]) for i, (n, low_bits) in enumerate(meta["levels"])]
-            self.held[s] = (*trees, arrays[6])
-        return self.held[s]
+        def put(s: int, parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            keys, n = summed([np.concatenate(x) for x in zip(*(p[:-1] for p in parts))], np.concatenate([p[-1] for p in parts]), bits)
+            name = f"grams-{s}-{uuid.uuid4().hex}"
+            save_trie(fs, f"{root}/{name}", keys, n, level, weight, none, bits)
+            return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name])], ["shard", "file"])
+
+        shard, parts = None, []  # a shard's parts: SHARD_TOKENS windows, about
+        for b in batches:
+            for s, data in zip(column(b, "shard").to_pylist(), column(b, "data")):
+                if s != shard and parts:
+                    yield put(shard, parts)
+                    parts = []
+                shard = s
+                *keys, n = (x.astype(np.int64) for x in unblob(data.as_py()))
+                parts.append([*flat(keys), n])
+        if parts:
+            yield put(shard, parts)
 
-    def find(self, s: int, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Where pairs, sorted by context, stand among a shard's successors, or -1."""
-        out = np.full(len(contexts), -1, np.int64)
-        if s not in self.files:
-            return out
-        nodes, starts, successors, codes = self.shard(s)
-        lead = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]])
-        which = np.repeat(np.arange(len(lead)), np.diff(np.r_[lead, len(contexts)]))
-        at = nodes.find(contexts[lead] >> U64(64 - CONTEXT_BITS))
-        known = np.flatnonzero(at[which] >= 0)
-        if not len(known):
-            return out
-        there = np.maximum(at, 0)
-        first = starts.get(there)
-        past = np.full(len(there), len(codes), np.int64)
-        inner = there + 1 < starts.n
-        past[inner] = starts.get(there[inner] + 1).astype(np.int64)
-        w = which[known]
-        value = (there[w].astype(U64) << U64(CHILD_BITS)) | (tokens[known] >> U64(64 - CHILD_BITS))
-        out[known] = successors.find(value, first[w].astype(np.int64), past[w].astype(np.int64))
-        return out
-
-    def log10(self, contexts: np.ndarray, tokens: np.ndarray, context_counts: np.ndarray, token_log10: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of pairs that are sorted by context; also the shard and the place there of each."""
-        out = np.log10(self.weight) + token_log10 - np.log10(context_counts + self.weight)
-        shard, hit = pair_shards(contexts, tokens, context_counts, self.shards, total), np.full(len(tokens), -1, np.int64)
-        order = np.argsort(shard, kind="stable")
-        for s, a, b in ranges(shard[order]):
-            own = order[a:b]
-            hit[own] = at = self.find(s, contexts[own], tokens[own])
-            seen = at >= 0
-            if seen.any():
-                out[own[seen]] = dequantise(self.shard(s)[3][at[seen]].astype(np.float64))
-        return out, shard, hit
-
-
-# --- from the third level on --------------------------------------------------------------------------------------------
-
-
-def narrow(counts: np.ndarray) -> np.ndarray:
-    top = int(counts.max()) if len(counts) else 0
-    return counts.astype(next(k for k in ("u1", "<u2", "<u4", "<u8") if top < 1 << 8 * np.dtype(k).itemsize))
-
-
-def depths(n: np.ndarray) -> np.ndarray:
-    """Each token's number in its text, from 0."""
-    return np.arange(int(n.sum())) - np.repeat(starts_of(n)[:-1], n)
+    parts = df.select("doc_id", "text").mapInArrow(count, "shard int, data binary")
+    rows = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(write, "shard int, file string").collect()  # a row a shard
+    return {"folder": folder, "files": [(r[0], r[1]) for r in rows], "shards": shards, "weight": weight, "order": order, "none": none}
+
+
+def save_trie(fs, path: str, keys: list[np.ndarray], n: np.ndarray, words: Words, weight: float, none: int, bits: int) -> None:
+    """A shard's levels from its sorted windows and their counts."""
+    new = np.r_[True, keys[0][1:] != keys[0][:-1]]
+    contexts = keys[0][new]
+    trees, arrays = [EliasFano.build(contexts.astype(U64), none + 1)], []
+    above, held = np.cumsum(new) - 1, len(contexts)
+    for k, key in enumerate(keys[1:], 2):
+        new = new | np.r_[True, key[1:] != key[:-1]]
+        lead = np.flatnonzero(new)
+        count, live = np.add.reduceat(n, lead), key[lead] < none
+        parent, child, count = above[lead][live], key[lead][live], count[live]
+        trees.append(EliasFano.build(np.searchsorted(parent, np.arange(held + 1)).astype(U64), len(parent) + 1))
+        trees.append(EliasFano.build((parent.astype(U64) << U64(bits)) | child.astype(U64), max(1, held) << bits))
+        if k == 2:
+            own = np.log10((count + weight * 10 ** words.log10(words.counts(child))) / (words.counts(contexts)[parent] + weight))
+        else:
+            whole = np.bincount(parent, count, held)
+            own = np.log10(count / (whole[parent] + weight))
+            arrays.append(quantise(np.log10(weight / (whole + weight))))
+        arrays.append(quantise(own))
+        above, held = (np.cumsum(live) - 1)[np.cumsum(new) - 1], len(parent)
+    save(fs, path, {"trees": [[e.n, e.low_bits] for e in trees]}, [*(a for e in trees for a in e.arrays()), *arrays])
 
 
-class Grams:
-    """A level from the third on: for an entry of the level above (its shard and place) and a token, how often the token followed it in training."""
+class Trie:
+    """The shards of windows: entries by shard and place, and what is stored of them."""
 
-    def __init__(self, folder: str, files: list[tuple[int, str]]):
+    def __init__(self, folder: str, files: list[tuple[int, str]], shards: int, weight: float, order: int, none: int):
         self.fs, self.root = open_fs(folder)
-        self.files = dict(files)
-        self.held: dict[int, tuple] = {}
+        self.files, self.shards, self.weight, self.order, self.none = dict(files), shards, weight, order, none
+        self.bits = U64(max(1, none.bit_length()))
+        self.held: dict[int, tuple[list[EliasFano], list[np.ndarray]]] = {}
 
-    def shard(self, s: int) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndarray]:
-        """Pointers from the entries above, successors, their counts, and the entries' sums of counts."""
+    def shard(self, s: int) -> tuple[list[EliasFano], list[np.ndarray]]:
         if s not in self.held:
             if len(self.held) >= SHARDS_HELD:
                 self.held.clear()
             meta, arrays = load(self.fs, f"{self.root}/{self.files[s]}")
-            trees = [EliasFano(n, low_bits, arrays[2 * i], arrays[2 * i + 1]) for i, (n, low_bits) in enumerate(meta["levels"])]
-            self.held[s] = (*trees, arrays[4], arrays[5])
+            trees = [EliasFano(n, low_bits, *arrays[4 * i : 4 * i + 4]) for i, (n, low_bits) in enumerate(meta["trees"])]
+            self.held[s] = trees, arrays[4 * len(trees) :]
         return self.held[s]
 
-    def find(self, s: int, above: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Where tokens stand among the successors of entries (-1: none) of a shard, or -1."""
-        out = np.full(len(above), -1, np.int64)
-        known = np.flatnonzero(above >= 0)
-        if s in self.files and len(known):
-            starts, successors, _, _ = self.shard(s)
-            p = above[known]
-            value = (p.astype(U64) << U64(CHILD_BITS)) | (tokens[known] >> U64(64 - CHILD_BITS))
-            out[known] = successors.find(value, starts.get(p).astype(np.int64), starts.get(p + 1).astype(np.int64))
-        return out
-
-    def counts(self, shard: np.ndarray, above: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of the tokens after their entries, of the entries, and the places."""
-        n, c, hit = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64), np.full(len(tokens), -1, np.int64)
-        order = np.argsort(shard, kind="stable")
-        for s, a, b in ranges(shard[order]):
-            own = order[a:b][above[order[a:b]] >= 0]
-            if s not in self.files or not len(own):
-                continue
-            _, _, counts, totals = self.shard(s)
-            c[own] = totals[above[own]]
-            hit[own] = at = self.find(s, above[own], tokens[own])
-            n[own[at >= 0]] = counts[at[at >= 0]]
-        return n, c, hit
-
-
-def learn_grams(df: DataFrame, words: dict, pairs: dict, above: list[dict]) -> dict:
-    """Count training n-grams of the next order and write their level, each beside the pair that it starts with; above: the levels from the third on."""
-    folder, order = words["folder"], len(above) + 3
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, level = WordHashes(), Words(**words)
-        for ids, texts in packed(batches):
-            train = [t for t, h in zip(texts, is_held_out(ids)) if not h]
-            if not train:
-                continue
-            token, _, each = tokens_of(train, memo)
-            depth = depths(each)
-            distinct, which = np.unique(token, return_inverse=True)
-            size = np.int64(len(distinct))
-            start, gram = np.unique(np.r_[np.searchsorted(distinct, END), which[:-1]] * size + which, return_inverse=True)
-            pair = np.arange(len(start))  # of each gram, the pair that it starts with
-            later = []  # and its tokens from the third on
-            for k in range(3, order + 1):
-                at = np.flatnonzero(depth >= k - 2)
-                key, number, n = np.unique(gram[at - 1] * size + which[at], return_inverse=True, return_counts=True)
-                up = key // size
-                pair, later = pair[up], [*(x[up] for x in later), key % size]
-                gram = np.full(len(token), -1, np.int64)
-                gram[at] = number
-            if not len(pair):
+    def successors(self, s: int, k: int, above: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Where tokens stand among the successors of entries of the level above k, sorted, of a shard, or -1."""
+        trees, _ = self.shard(s)
+        pointers, children = trees[2 * k - 3], trees[2 * k - 2]
+        lead = np.r_[True, above[1:] != above[:-1]]
+        entry, which = above[lead], np.cumsum(lead) - 1
+        first, past = (pointers.get(entry + i).astype(np.int64)[which] for i in (0, 1))
+        return children.find((above.astype(U64) << self.bits) | tokens.astype(U64), first, past)
+
+    def pairs(self, contexts: np.ndarray, tokens: np.ndarray, context_counts: np.ndarray, token_log10: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 P(token | context) of pairs sorted by context, and each pair's shard and place (-1: not seen)."""
+        out, place = np.log10(self.weight) + token_log10 - np.log10(context_counts + self.weight), np.full(len(tokens), -1, np.int64)
+        shard = pair_shards(contexts, tokens, context_counts, self.shards, total)
+        known = np.flatnonzero((contexts < self.none) & (tokens < self.none))
+        known = known[np.argsort(shard[known], kind="stable")]
+        for s, a, b in ranges(shard[known]):
+            if s not in self.files:
                 continue
-            u, v = start // size, start % size
-            shard = pair_shards(distinct[u], distinct[v], level.counts(distinct)[u], pairs["shards"], words["total"])[pair]
-            by = np.argsort(shard, kind="stable")
-            keep = ~U64((1 << 64 - CHILD_BITS) - 1)
-            out = []
-            for s, a, b in ranges(shard[by]):
-                own = by[a:b]
-                p = pair[own]
-                lead = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])  # grams come sorted by their pair, pairs by their context
-                first = u[p[lead]]
-                top = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-                nested = [distinct[first[top]], np.diff(np.r_[top, len(lead)]), distinct[v[p[lead]]] & keep, np.diff(np.r_[lead, len(p)])]
-                out.append((s, blob(*nested, *(distinct[x[own]] & keep for x in later), n[own])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["shard", "data"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = open_fs(folder)
-        second, levels = Pairs(**pairs), [Grams(**g) for g in above]
-
-        def open_part(s: int, parts: list[np.ndarray]) -> list[np.ndarray]:
-            context, successors, token, each, *later, n = parts
-            at = np.repeat(second.find(s, np.repeat(context, successors), token), each)
-            for level, x in zip(levels, later):
-                at = level.find(s, at, x)
-            return [at, later[-1], n]
-
-        for s, (entry, child, n) in merged(batches, open_part):
-            held = levels[-1].shard(s)[1] if levels else second.shard(s)[2]
-            starts = EliasFano.build(np.searchsorted(entry, np.arange(held.n + 1)).astype(U64), len(entry) + 1)
-            succ = EliasFano.build((entry.astype(U64) << U64(CHILD_BITS)) | (child >> U64(64 - CHILD_BITS)), max(1, held.n) << CHILD_BITS)
-            sums = starts_of(n)[starts.get(np.arange(held.n + 1)).astype(np.int64)]
-            name = f"grams{order}-{s}-{uuid.uuid4().hex}"
-            save(fs, f"{root}/{name}", {"levels": [[e.n, e.low_bits] for e in (starts, succ)]}, [*starts.arrays(), *succ.arrays(), narrow(n), narrow(np.diff(sums))])
-            for own in (second, *levels):
-                own.held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name])], ["shard", "file"])
-
-    parts = df.select("doc_id", "text").mapInArrow(count, "shard int, data binary")
-    rows = parts.repartition(pairs["shards"], "shard").sortWithinPartitions("shard").mapInArrow(write, "shard int, file string").collect()  # a row a shard
-    return {"folder": folder, "files": [(r[0], r[1]) for r in rows]}
+            own = known[a:b]
+            trees, arrays = self.shard(s)
+            lead = np.r_[True, contexts[own][1:] != contexts[own][:-1]]
+            at = trees[0].find(contexts[own][lead].astype(U64))[np.cumsum(lead) - 1]
+            own, at = own[at >= 0], at[at >= 0]
+            if len(own):
+                place[own] = found = self.successors(s, 2, at, tokens[own])
+                out[own[found >= 0]] = dequantise(arrays[0][found[found >= 0]])
+        return out, shard, place
+
+    def extend(self, k: int, shard: np.ndarray, above: np.ndarray, tokens: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P(token | entry of the level above k), log being that without the entry's first word; and the places. Rows come sorted by shard and entry."""
+        out, place = log.copy(), np.full(len(tokens), -1, np.int64)
+        known = np.flatnonzero(above >= 0)
+        for s, a, b in ranges(shard[known]):
+            own = known[a:b]
+            _, arrays = self.shard(s)
+            back, codes = arrays[2 * k - 5], arrays[2 * k - 4]
+            place[own] = found = self.successors(s, k, above[own], tokens[own])
+            p = 10 ** (dequantise(back[above[own]]) + log[own])
+            seen = found >= 0
+            p[seen] += 10 ** dequantise(codes[found[seen]])
+            out[own] = np.log10(p)
+        return out, place
 
 
 def learn(df: DataFrame, weight: float = 32.0, folder: str | None = None, order: int = 2) -> dict:
-    """The model of the training documents of (doc_id, text): where its files are, and its totals."""
+    """The model of the training documents of (doc_id, text): where its files are, and its totals; order: 2 or more."""
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "lm")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = learn_words(df, folder, shards)
-    pairs = learn_pairs(df, words, max(1, words["total"] // SHARD_TOKENS), weight)
-    grams: list[dict] = []
-    for _ in range(3, order + 1):
-        grams.append(learn_grams(df, words, pairs, grams))
-    return {"words": words, "pairs": pairs, "grams": grams}
+    words = learn_words(df, folder, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return {"words": words, "grams": learn_grams(df, words, max(1, words["total"] // SHARD_TOKENS), weight, order)}
 
 
 def score(df: DataFrame, model: dict) -> DataFrame:
@@ -602,25 +564,31 @@ def score(df: DataFrame, model: dict) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, words, pairs, grams = WordHashes(), Words(**model["words"]), Pairs(**model["pairs"]), [Grams(**g) for g in model["grams"]]
+        memo, words, trie = WordHashes(), Words(**model["words"]), Trie(**model["grams"])
         for ids, texts in packed(batches):
-            token, context, n = tokens_of(texts, memo)
+            token, _, n = tokens_of(texts, memo)
             distinct, which = np.unique(token, return_inverse=True)
-            counts = words.counts(distinct)
+            number, counts = words.find(distinct)
             base = words.log10(counts)
             before = np.r_[np.searchsorted(distinct, END), which[:-1]]
             pair, pair_of = np.unique(before * np.int64(len(distinct)) + which, return_inverse=True)
             v, w = pair // len(distinct), pair % len(distinct)
-            log, shard, place = pairs.log10(distinct[v], distinct[w], counts[v], base[w], words.total)
-            log, gram, depth = log[pair_of], pair_of, depths(n)
-            for k, level in enumerate(grams, 3):
+            log, shard, place = trie.pairs(number[v], number[w], counts[v], base[w], words.total)
+            log, shard, place = log[pair_of], shard[pair_of], place[pair_of]
+            del before, pair, pair_of, v, w
+            depth = np.arange(len(token)) - np.repeat(starts_of(n)[:-1], n)
+            for k in range(3, trie.order + 1):
                 at = np.flatnonzero(depth >= k - 2)
-                key, number = np.unique(gram[at - 1] * np.int64(len(distinct)) + which[at], return_inverse=True)
-                up = key // len(distinct)
-                c, of, place = level.counts(shard[up], place[up], distinct[key % len(distinct)])
-                shard, gram = shard[up], np.full(len(token), -1, np.int64)
-                gram[at] = number
-                log[at] = np.log10((c[number] + pairs.weight * 10 ** log[at]) / (of[number] + pairs.weight))
+                at = at[(place[at - 1] >= 0) & (number[which[at]] < trie.none)]
+                at = at[np.lexsort((which[at], place[at - 1], shard[at - 1]))]
+                unseen = np.flatnonzero((depth >= k - 2) & (number[which] >= trie.none))  # only the backoff weight counts
+                unseen = unseen[place[unseen - 1] >= 0]
+                unseen = unseen[np.lexsort((place[unseen - 1], shard[unseen - 1]))]
+                old, above, in_shard = log.copy(), place, shard
+                place, shard = np.full(len(token), -1, np.int64), np.zeros(len(token), np.int64)
+                for rows in (at, unseen):
+                    log[rows], place[rows] = trie.extend(k, in_shard[rows - 1], above[rows - 1], number[which[rows]], old[rows])
+                    shard[rows] = in_shard[rows - 1]
             starts = starts_of(n)[:-1]
             total = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
@@ -632,5 +600,8 @@ def score(df: DataFrame, model: dict) -> DataFrame:
 
 
 def score_documents(df: DataFrame, weight: float = 32.0, order: int = 2) -> DataFrame:
-    """Learn n-grams up to `order` (2 or more) from the training folds and score every document, the held-out ones too."""
+    """Learn n-grams up to `order` (2 or more) from the training folds and score every document, the held-out ones too.
+
+    Null ids are in the training folds by their empty text's remainder; an empty table gives none. Extra columns are ignored.
+    """
     return score(df, learn(df, weight, order=order))
