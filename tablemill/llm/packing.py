@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,37 @@ class Lookup:
         return bins, places
 
 
+@lru_cache(maxsize=2)
+def encoder(tokenizer_path: str, pattern: str) -> MemoEncoder:
+    """A worker's encoder by the tokenizer library; its memos serve all tasks of the worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+
+    def encode_many(pretokens: list[str]) -> Iterator[bytes]:
+        for e in tokenizer.encode_batch_fast(pretokens, add_special_tokens=False):
+            yield array("I", e.ids).tobytes()
+
+    # ids whose token starts with the byte-mapped space; of words in a row each starts with one
+    starts = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
+
+    def encode_words(words: list[str]) -> Iterator[bytes]:
+        """Words that start with a space, many in one call of the library; each is a pre-token, so its ids are its own."""
+        groups = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for own, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = [*(4 * np.flatnonzero(starts[ids])).tolist(), 4 * len(ids)]
+            if len(cuts) - 1 != len(own):
+                raise ValueError("words and pre-tokens differ")
+            raw = ids.tobytes()
+            for a, b in zip(cuts, cuts[1:]):
+                yield raw[a:b]
+
+    return MemoEncoder(pattern, encode_many, encode_words)
+
+
 def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int, capacity: int) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut into pieces of at most `capacity`.
 
@@ -135,31 +167,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
-
-        def encode_many(pretokens: list[str]) -> Iterator[bytes]:
-            for e in tokenizer.encode_batch_fast(pretokens, add_special_tokens=False):
-                yield array("I", e.ids).tobytes()
-
-        # ids whose token starts with the byte-mapped space; of words in a row each starts with one
-        starts = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
-
-        def encode_words(words: list[str]) -> Iterator[bytes]:
-            """Words that start with a space, many in one call of the library; each is a pre-token, so its ids are its own."""
-            for k in range(0, len(words), 500):
-                ids = np.array(tokenizer.encode("".join(words[k : k + 500]), add_special_tokens=False).ids, "<u4")
-                cuts = [*np.flatnonzero(starts[ids]).tolist(), len(ids)]
-                if len(cuts) - 1 != len(words[k : k + 500]):
-                    raise ValueError("words and pre-tokens differ")
-                raw = ids.tobytes()
-                for a, b in zip(cuts, cuts[1:]):
-                    yield raw[4 * a : 4 * b]
-
-        memo, end = MemoEncoder(pattern, encode_many, encode_words), np.array([end_id], "<u4").tobytes()
+        memo, end = encoder(tokenizer_path, pattern), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part, texts in text_chunks(batch):
                 rows: list[tuple[int, int, int, int, int]] = []

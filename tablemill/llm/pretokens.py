@@ -8,7 +8,7 @@ from itertools import chain
 import regex
 
 #: Entries of either memo after which it starts anew, and the longest key that is kept.
-MEMO_ENTRIES, MEMO_CHARS = 1_400_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 1_200_000, 48
 #: Marks that follow words.
 MARKS = ".,;:?!"
 
