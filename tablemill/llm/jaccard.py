@@ -161,15 +161,17 @@ def postings(df: DataFrame, n: int, percent: int) -> DataFrame:
     """
 
     def rows(key: list, node: list, lot: list, need: list) -> pa.RecordBatch:
-        k = np.concatenate(key).view(np.int64)
+        keys = np.concatenate(key).view(np.int64)
         each = [np.repeat(np.array(x), [len(y) for y in key]) for x in (node, lot, need)]
-        order = np.lexsort((each[0], k))
-        k, (who, lot_, need_) = k[order], (x[order] for x in each)
+        order = np.lexsort((each[0], keys))
+        k = keys[order]
         new = np.r_[True, k[1:] != k[:-1]]
-        held = np.where(new, 0, 2)
+        mark = np.where(new, 0, 2)
         first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        held[first[~new]] = 1
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(who, pa.int64()), pa.array(lot_, pa.int32()), pa.array(need_, pa.int32()), pa.array(held, pa.int32())], ["key", "node", "lot", "need", "held"])
+        mark[first[~new]] = 1
+        held = np.empty(len(k), np.int32)
+        held[order] = mark  # rows stay in the order of their nodes, which compresses well
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((keys, *each, held), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["key", "node", "lot", "need", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, size = WordHashes(), set(), 0
@@ -229,7 +231,7 @@ def shared(lists: DataFrame) -> DataFrame:
     where = F.when(F.col("held") == 2, F.xxhash64("key", "node")).otherwise(F.xxhash64("key"))
     # of equal rows the one that stands for others comes first; rows that aren't gathered come after those that are
     order = [F.col("held") == 2, F.col("key"), F.col("node"), F.col("held").desc()]
-    return lists.withColumn("place", where).repartition("place").sortWithinPartitions(*order).drop("place").mapInArrow(run, LISTS)
+    return lists.repartition(where).sortWithinPartitions(*order).mapInArrow(run, LISTS)
 
 
 def set_rows(df: DataFrame, n: int) -> DataFrame:
