@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import column, materialise, text_chunks
 from .pretokens import MemoEncoder
 
+#: Bytes of text that are encoded at once.
+CHUNK = 2 << 20
 #: Pieces that a group has about, of those that each length is dealt into, so that a common length is numbered by many tasks; and the fewest groups.
 GROUP_PIECES, LEAST_GROUPS = 100_000, 32
 
@@ -169,7 +171,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, end = encoder(tokenizer_path, pattern), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part, texts in text_chunks(batch):
+            for part, texts in text_chunks(batch, limit=CHUNK):
                 rows: list[tuple[int, int, int, int, int]] = []
                 for i, ids in enumerate(memo.encode([t.decode() for t in texts])):
                     ids += end

@@ -7,12 +7,33 @@ from itertools import chain
 
 import regex
 
-#: Entries of either memo after which it starts anew, and the longest key that is kept.
-MEMO_ENTRIES, MEMO_CHARS = 1_200_000, 48
+#: Entries of the memos of parts and of pre-tokens after which what was not looked up since is forgotten, and the longest key that is kept.
+PART_ENTRIES, PIECE_ENTRIES, MEMO_CHARS = 200_000, 50_000, 48
 #: Marks that follow words.
 MARKS = ".,;:?!"
 
 
+class Memo(dict):
+    """A dictionary that forgets: of two generations the elder goes when the younger is full; what is looked up is young."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.elder: dict = {}
+
+    def unknown(self, keys: set) -> list:
+        """The keys that neither generation has; the elder's become young."""
+        new = keys.difference(self)
+        elder = self.elder
+        held = [k for k in new if k in elder]
+        self.update([(k, elder[k]) for k in held])
+        return list(new.difference(held)) if held else list(new)
+
+    def trim(self) -> None:
+        if len(self) > self.entries:
+            self.elder = dict(self)
+            self.clear()
+
+
 class MemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -24,22 +45,20 @@ class MemoEncoder:
     def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], Iterable[bytes]] | None = None):
         self.find = regex.compile(pattern).findall
         self.encode_many, self.encode_words = encode_many, encode_words or encode_many
-        self.parts: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.parts, self.pieces = Memo(PART_ENTRIES), Memo(PIECE_ENTRIES)  # from text to ids; None for parts that are no pre-tokens of their own
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
         split = [self.find(t) for t in texts]
         seen = self.pieces
-        new = list(set(chain.from_iterable(split)).difference(seen))
+        new = seen.unknown(set(chain.from_iterable(split)))
         seen.update(zip(new, self.encode_many(new) if new else ()))
         out = [b"".join(map(seen.__getitem__, s)) for s in split]
         for p in new:
             if len(p) > MEMO_CHARS:
                 del seen[p]
-        if len(seen) > MEMO_ENTRIES:
-            seen.clear()
+        seen.trim()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -50,10 +69,10 @@ class MemoEncoder:
             del s[0]
             split.append(s)
         known = self.parts
-        new = list(set(chain.from_iterable(split)).difference(known))
+        new = known.unknown(set(chain.from_iterable(split)))
         # most parts are a word, or a word and one mark, which is a pre-token of its own
         marked = [p for p in new if p[-1:] in MARKS and p[:-1].isalpha()]
-        words = list({p for p in new if p.isalpha()}.union([p[:-1] for p in marked]).difference(known))
+        words = known.unknown({p for p in new if p.isalpha()}.union([p[:-1] for p in marked]))
         known.update(zip(words, self.encode_words([" " + p for p in words]) if words else ()))
         if marked:
             ids = dict(zip(MARKS, self._pieces(list(MARKS))))
@@ -77,6 +96,5 @@ class MemoEncoder:
         for p in {*new, *words}:
             if len(p) > MEMO_CHARS:
                 del known[p]
-        if len(known) > MEMO_ENTRIES:
-            known.clear()
+        known.trim()
         return out
