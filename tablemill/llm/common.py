@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -67,15 +68,14 @@ def fresh_name(df: DataFrame, base: str) -> str:
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch with the texts as UTF-8 (null: empty); a slice holds one row or up to `limit` bytes."""
-    texts = [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > limit:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        held = int(ends[start - 1]) if start else 0
+        past = max(start + 1, int(np.searchsorted(ends, held + limit, side="right")))
+        yield batch.slice(start, past - start), [x or b"" for x in texts.slice(start, past - start).to_pylist()]
+        start = past
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -39,7 +39,7 @@ ROUNDS = 2
 #: Rows up to which a table of one long a row is broadcast (16 MB), entries of a list that one task holds, and entries of a block that is skipped whole.
 BROADCAST_ROWS, LIST_SHARE, BLOCK = 2_000_000, 4096, 64
 #: Bytes of text whose lists are put together before they are sent.
-COMBINE_BYTES = 16 << 20
+COMBINE_BYTES = 8 << 20
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
