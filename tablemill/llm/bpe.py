@@ -11,6 +11,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,12 @@ class SentencePieceBpe:
         return b"".join(map(self.entries.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def encoder(ranks_path: str, pattern: str) -> SentencePieceBpe:
+    """A worker's encoder; its memos serve all tasks of the worker."""
+    return SentencePieceBpe(ranks_path, pattern)
+
+
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Per row of (doc_id, text): token count, digests of the ids and of the decoded bytes, and the ids if asked for.
 
@@ -94,7 +101,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, with_ids: bool =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = SentencePieceBpe(ranks_path, pattern)
+        bpe = encoder(ranks_path, pattern)
         decimal = [str(i) for i in range(len(bpe.entries))]
         for batch in batches:
             for part, texts in text_chunks(batch):

@@ -16,7 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import SentencePieceBpe
+from .bpe import encoder
 from .common import column, materialise, open_fs, scratch_path, text_chunks
 
 #: Bytes a block has.
@@ -24,11 +24,16 @@ BLOCK_BYTES = 4 << 20
 
 
 def write_token_files(df: DataFrame, folder: str, ranks_path: str, pattern: str, end_id: int, dtype: str = "<u2") -> DataFrame:
-    """Tokenise (doc_id, text) into a flat file a task; returns (file, doc_no, doc_id), for one action to run. Null text is an empty document."""
+    """Tokenise (doc_id, text) into a flat file a task; returns (file, doc_no, doc_id), for one action to run. Null text is an empty document.
+
+    Ids must fit the files' width: a vocabulary or end id above it is refused.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
-        bpe, name, out, n = SentencePieceBpe(ranks_path, pattern), f"{uuid.uuid4().hex}.tok", None, 0
+        bpe, name, out, n = encoder(ranks_path, pattern), f"{uuid.uuid4().hex}.tok", None, 0
+        if max(end_id, len(bpe.entries) - 1) > np.iinfo(dtype).max:
+            raise ValueError(f"ids up to {max(end_id, len(bpe.entries) - 1)} don't fit {dtype}")
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
             for part, texts in text_chunks(batch):
