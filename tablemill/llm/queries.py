@@ -112,7 +112,47 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n
 FROM w LEFT JOIN kept ON kept.r = w.r LEFT JOIN lost ON lost.r = w.r
 """
 
+#: Turns by text, escaped as the template escapes them; the probe conversation beside the table's.
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, '<s>[ROLE]' || regexp_replace(role, '([\\<\[])', '\\\1', 'g') || '[/ROLE]' || CASE WHEN role = 'user' THEN '[INST] ' ELSE '' END
+    || regexp_replace(text, '([\\<\[])', '\\\1', 'g') || CASE WHEN role = 'user' THEN ' [/INST]' ELSE '' END || '</s>' AS formatted FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(formatted))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+#: The counts, and every rule's verdict whatever the order of the cascade.
+QUALITY_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), grams AS (
+  SELECT r, i, array_to_string(words[i:i + 2], ' ') AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)
+), twice AS (
+  SELECT r, g FROM grams GROUP BY r, g HAVING count(*) > 1
+), covered AS (
+  SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS p FROM grams JOIN twice USING (r, g)) GROUP BY r
+), f AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    len(lines) AS n_lines, len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words
+  FROM w LEFT JOIN covered ON covered.r = w.r
+), v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    10 * n_symbols > n_words OR (n_lines > 5 AND 2 * n_dup_lines > n_lines) OR NOT word_chars BETWEEN 2 * n_words AND 25 * n_words OR 10 * n_letter_words < 6 * n_words AS rejected FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM v
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express in full; each other one is tested against a brute-force version."""
-    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL}
+    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op9_chat_formatting": CHAT_SQL, "op10_quality_rules": QUALITY_SQL}
