@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory however long the Arrow batch is.
@@ -66,6 +66,11 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch with the texts as UTF-8 (null: empty); a slice holds one row or up to `limit` bytes."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())

@@ -419,7 +419,8 @@ def join_components(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def keep_one(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df less near copies: of each component the row with the least doc_id stays (null ids come last); of rows with that id, one.
 
-    Only linked rows go, whatever ids they have: rows with an empty set all stay. Any further columns are kept as they are.
+    Only linked rows go, whatever ids they have: rows with an empty set (null, empty or blank text) all stay. Any further columns are kept as
+    they are, whatever their names; an empty table gives none.
     """
     key = fresh_name(df, "row_key")
     docs = row_key(df, key)
@@ -428,4 +429,4 @@ def keep_one(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stay = full.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("least")).select(F.col("least._row").alias(key))
     blank = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
     one = docs.where(~blank).join(stay, key, "left_semi").dropDuplicates([key])
-    return docs.where(blank).select(*df.columns).unionByName(one.select(*df.columns))
+    return docs.where(blank).drop(key).unionByName(one.drop(key))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialise, text_chunks
+from .common import column, fresh_name, materialise, quoted, text_chunks
 from .pretokens import MemoEncoder
 
 #: Bytes of text that are encoded at once.
@@ -190,38 +190,49 @@ def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int,
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` from 1 to `capacity`, in as few sequences as best-fit decreasing gives.
 
-    Any rows will do, repeated ones included; an empty table gives an empty table. Columns named sequence_id or offset are replaced.
+    Any rows will do, repeated ones, null values and any other columns' names included; an empty table gives an empty table. Columns named
+    sequence_id or offset are replaced.
     """
     pieces = materialise(pieces.drop("sequence_id", "offset"), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     if any(not 1 <= n <= capacity for n in counts if n is not None) or None in counts:
         raise ValueError(f"a length is not in 1..{capacity}")
     rows, _ = best_fit_plan(counts, capacity)
-    names = [c for c in pieces.columns if c != "length"]
+    names = [quoted(c) for c in pieces.columns if c != "length"]
+    group, rank, before_ = (fresh_name(pieces, x) for x in ("group", "rank", "before"))
     key = F.pmod(F.xxhash64(*names), F.lit(max(LEAST_GROUPS, sum(counts.values()) // GROUP_PIECES))) if names else F.lit(0)
-    dealt = pieces.withColumn("_group", key)
+    dealt = pieces.withColumn(group, key)
     # ranks: one within (length, group), after what the length's earlier groups hold; both are dealt by (length, group)
-    held = dealt.groupBy("length", "_group").count()
-    before = held.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("length", "_group", F.coalesce("_before", F.lit(0)).alias("_before"))
-    order = [F.col(c) for c in names] or [F.lit(0)]
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy(*order)) - 1)
-    ranked = ranked.join(before, ["length", "_group"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_group", "_before")
+    held = dealt.groupBy("length", group).agg(F.count("*").alias("n"))
+    before = held.withColumn(before_, F.sum("n").over(Window.partitionBy("length").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.select("length", group, F.coalesce(before_, F.lit(0)).alias(before_))
+    order = names or [F.lit(0)]
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy("length", group).orderBy(*order)) - 1)
+    ranked = ranked.join(before, ["length", group])
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(before_)).drop(group, before_)
     plan = pieces.sparkSession.sparkContext.broadcast(rows)  # bounded by the capacity, not by the input
     from pyspark.sql.types import LongType, StructType
 
     kept = list(pieces.schema)
+    length = pieces.columns.index("length")
     schema = StructType(list(kept)).add("sequence_id", LongType()).add("offset", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(plan.value)
         for b in batches:
-            at = look(column(b, "length").cast(pa.int64()).to_numpy(), column(b, "_rank").cast(pa.int64()).to_numpy())
-            yield pa.RecordBatch.from_arrays([*(column(b, f.name) for f in kept), pa.array(at[0]), pa.array(at[1])], [*(f.name for f in kept), "sequence_id", "offset"])
+            *own, ranks = b.columns
+            at = look(own[length].cast(pa.int64()).to_numpy(), ranks.cast(pa.int64()).to_numpy())
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at[0]), pa.array(at[1])], schema.names)
 
-    return ranked.select(*(f.name for f in kept), "_rank").mapInArrow(run, schema)
+    # by place: a column's name may hold a dot, which a map's arguments can't
+    placed = ranked.select(*(quoted(f.name) for f in kept), rank).toDF(*(f"c{i}" for i in range(len(kept) + 1)))
+    return placed.mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+    """One row a piece of each document of (doc_id, text): where the piece starts, its ids' digest, and its sequence and place.
+
+    Null and empty texts are the end id alone; long ones are cut into pieces; a null doc_id stays null; repeated rows are packed each; ties
+    between equal lengths change no number of sequences; other columns are ignored; an empty table gives none.
+    """
     return pack(token_pieces(df, tokenizer_path, pattern, end_id, capacity), capacity)

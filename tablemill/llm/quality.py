@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, column, text_chunks
+from .common import SPACES, column, fresh_name, text_chunks
 
 SYMBOLS = "#*$%&|<>"
 #: Rows that the sample has at most.
@@ -127,9 +127,12 @@ def first_rejection(f: Features, rules: tuple[Rule, ...]) -> str | None:
 
 
 def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that no rule rejects, all columns unchanged. Null text counts as empty and is rejected as too short."""
+    """The rows that no rule rejects, all columns unchanged, whatever their names. Null text counts as empty and is rejected as too short.
+
+    Repeated rows are judged each, so all or none of them stay; an empty table gives none.
+    """
     order = plan(df, rules)
-    out = "_kept" + "_" * sum(c.startswith("_kept") for c in df.columns)
+    out = fresh_name(df, "kept")
 
     from collections.abc import Iterator as It
 

@@ -157,11 +157,11 @@ def repeats(df: DataFrame, window: int) -> DataFrame:
     return found.groupBy("_row").agg(F.collect_set(F.struct("start", "bits")).alias("runs"))
 
 
-def _with_runs(df: DataFrame, window: int, key: str) -> DataFrame:
-    """df with its row key under `key` and its repeated runs under `key` + "runs"."""
+def _with_runs(df: DataFrame, window: int, key: str, own: str) -> DataFrame:
+    """df with its row key under `key` and its repeated runs under `own`."""
     docs = row_key(df, key)
     found = repeats(docs.select(F.col(key).alias("_row"), "text"), window)
-    return docs.join(found.select(F.col("_row").alias(key), F.col("runs").alias(key + "runs")), key, "left")
+    return docs.join(found.select(F.col("_row").alias(key), F.col("runs").alias(own)), key, "left")
 
 
 def measure(df: DataFrame, window: int = 35) -> DataFrame:
@@ -177,7 +177,7 @@ def measure(df: DataFrame, window: int = 35) -> DataFrame:
                 out = [(n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for n, kept in _flagged(texts, column(part, "runs").to_pylist(), window)]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id").cast(pa.int64()), *(pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    docs = _with_runs(df.select("doc_id", "text"), window, "_row")
+    docs = _with_runs(df.select("doc_id", "text"), window, "_row", "_rowruns")
     return docs.select("doc_id", "text", F.col("_rowruns").alias("runs")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -185,10 +185,11 @@ def remove_repeats(df: DataFrame, window: int = 35) -> DataFrame:
     """The documents less every repeated passage; texts without one stay as they are, others are their kept words joined by spaces.
 
     n_chars, where present, follows; documents of which nothing stays keep an empty text. Null texts stay null.
+    Equal rows repeat each other, so from a window on both lose their words; other columns stay, whatever their names; an empty table gives none.
     """
     import pandas as pd
 
-    key = fresh_name(df, "row")
+    key, found = fresh_name(df, "row"), fresh_name(df, "found")
 
     def clean(text: pd.Series, runs: pd.Series) -> pd.Series:
         out = []
@@ -201,9 +202,9 @@ def remove_repeats(df: DataFrame, window: int = 35) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     clean.__annotations__ = {"text": pd.Series, "runs": pd.Series, "return": pd.Series}
-    out = _with_runs(df, window, key)
-    packed = F.transform(F.col(key + "runs"), lambda r: F.struct(r["start"].alias("start"), r["bits"].alias("bits")))
+    out = _with_runs(df, window, key, found)
+    packed = F.transform(F.col(found), lambda r: F.struct(r["start"].alias("start"), r["bits"].alias("bits")))
     out = out.withColumn("text", F.pandas_udf(clean, "string")(F.col("text"), packed))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+    return out.drop(key, found)

@@ -57,6 +57,15 @@ def run(spark, sf, name):
     return entry.queries()[name](spark, sf)
 
 
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns with the names that helper columns have, had or could have."""
+    names = ["_group", "_rank", "_before", "__group", "__RANK", "__before", "count", "n", "_kept", "_kept_", "__kept", "__row", "__rowruns", "__found", "_row", "runs", "a.b"]
+    text = " ".join(f"word{i} of" for i in range(60))
+    rows = [(1, text, *range(len(names))), (2, text + " more", *[None] * len(names)), (3, None, *range(len(names)))]
+    return spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{x}` int" for x in names)])), rows
+
+
 # --- 1 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -100,6 +109,14 @@ def test_packing_odd_rows(odd, empty):
     assert packing.pack_documents(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
+def test_packing_clashing_names(clashing):
+    df, rows = clashing
+    out = packing.pack(df.withColumn("length", F.col("doc_id") * 300), 1024).cache()
+    assert out.columns == ["doc_id", "text", *df.columns[2:], "length", "sequence_id", "offset"]
+    assert rows_of(out, *(f"`{c}`" for c in df.columns)) == sorted(rows, key=repr)
+    assert check_layout(rows_of(out, "length", "sequence_id", "offset"), 1024) == 2
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=120))
 def test_packing_equals_item_by_item_best_fit(lengths):
@@ -269,6 +286,12 @@ def test_keep_one(odd, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
+def test_keep_one_clashing_names(clashing):
+    df, rows = clashing
+    out = jaccard.keep_one(df, 5, 80)
+    assert out.columns == df.columns and rows_of(out, *(f"`{c}`" for c in df.columns)) == sorted([rows[0], rows[2]], key=repr)
+
+
 def test_keep_one_takes_linked_rows_only(spark):
     text = lambda name, changed=None: " ".join(f"{name}{i}" if i != changed else "changed" for i in range(100))
     rows = [(None, text("a")), (None, text("b")), (None, text("b", 50)), (None, text("c")), (7, text("c", 99)), (1, text("d")), (2, text("d", 99)), (2, text("e")), (2, text("f")), (3, text("f", 0)), (3, text("g")), (3, text("g")), (4, text("g", 1)), (None, ""), (None, None), (None, None)]
@@ -304,6 +327,13 @@ def test_substring_odd_rows(odd, empty):
     assert texts[0] is None and texts[9] == odd_docs()[9][1] and texts[6] == texts[7] == "" and texts[10] == "prefix suffix"
 
 
+def test_substring_clashing_names(clashing):
+    df, rows = clashing
+    out = substring.remove_repeats(df)
+    assert out.columns == df.columns
+    assert rows_of(out, *(f"`{c}`" for c in df.columns)) == sorted([(1, "", *rows[0][2:]), (2, "more", *rows[1][2:]), rows[2]], key=repr)
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -641,6 +671,12 @@ def test_quality_odd_rows(odd, empty):
     assert quality.keep(odd).columns == odd.columns
 
 
+def test_quality_clashing_names(clashing):
+    df, rows = clashing
+    out = quality.keep(df)
+    assert out.columns == df.columns and rows_of(out, *(f"`{c}`" for c in df.columns)) == sorted([r for r in rows if r[1]], key=repr)
+
+
 def test_cascade_order_changes_no_verdict(docs, spark):
     some = [quality.Features((t or "").encode()) for _, t in docs[:80]]
     verdicts = [{quality.first_rejection(f, tuple(random.Random(s).sample(quality.RULES, len(quality.RULES)))) is None for s in range(5)} for f in some]
