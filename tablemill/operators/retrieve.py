@@ -132,6 +132,12 @@ def agreement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     return sets(a, "x").join(sets(b, "y"), "qid").agg(F.round(F.avg(jaccard(F.col("x"), F.col("y"))), 6).alias("jaccard"), F.count("*").alias("questions"))
 
 
+def top_scores(reranked: DataFrame) -> DataFrame:
+    """One row (questions, p10, median): exact quantiles, interpolated, of the first-ranked rows' rerank_score of (qid, id, rank, rerank_score)."""
+    first = reranked.where("rank = 0")
+    return first.agg(F.countDistinct("qid").alias("questions"), F.percentile("rerank_score", 0.1).alias("p10"), F.percentile("rerank_score", 0.5).alias("median"))
+
+
 def retrieve(ir: DataFrame, meta: DataFrame, index: bm25.Index, docs: DataFrame, k_max: int = 12, reranked: DataFrame | None = None, ce_weight: float = 0.0) -> DataFrame:
     """Ranked tables of each question, as many as its companies, years and operations call for, documents covered first."""
     rows = signals(ir, meta, index, candidates(ir, meta, docs))

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions import numbers, periods, text, vectors
-from tablemill.operators import bm25, documents, emit, facts, grids, locate, lookup, patch, prompts, quality, questions, retrieve, solve, verify
+from tablemill.operators import bm25, documents, emit, facts, grids, locate, lookup, patch, planner, probes, prompts, quality, questions, retrieve, solve, verify
 from tablemill.operators import vectors as vector_search
 from tablemill.plans import ir as plan_ir
-from tablemill.session import store
-from tablemill.sources import html, reports, statements
+from tablemill.session import shared_path, store
+from tablemill.sources import html, matrices, reports, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -509,6 +509,27 @@ def matryoshka_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(vectors.dot(v, v)), 5).alias("cut"), F.round(F.sqrt(vectors.dot(short, short)), 5).alias("again"))
 
 
+@query(f"WITH {_DENSE_SQL} SELECT count(*) AS questions, round(quantile_cont(score, 0.1), 5) AS p10, round(quantile_cont(score, 0.5), 5) AS median FROM (SELECT qid, max(score) AS score FROM s WHERE id <> qid GROUP BY 1)")
+def top_score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))  # the stated set of queries
+    found = vector_search.search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), q, 1, same=False)
+    top = retrieve.top_scores(found.withColumnRenamed("score", "rerank_score"))
+    return top.select("questions", F.round("p10", 5).alias("p10"), F.round("median", 5).alias("median"))
+
+
+@query("SELECT CAST(c AS INTEGER) AS case_no, u AS usable, n FROM (VALUES (0, true), (1, false), (2, false), (3, false), (4, false)) v(c, u), (SELECT count(*) AS n FROM embeddings)")
+def matrix_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors asked for as they are, by another model, in another size, for another number of rows, and where there are none."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    n, dims = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
+    path = shared_path(spark, "vectors")
+    held = matrices.load(spark, path, "model-a", n, dims, lambda: rows)
+    asked = [(path, "model-a", n, dims), (path, "model-b", n, dims), (path, "model-a", n, dims + 1), (path, "model-a", n + 1, dims), (path + "-none", "model-a", n, dims)]
+    cases = spark.createDataFrame([(i, matrices.usable(spark, *a)) for i, a in enumerate(asked)], "case_no int, usable boolean")
+    return cases.crossJoin(held.agg(F.count("*").alias("n")))  # one row
+
+
 # --- questions ---------------------------------------------------------------------------------------------------------
 
 _LIST = [("AAA", "CTCP Nhựa An Phát Xanh"), ("FPT", "CTCP FPT"), ("FTS", "CTCP Chứng khoán FPT"), ("VCB", "Ngân hàng TMCP Ngoại thương Việt Nam"), ("HPG", "CTCP Tập đoàn Hòa Phát"), ("GAS", "Tổng công ty Khí Việt Nam"), ("VNM", "CTCP Sữa Việt Nam"), ("DXG", "CTCP Tập đoàn Đất Xanh"), ("PDR", "CTCP Phát triển Bất động sản Phát Đạt")]
@@ -736,6 +757,46 @@ golden(
 )
 
 
+golden(
+    "planner_scope", "ops string, unit string, tier int",
+    [("RATIO,AGGREGATE", "vnd", 1, True), ("AGGREGATE", "vnd", 2, False), ("AGGREGATE", "pp", 1, True), ("", "vnd", 3, True), ("", "vnd", 1, False), (None, None, None, False), (None, "year", None, True)],
+    {"hard": "boolean"}, lambda d: {"hard": planner.in_scope(F.split(d["ops"], ","), d["unit"], d["tier"], "hard")},
+)
+
+
+def _rule_planner():
+    """A planner by rule: states a number for every third prompt, but with some temperature only for the odd ones of these."""
+
+    def answer(prompts: list[str], temperature: float) -> list[str]:
+        bad = [int(p) % 3 == 0 and (not temperature or int(p) % 2 == 1) for p in prompts]
+        return [f"So:\n```python\ndf1.iloc[0, 1]{' + 123456' if b else ''}\n```" for b in bad]
+
+    return answer
+
+
+@query("SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 3 <> 0 THEN 0 WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS attempt, p_partkey % 3 <> 0 OR p_partkey % 2 = 0 AS ok FROM part GROUP BY p_partkey")
+def planner_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("prompt")).distinct()
+    return planner.plan(asked, _rule_planner, shared_path(spark, "planner")).select("id", "attempt", "ok")
+
+
+_PROBED_SQL = "h AS (SELECT p_size AS qid, p_partkey AS t, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM (SELECT DISTINCT p_size, p_partkey FROM part))"
+
+
+@query(f"""WITH {_PROBED_SQL}, r AS (
+  SELECT tag, qid, 'D' || CAST(qid AS VARCHAR) || suffix || '|' || CAST(unnest([t, 3 * t, qid]) AS VARCHAR) AS ref FROM h, (VALUES ('probe1_all_folder', ''), ('probe2_all_stem', '_extracted')) v(tag, suffix) WHERE n = 1
+  UNION ALL SELECT tag, qid, 'D' || CAST(qid AS VARCHAR) || '_extracted|' || CAST(CASE tag WHEN 'probe_table_idx' THEN t WHEN 'probe_line_no' THEN 3 * t ELSE qid END AS VARCHAR) FROM h, (VALUES ('probe_table_idx'), ('probe_line_no'), ('probe_page_no')) v(tag) WHERE n <= 2
+) SELECT tag, qid, array_to_string(list_sort(list(DISTINCT ref)), ',') AS refs FROM r GROUP BY 1, 2""")
+def probe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_size", "p_partkey").distinct()
+    hits = p.select(
+        F.col("p_size").alias("qid"), retrieve.rank_from([F.col("p_partkey")], "p_size").alias("rank"), F.concat(F.lit("D"), F.col("p_size").cast("string")).alias("doc_id"),
+        F.col("p_partkey").alias("table_idx"), (F.col("p_partkey") * 3).alias("line_no"), F.col("p_size").alias("page_no"), F.lit(None).cast("long").alias("char_start"),
+    )
+    both = probes.probe(hits, 1).unionByName(probes.probe(hits, 2, "file_stem"))
+    return both.select("tag", "qid", F.array_join(F.array_sort("refs"), ",").alias("refs"))
+
+
 @query("SELECT c_nationkey AS ticker, count(*) AS n FROM customer GROUP BY 1")
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stream of the table's rows adds up to, one micro-batch at a time, equals the table's own counts."""
