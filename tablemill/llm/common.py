@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +140,91 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two columns agree, nulls with nulls too."""
+    both = pc.and_(pc.is_null(a), pc.is_null(b))
+    return pc.or_(pc.fill_null(pc.equal(a, b), False), both).to_numpy(zero_copy_only=False)
+
+
+#: Factor of chained hashes and its inverse modulo 2 ** 64.
+CHAIN = 0x9E3779B97F4A7C15
+CHAIN_INVERSE = pow(CHAIN, -1, 1 << 64)
+
+
+def powers(base: int, n: np.ndarray) -> np.ndarray:
+    """base ** n modulo 2 ** 64 for each exponent."""
+    out, n, square = np.ones(len(n), U64), n.copy(), base
+    while n.any():
+        with np.errstate(over="ignore"):
+            out = np.where(n & 1, out * U64(square), out)
+        square, n = square * square % (1 << 64), n >> 1
+    return out
+
+
+def numbered(df: DataFrame, group: str, order: list[str], place: str, chains: dict[str, str] | None = None) -> DataFrame:
+    """df with each row's place (a long from 0) in its group by `order`, and chained hashes of long columns (chains: source to result) over the group's rows so far.
+
+    A chain is its value before, times CHAIN, plus the row's own (modulo 2 ** 64).
+
+    A prefix scan: rows are sorted over all tasks, so a group of any size is spread, and so are equal rows. Each task counts on its own; the driver reads
+    one row of each task, its first and last group's totals, and gives each task what earlier ones hold of its first group. df is read twice; give it a table.
+    """
+    chains = chains or {}
+    keys, n_own = [group, *order], len(df.columns)
+    rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{place} long", *(f"{x} long" for x in chains.values())])
+    names = [*df.columns, place, *chains.values()]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, first = TaskContext.get().partitionId(), 0, True
+        own, at, held = None, -1, [U64(0)] * len(chains)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            g, row = column(b, group), np.arange(n)
+            new = np.r_[own is None or not _same(g.slice(0, 1), own)[0], ~_same(g.slice(1), g.slice(0, n - 1))]
+            begin = np.maximum.accumulate(np.where(new, row, -1))  # -1: the last batch's group goes on
+            places = np.where(begin < 0, at + 1 + row, row - begin)
+            up, down = powers(CHAIN, row), powers(CHAIN_INVERSE, row)
+            running = []
+            for j, source in enumerate(chains):
+                with np.errstate(over="ignore"):
+                    total = np.r_[U64(0), np.cumsum(column(b, source).to_numpy(zero_copy_only=False).view(U64) * down, dtype=U64)]
+                    running.append(up * (total[1:] - np.where(begin < 0, U64(0) - held[j] * U64(CHAIN), total[np.maximum(begin, 0)])))
+            firsts = first & ((begin < 0) | ((begin == 0) & (own is None)))
+            first = bool(firsts[-1])
+            own, at, held = g.slice(n - 1), int(places[-1]), [r[-1] for r in running]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places), *(pa.array(r.view(np.int64)) for r in running), pa.array(np.full(n, part, np.int32)), pa.array(seen + row), pa.array(firsts)], [*names, "_part", "_row", "_first"])
+            seen += n
+
+    counted = materialise(rows.mapInArrow(count, f"{schema}, _part int, _row long, _first boolean"), "numbered")
+    end = F.max_by(F.struct(F.col(group).alias("g"), place, *chains.values()), "_row")
+    parts = counted.groupBy("_part").agg(F.min_by(F.struct(F.col(group).alias("g")), "_row").alias("begin"), end.alias("end"), F.bool_and("_first").alias("one")).orderBy("_part").collect()
+    earlier = np.zeros((1 + len(chains), 1 + max((p["_part"] for p in parts), default=0)), U64)
+    carry: tuple | None = None
+    for p in parts:
+        n, hashes = p["end"][place] + 1, [p["end"][x] for x in chains.values()]
+        if carry is not None and carry[0] == p["begin"]["g"]:
+            earlier[:, p["_part"]] = carry[1]
+            if p["one"]:
+                n, hashes = n + carry[1][0], [(h + c * pow(CHAIN, n, 1 << 64)) for h, c in zip(hashes, carry[1][1:])]
+        carry = (p["end"]["g"], [n, *(h % (1 << 64) for h in hashes)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before = np.where(column(b, "_first").to_numpy(zero_copy_only=False), earlier[:, column(b, "_part").to_numpy()], U64(0))
+            at = column(b, place).to_numpy()
+            out = [*b.columns[:n_own], pa.array(at + before[0].view(np.int64))]
+            up = powers(CHAIN, np.where(before[0] > 0, at + 1, 0))
+            for j, name in enumerate(chains.values(), 1):
+                with np.errstate(over="ignore"):
+                    out.append(pa.array((column(b, name).to_numpy().view(U64) + before[j] * up).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return counted.mapInArrow(add, schema)
+
+
 def components(spark: SparkSession, edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the least node; nodes without an edge have no row.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, lm, media, packing, quality, secrets, substring, tokencount
+from . import bpe, chat, jaccard, lm, media, merkle, packing, quality, secrets, simhash, substring, tokencount, trie
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,6 +61,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_best_fit_packing, op2_byte_level_bpe, op3_ngram_jaccard_join, op4_substring_dedup, op5_lm_scoring, op6_secret_scans, op7_media_columns, op8_token_counts, op9_chat_formatting, op10_quality_rules, pipeline)
+    own = (op1_best_fit_packing, op2_byte_level_bpe, op3_ngram_jaccard_join, op4_substring_dedup, op5_lm_scoring, op6_secret_scans, op7_media_columns, op8_token_counts, op9_chat_formatting, op10_quality_rules, op11_merkle_manifest, op12_simhash_near_dedup, op13_conversation_prefix_trie, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -153,6 +165,76 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: CRC-32 of an integer's decimal digits, bit by bit.
+_CRC = "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+
+def _shown(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(map(_shown, ("doc_id", "source", "lang", chars, "text"))) + ")"
+
+
+_UP = "list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))"
+
+#: Levels of every language's tree and of the tree over them; each row's steps, and its fold.
+MERKLE_SQL = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_CRC.format('doc_id')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS claim FROM documents
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l
+), t AS (
+  SELECT lang, 0 AS h, list(leaf ORDER BY place) AS nodes FROM p GROUP BY lang
+  UNION ALL SELECT lang, h + 1, {_UP} FROM t WHERE len(nodes) > 1
+), s AS (
+  SELECT lang, h, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM t WHERE len(nodes) = 1
+), u AS (
+  SELECT 0 AS h, (SELECT list(subroot ORDER BY place) FROM s) AS nodes
+  UNION ALL SELECT h + 1, {_UP} FROM u WHERE len(nodes) > 1
+), steps AS (
+  SELECT p.doc_id, p.place AS r, p.lang, t.h, xor(p.place >> t.h, 1) AS o, t.nodes FROM p JOIN t ON t.lang IS NOT DISTINCT FROM p.lang WHERE len(t.nodes) > 1
+  UNION ALL SELECT p.doc_id, p.place, p.lang, s.h + u.h, xor(s.place >> u.h, 1), u.nodes FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang, u WHERE len(u.nodes) > 1
+), paths AS (
+  SELECT doc_id, r, lang, string_agg(coalesce(nodes[o + 1], ''), '' ORDER BY h) AS beside, list(CASE WHEN nodes[o + 1] IS NULL THEN '-' WHEN o % 2 = 0 THEN 'l' ELSE 'r' END || coalesce(nodes[o + 1], '') ORDER BY h) AS steps FROM steps GROUP BY ALL
+), f AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, sha256(coalesce(beside, '')) AS proof_sha256,
+    list_reduce([claim] || coalesce(steps, []), lambda x, y: sha256(CASE y[1] WHEN 'l' THEN y[2:] || x WHEN 'r' THEN x || y[2:] ELSE x END)) AS folded_root
+  FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang LEFT JOIN paths ON paths.r = p.place AND paths.lang IS NOT DISTINCT FROM p.lang
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+#: Prefixes by the digests of their turns, and every node with all nodes below it.
+TRIE_SQL = rf"""
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS label,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words FROM conversations
+), c AS (
+  SELECT conv_id, {_CRC.format('conv_id')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)
+), r AS (
+  SELECT conv_id, label, words, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d
+  FROM (SELECT c.conv_id, 0 AS own, i, label, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.i <= c.h UNION ALL SELECT c.conv_id, 1, i, label, words FROM c JOIN o USING (conv_id) WHERE o.i > c.h)
+), x AS (
+  SELECT conv_id, d, words, string_agg(label, '') OVER (PARTITION BY conv_id ORDER BY d) AS seq FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), path AS (
+  SELECT conv_id, d, words, md5(seq) AS node FROM x
+), n AS (
+  SELECT d, node, min(conv_id) AS conv_id, count(*) AS n, max(words) AS words FROM path GROUP BY ALL
+), up AS (
+  SELECT DISTINCT a.d AS ad, a.node AS a, b.d AS bd, b.node AS b FROM path a JOIN path b ON a.conv_id = b.conv_id AND a.d <= b.d
+), sums AS (
+  SELECT ad, a, count(*) FILTER (bd = ad + 1) AS n_children, count(*) FILTER (NOT EXISTS (SELECT 1 FROM up k WHERE k.ad = up.bd AND k.a = up.b AND k.bd = k.ad + 1)) AS n_leaves, sum((n.n - 1) * n.words) AS saved
+  FROM up JOIN n ON n.d = bd AND n.node = b GROUP BY ALL
+), ends AS (
+  SELECT d, node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max(d) AS d, arg_max(node, d) AS node FROM path GROUP BY conv_id) GROUP BY ALL
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sums ON ad = n.d AND a = n.node LEFT JOIN up ON up.bd = n.d AND up.b = n.node AND up.ad = n.d - 1 LEFT JOIN n p ON p.d = up.ad AND p.node = up.a LEFT JOIN ends ON ends.d = n.d AND ends.node = n.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express in full; each other one is tested against a brute-force version."""
-    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op9_chat_formatting": CHAT_SQL, "op10_quality_rules": QUALITY_SQL}
+    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op9_chat_formatting": CHAT_SQL, "op10_quality_rules": QUALITY_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_conversation_prefix_trie": TRIE_SQL}
