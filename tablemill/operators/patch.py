@@ -22,14 +22,15 @@ def prefix_fits(local: Column, seen: Column) -> Column:
     return seen.isNull() | (F.slice(local, F.lit(1), F.size(seen)) == seen)
 
 
-def merge(base: DataFrame, patches: DataFrame, tolerance: float = 0.02, order: list[Column] | None = None) -> DataFrame:
+def merge(base: DataFrame, patches: DataFrame, order: list[Column], tolerance: float = 0.02) -> DataFrame:
     """base (id, answer, evidence, …) with patches (id, new_answer, seen, rule_answer) put in where they are sound.
 
-    Of an id's patches the first by `order` counts (without one the largest answer), so that no answer has two rows.
+    Of an id's patches the last line counts: the first by `order`, which must be total (as [F.desc("line")]). It counts whether it is sound or not: a later
+    line takes back an earlier one. base keeps its rows, one each; a patch without a base row is left out.
 
     Adds status (applied, mismatch, rejected, none) and conflict: an applied answer further than the tolerance from the rule's.
     """
-    patches = last_write(patches, ["id"], order or [F.desc_nulls_last("new_answer")])
+    patches = last_write(patches, ["id"], order)
     both = base.join(patches.select("id", "new_answer", "seen", "rule_answer", F.lit(True).alias("_p")), "id", "left")
     number = F.col("new_answer").isNotNull() & ~F.isnan("new_answer") & (F.abs("new_answer") < float("inf"))
     status = F.when(F.col("_p").isNull(), "none").when(~prefix_fits(F.col("evidence"), F.col("seen")), "mismatch").when(~number, "rejected").otherwise("applied")

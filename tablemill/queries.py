@@ -15,7 +15,7 @@ from tablemill.operators import bm25, documents, emit, facts, grids, locate, loo
 from tablemill.operators import vectors as vector_search
 from tablemill.plans import ir as plan_ir
 from tablemill.session import shared_path, store
-from tablemill.sources import html, matrices, reports, statements
+from tablemill.sources import html, matrices, reports, scan, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,6 +149,41 @@ def grid_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir).select("doc_id", "table_idx", "n_rows", "n_cols", "n_header_rows", "has_ma_so", "n_numeric_cells")
 
 
+#: Pages as documents: an odd page is twice its own document (same id, other text), every third has no id, every seventh has markup that no parser reads, every eleventh no text.
+_PAGES_SQL = """p AS (SELECT page_id, page_id % 3 = 0 AS nameless, page_id % 7 = 0 AS broken, page_id % 11 = 0 AS textless, length(html) AS n, length(html) - length(replace(html, chr(10), '')) AS breaks FROM pages),
+c AS (SELECT *, 1 AS part FROM p UNION ALL SELECT *, 2 FROM p WHERE page_id % 2 = 1)"""
+
+
+def _page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    copies = p.select("*", F.explode(F.when(F.col("page_id") % 2 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("part"))
+    cell = F.when(F.col("page_id") % 7 == 0, F.lit("<![foo[")).otherwise(F.lit("Doanh thu"))
+    made = F.concat(F.lit("===== PAGE "), (F.col("page_id") + F.col("part")).cast("string"), F.lit(" =====\n"), F.col("html"), F.lit("\n\nBáo cáo lưu chuyển tiền tệ\n Trang \n<TABLE>\n<tr><td rowspan=2>A<td>B\n<tr><td>"), cell, F.lit("</table> <table></table>\n<table><tr><td>open"))
+    doc_id = F.when(F.col("page_id") % 3 != 0, F.col("page_id").cast("string"))
+    return copies.select(doc_id.alias("doc_id"), F.lit("T").alias("ticker"), (F.lit(2000) + F.col("part")).alias("year"), F.lit("other").alias("stmt_type"), F.when(F.col("page_id") % 11 != 0, made).alias("text"), (F.col("page_id") % 2).alias("batch"))
+
+
+@query(f"""WITH {_PAGES_SQL} SELECT CASE WHEN NOT nameless THEN page_id::VARCHAR END AS doc_id, (2000 + part)::INTEGER AS year, k::INTEGER AS table_idx, (breaks + 6 + (k - 1) * 2)::INTEGER AS line_no, (page_id + part)::INTEGER AS page_no, 'LCTT' AS section,
+CASE WHEN k = 1 THEN 2 ELSE 0 END::INTEGER AS n_rows, (length('===== PAGE  =====') + length((page_id + part)::VARCHAR) + 1 + n + length('  Báo cáo lưu chuyển tiền tệ  Trang  ') + CASE WHEN k = 1 THEN 0 ELSE length('<TABLE> <tr><td rowspan=2>A<td>B <tr><td></table> ') + CASE WHEN broken THEN 7 ELSE 9 END END)::INTEGER AS char_start
+FROM c, (VALUES (1), (2)) AS v(k) WHERE NOT textless""")
+def one_pass_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with repeated and missing ids: every row gives its tables."""
+    return reports.tables(_page_docs(spark, sf_dir)).select("doc_id", "year", "table_idx", "line_no", "page_no", "section", "n_rows", "char_start")
+
+
+@query(f"""WITH {_PAGES_SQL}, r AS (SELECT *, CASE WHEN NOT nameless THEN page_id::VARCHAR END AS doc_id FROM c)
+SELECT 'table' AS kind, doc_id, k::INTEGER AS table_idx, NULL::VARCHAR AS stage FROM r, (VALUES (1), (2)) AS v(k) WHERE NOT textless
+UNION ALL SELECT 'fault', doc_id, CASE WHEN textless THEN NULL ELSE 1 END::INTEGER, CASE WHEN textless THEN 'text' ELSE 'html' END FROM r WHERE textless OR broken""")
+def batched_write_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches written with their dead letters, the first one twice; what a broken document costs is itself only."""
+    path, docs = shared_path(spark, "batches"), _page_docs(spark, sf_dir)
+    for batch in (0, 1, 0):
+        reports.write_batch(docs.where(F.col("batch") == batch), path, batch)
+    good, bad = reports.read_batches(spark, path)
+    good = good.select(F.lit("table").alias("kind"), "doc_id", "table_idx", F.lit(None).cast("string").alias("stage"))
+    return good.unionByName(bad.select(F.lit("fault").alias("kind"), "doc_id", "table_idx", "stage"))
+
+
 _GRIDS = [
     ("<table><tr><td>a<td>b<tr><td>c</table>", '[["a","b"],["c",""]]'),
     ("<table><tr><td rowspan=2 colspan=2>x</td><td>y</td></tr><tr><td>z</td></tr></table>", '[["x","x","y"],["x","x","z"]]'),
@@ -229,7 +264,7 @@ def asof_section_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, array_to_string((list(CASE WHEN event_type <> 'view' THEN CAST(event_id AS VARCHAR) END) FILTER (WHERE event_type <> 'view') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING))[-3:], '|') AS caption FROM events")
 def caption_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-reports.CAPTION_WINDOW, -1)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-scan.CAPTION_WINDOW, -1)
     near = F.collect_list(F.when(F.col("event_type") != "view", F.col("event_id").cast("string"))).over(w)
     e = table(spark, sf_dir, "events").select("event_id", near.alias("near"))
     return e.select("event_id", F.when(F.size("near") > 0, F.array_join(F.slice("near", F.greatest(F.size("near") - 2, F.lit(1)), 3), "|")).alias("caption"))
@@ -694,7 +729,10 @@ def patch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("id")).agg(F.max("o_totalprice").alias("answer")).withColumn("evidence", F.array(F.lit("a"), F.lit("b")))
     new = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_extendedprice").alias("new_answer"), F.count("*").alias("c"))
     new = new.withColumn("seen", F.when(F.col("c") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))).join(base.select("id", F.col("answer").alias("rule_answer")), "id", "left")
-    return patch.merge(base, new).select("id", F.round("answer", 2).alias("answer"), "status", "conflict")
+    # each id's line item of least number is an earlier line of the log, which the sums take back
+    early = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.max("l_extendedprice") * 1000).alias("new_answer")).select("id", "new_answer", F.lit(None).cast("array<string>").alias("seen"), F.lit(None).cast("double").alias("rule_answer"), F.lit(1).alias("line"))
+    log = early.unionByName(new.drop("c").withColumn("line", F.lit(2)))
+    return patch.merge(base, log, [F.desc("line")]).select("id", F.round("answer", 2).alias("answer"), "status", "conflict")
 
 
 golden(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import suppress
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -58,10 +57,17 @@ def html_to_grid(html: str | None) -> list[list[str]]:
 
     What the parser can't read ends the table; the cells before it are kept.
     """
-    events = _TableEvents()
-    with suppress(AssertionError, ValueError, IndexError):
+    return read_grid(html)[0]
+
+
+def read_grid(html: str | None) -> tuple[list[list[str]], str | None]:
+    """The grid, and why the parser gave up, if it did."""
+    events, fault = _TableEvents(), None
+    try:
         events.feed(html or "")
         events.close()
+    except (AssertionError, ValueError, IndexError) as e:
+        fault = f"{type(e).__name__}: {e}"
     lines: list[dict[int, str]] = []
     for at, row in enumerate(filter(None, events.rows)):
         column = 0
@@ -74,7 +80,7 @@ def html_to_grid(html: str | None) -> list[list[str]]:
                 line.update(dict.fromkeys(range(column, column + across), text))
             column += across
     width = max((c for line in lines for c in line), default=-1) + 1
-    return [[line.get(c, "") for c in range(width)] for line in lines]
+    return [[line.get(c, "") for c in range(width)] for line in lines], fault
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))

@@ -6,18 +6,16 @@ import csv
 import io
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.functions.periods import classify_period, detect_unit, section_of_line
+from tablemill.functions.periods import classify_period, detect_unit
 from tablemill.functions.text import strip
 from tablemill.operators import grids
-from tablemill.sources import html
+from tablemill.sources import html, scan
 
 PAGE = r"^=====\s*PAGE\s+(\d+)\s*=====\s*$"
-#: Lines above a table that its caption may come from, lines that it takes, and the longest line that counts.
-CAPTION_WINDOW, CAPTION_LINES, LINE_CHARS, CAPTION_CHARS = 11, 3, 300, 500
 
 TABLES = (
     "doc_id string, ticker string, year int, stmt_type string, table_idx int, char_start int, char_end int, line_no int, page_no int, caption string, section string, "
@@ -45,64 +43,35 @@ def document_meta(path: Column) -> dict[str, Column]:
 
 def documents(files: DataFrame) -> DataFrame:
     """Document rows of (path, text), with their counts of characters, pages and tables."""
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= LINE_CHARS) & strip(x).rlike(PAGE))
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= scan.LINE_CHARS) & strip(x).rlike(PAGE))
     own = files.select(*(c.alias(k) for k, c in document_meta(F.col("path")).items()), "text")
     return own.withColumns({"n_chars": F.length("text"), "n_pages": F.size(lines), "n_tables": F.size(html.tables_in(F.col("text")))})
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line, numbered from 1."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
-
-
-def markers(all_lines: DataFrame) -> DataFrame:
-    """Lines with what they say: the page that they start, or the section; long and blank lines say nothing."""
-    s = strip(F.col("line"))
-    page = F.when(s.rlike(PAGE), F.regexp_extract(s, PAGE, 1).try_cast("int"))
-    short = (F.length("line") <= LINE_CHARS) & (s != "")
-    return all_lines.withColumns({"page": F.when(short, page), "section": F.when(short & page.isNull(), section_of_line(s)), "caption_line": F.when(short & page.isNull() & (F.length(s) <= LINE_CHARS), s)})
-
-
-def line_context(all_lines: DataFrame) -> DataFrame:
-    """Per line the last page and section up to it, and the caption of a table that starts in it.
+def tables(docs: DataFrame) -> DataFrame:
+    """Table rows of (doc_id, ticker, year, stmt_type, text): position, caption, section, grid, unit and periods.
 
-    One window pass in a document's line order: the last value so far, and the eleven lines before.
+    One pass over each text and no shuffle: every row of docs gives its tables, rows with one doc_id or none too.
     """
-    so_far = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-CAPTION_WINDOW, -1)
-    near = F.collect_list("caption_line").over(above)
-    caption = F.array_join(F.slice(near, F.greatest(F.size(near) - CAPTION_LINES + 1, F.lit(1)), CAPTION_LINES), " | ")
-    return markers(all_lines).select("doc_id", "line_no", F.last("page", True).over(so_far).alias("page_no"), F.last("section", True).over(so_far).alias("section"), F.left(caption, F.lit(CAPTION_CHARS)).alias("caption"))
-
+    return _select(describe_tables(scan.scan(docs).where("table_idx is not null")))
 
-def table_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, table_idx, char_start, char_end, raw_html, line_no) of every table; offsets from 0, lines and tables from 1."""
-    newlines = lambda a, b: F.size(F.split(F.substring(F.col("text"), a + 1, b - a), "\n")) - 1
 
-    def step(found: Column, t: Column) -> Column:
-        last = F.element_at(found, -1)
-        at = _locate(F.col("text"), t, last["char_end"])
-        line = last["line_no"] + newlines(last["char_start"], at)
-        return F.concat(found, F.array(F.struct(t.alias("raw_html"), at.alias("char_start"), (at + F.length(t)).alias("char_end"), line.alias("line_no"))))
+#: What a dead letter says; a table whose HTML was read in part is among the tables too.
+FAULTS = ["doc_id", "table_idx", "stage", "fault"]
 
-    first = F.array(F.struct(F.lit("").alias("raw_html"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"), F.lit(1).alias("line_no")))
-    found = F.aggregate(html.tables_in(F.col("text")), first, step)
-    rows = docs.where(F.col("text").rlike(r"(?i)<table\b")).select("doc_id", F.posexplode(found).alias("table_idx", "t")).where("table_idx > 0")
-    return rows.select("doc_id", "table_idx", "t.*")
 
+def write_batch(docs: DataFrame, path: str, batch: int) -> None:
+    """Tables and dead letters of a batch of documents, from one pass and with one commit: both lie in the batch's folder, told apart by a column.
 
-def _locate(text: Column, part: Column, start: Column) -> Column:
-    """Index from 0 of the part's first occurrence at or after `start`."""
-    return F.call_function("locate", part, text, start + 1) - 1
+    A batch that is written again replaces itself.
+    """
+    scan.scan(docs).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch}")
 
 
-def tables(docs: DataFrame) -> DataFrame:
-    """Table rows of (doc_id, ticker, year, stmt_type, text): position, caption, section, grid, unit and periods. Of rows with one doc_id one counts."""
-    docs = docs.dropDuplicates(["doc_id"])
-    placed = table_positions(docs).join(line_context(lines(docs)), ["doc_id", "line_no"])
-    rows = placed.join(docs.select("doc_id", "ticker", "year", "stmt_type"), "doc_id").withColumn("section", F.coalesce("section", F.lit("OTHER")))
-    rows = rows.withColumn("grid", html.grid(F.col("raw_html")))
-    return _select(describe_tables(rows))
+def read_batches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The tables, described, and the dead letters (doc_id, table_idx, stage, fault) of all batches."""
+    rows = spark.read.schema(f"{scan.SCANNED}, batch int").option("basePath", path).parquet(f"{path}/batch=*")
+    return _select(describe_tables(rows.where("table_idx is not null"))), rows.where("fault is not null").select(*FAULTS)
 
 
 def describe_tables(rows: DataFrame) -> DataFrame:

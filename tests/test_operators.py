@@ -13,7 +13,7 @@ from tablemill.functions import numbers, text, vectors
 from tablemill.operators import bm25, documents, emit, facts, locate, lookup, patch, prompts, quality, questions, retrieve, solve, verify
 from tablemill.operators import vectors as search
 from tablemill.plans import ir
-from tablemill.sources import html, reports, statements
+from tablemill.sources import html, reports, scan, statements
 from tablemill.streaming import ingest
 
 
@@ -58,6 +58,44 @@ def test_html_never_fails(raw):
     assert all(isinstance(r, list) for r in html.html_to_grid(raw))
 
 
+def test_scan_of_lines():
+    long = "x" * 301
+    text = "\n".join(["===== PAGE 7 =====", "Mẫu B02/TCTD", "  caption one ", long, " " * 150 + "far" + " " * 150, "", *[f"line {i}" for i in range(12)], "a<table>1", "</table>b<TABLE>2</TABLE>", "===== PAGE 99999999999 =====", "Thuyết minh", "<table>3</table>", "<table>"])
+    found = list(scan.find_tables(text))
+    assert [(t.table_idx, t.line_no, t.page_no, t.section) for t in found] == [(1, 19, 7, "CDKT"), (2, 20, 7, "CDKT"), (3, 23, None, "TM")]
+    assert all(text[t.char_start : t.char_end].lower().startswith("<table>") and text[t.char_start : t.char_end].lower().endswith("</table>") for t in found)
+    assert found[0].caption == "line 9 | line 10 | line 11" and found[2].caption.endswith("</table>b<TABLE>2</TABLE> | Thuyết minh")
+    (first,) = scan.find_tables("caption one\n" + long + "\n" + " " * 150 + "far" + " " * 150 + "\n<table></table>")
+    assert first.caption == "caption one | far" and first.section == "OTHER" and first.page_no is None
+    assert list(scan.find_tables("")) == list(scan.find_tables("<table>" * 50_000)) == []
+
+
+def test_scan_is_linear():
+    import time
+
+    def took(n):
+        text = "caption\n<table><tr><td>1</table>\n" * n
+        began = time.perf_counter()
+        assert sum(1 for _ in scan.find_tables(text)) == n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(20_000) < 60 * max(took(1000), 1e-3)
+
+
+def test_scan_of_rows(spark):
+    """Rows with one id, with none and without text; no exchange in the plan."""
+    two = "<table><tr><td>a</table>\n<table><tr><td>b<![x[</table>"
+    docs = spark.createDataFrame([("d", "T", 2020, "x", two), ("d", "T", 2020, "x", "<table>c</table>"), (None, "T", None, None, two), (None, None, None, None, two), ("e", "T", 2020, "x", None), ("f", "T", 2020, "x", "")], "doc_id string, ticker string, year int, stmt_type string, text string")
+    t = reports.tables(docs)
+    assert sorted((r["doc_id"] or "", r["table_idx"]) for r in t.collect()) == [("", 1), ("", 1), ("", 2), ("", 2), ("d", 1), ("d", 1), ("d", 2)]
+    assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
+    assert t.where("table_idx = 2").select("grid").distinct().first()[0] == [["b"]]
+    faults = scan.scan(docs).where("fault is not null")
+    assert sorted((r["doc_id"] or "", r["stage"]) for r in faults.collect()) == [("", "html"), ("", "html"), ("d", "html"), ("e", "text")]
+    assert reports.tables(docs.limit(0)).count() == 0
+
+
 def test_read_corpus_and_stream(spark, sf, tmp_path):
     for path, content in statements.render(spark, sf).limit(5).collect():
         f = tmp_path / "in" / path
@@ -69,7 +107,7 @@ def test_read_corpus_and_stream(spark, sf, tmp_path):
     ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/docs")).count() == 5
     assert spark.read.parquet(str(tmp_path / "out/tables")).count() == reports.tables(docs).count() == 10
-    assert reports.tables(docs.unionAll(docs)).count() == 10
+    assert reports.tables(docs.unionAll(docs)).count() == 20  # every row counts, rows with one id too
     again = next((tmp_path / "in").rglob("*_extracted.txt"))
     again.with_name("again_extracted.txt").write_bytes(again.read_bytes())
     ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
@@ -246,8 +284,14 @@ def test_prompts(spark):
 def test_patches(spark, tmp_path):
     base = spark.createDataFrame([(1, 10.0, ["a", "b"]), (2, 5.0, ["a"]), (3, 1.0, ["a"])], "id int, answer double, evidence array<string>")
     new = spark.createDataFrame([(1, 11.0, ["a"], 10.0), (2, float("nan"), None, None)], "id int, new_answer double, seen array<string>, rule_answer double")
-    got = {r["id"]: (r["answer"], r["status"], r["conflict"]) for r in patch.merge(base, new).collect()}
-    assert got == {1: (11.0, "applied", True), 2: (5.0, "rejected", False), 3: (1.0, "none", False)}
+    lines = lambda df: df.withColumn("line", F.lit(1))
+    state = lambda log: {r["id"]: (r["answer"], r["status"], r["conflict"]) for r in patch.merge(base, log, [F.desc("line")]).collect()}
+    assert state(lines(new)) == {1: (11.0, "applied", True), 2: (5.0, "rejected", False), 3: (1.0, "none", False)}
+    # the last line of an id counts, whatever the lines before it say
+    log = spark.createDataFrame([(1, 50.0, None, None, 1), (1, 11.0, None, None, 2), (2, float("nan"), None, None, 1), (2, 11.0, None, None, 2), (3, 99.0, ["z"], None, 1), (3, 11.0, ["a"], None, 2), (9, 1.0, None, None, 1)], "id int, new_answer double, seen array<string>, rule_answer double, line int")
+    assert state(log) == {i: (11.0, "applied", False) for i in (1, 2, 3)}
+    back = spark.createDataFrame([(1, 11.0, None, None, 1), (1, float("inf"), None, None, 2)], log.schema)
+    assert state(back)[1] == (10.0, "rejected", False)
     assert [r["id"] for r in patch.pending(base, new).collect()] == [3]
     for k in range(2):
         patch.append(spark.createDataFrame([(1, k)], "id int, seq int"), str(tmp_path / "log"))
