@@ -74,7 +74,7 @@ class SentencePieceBpe:
         self.entries = read_ranks(ranks_path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.entries))
         self.table = {b: c for b, c in byte_chars().items()}
-        self.memo = MemoEncoder(pattern, self._encode_many)
+        self.memo = MemoEncoder(pattern, "tiktoken", self._encode_many)
 
     def _encode_many(self, pretokens: list[str]) -> Iterator[bytes]:
         mapped = [p.encode().decode("latin-1").translate(self.table) for p in pretokens]

@@ -159,7 +159,7 @@ def encoder(tokenizer_path: str, pattern: str) -> MemoEncoder:
             for a, b in zip(cuts, cuts[1:]):
                 yield raw[a:b]
 
-    return MemoEncoder(pattern, encode_many, encode_words)
+    return MemoEncoder(pattern, "tokenizers", encode_many, encode_words)
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int, capacity: int) -> DataFrame:

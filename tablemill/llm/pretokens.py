@@ -1,8 +1,14 @@
-"""Byte-level BPE of whole texts through memos: each distinct pre-token is encoded once by the tokenizer library."""
+"""Byte-level BPE of whole texts through memos: each distinct pre-token is encoded once by the tokenizer library.
+
+Texts are cut where the library cuts them: its letters, numbers and white space are asked of it once, and characters that it takes for
+something else than this package's pattern engine does (their Unicode versions differ) are cut as a stand-in of the library's class.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
+from functools import cache
 from itertools import chain
 
 import regex
@@ -13,6 +19,42 @@ PART_ENTRIES, PIECE_ENTRIES, MEMO_CHARS = 200_000, 50_000, 48
 MARKS = ".,;:?!"
 
 
+#: Classes of a pattern, and a character of each that every Unicode version has there and no pattern names; the last one is of none.
+CLASSES, STAND_INS, OTHER = (r"\p{L}", r"\p{N}", r"\s"), ("\u0416", "\u0663", "\u2003"), "\u00a7"
+
+
+def _all_characters() -> str:
+    return "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+@cache
+def library_classes(library: str) -> tuple[frozenset[str], ...]:
+    """The characters of each of CLASSES, as the pattern engine inside `tiktoken` or `tokenizers` has them."""
+    every = _all_characters()
+    if library == "tiktoken":
+        import tiktoken
+
+        single = {bytes([i]): i for i in range(256)}
+        own = lambda k: bytes(tiktoken.Encoding(k, pat_str=k, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
+    else:
+        from tokenizers import Regex, normalizers
+
+        own = lambda k: normalizers.Replace(Regex(f"[^{k}]+"), "").normalize_str(every)
+    return tuple(frozenset(own(k)) for k in CLASSES)
+
+
+@cache
+def stand_ins(library: str) -> dict[int, str]:
+    """For each character that the library classes otherwise than this module's engine or str methods: one of the library's class."""
+    every, theirs = _all_characters(), library_classes(library)
+    doubtful: set[str] = set()
+    for own, k in zip(theirs, CLASSES):
+        doubtful.update(own.symmetric_difference(regex.findall(k, every)))
+    doubtful.update(c for c in every if c.isalpha() and c not in theirs[0])
+    doubtful.update(c for c in theirs[2] if not c.isspace())
+    return {ord(c): next((x for own, x in zip(theirs, STAND_INS) if c in own), OTHER) for c in doubtful}
+
+
 class Memo(dict):
     """A dictionary that forgets: of two generations the elder goes when the younger is full; what is looked up is young."""
 
@@ -39,18 +81,38 @@ class MemoEncoder:
 
     A pre-token starts at every space that a word or mark follows, so a text can be cut before such spaces and each part looked up, as what
     stands after the space. A part that is empty or starts with white space means a space inside a run; its text takes the pattern itself.
-    encode_many: from pre-tokens to the ids of each, as bytes; encode_words: the same for pre-tokens that are a space and letters.
+    encode_many: from pre-tokens to the ids of each, as bytes; encode_words: the same for pre-tokens that are a space and letters. library: whose cuts
+    are wanted, `tiktoken` or `tokenizers`.
     """
 
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], Iterable[bytes]] | None = None):
-        self.find = regex.compile(pattern).findall
+    def __init__(self, pattern: str, library: str, encode_many: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], Iterable[bytes]] | None = None):
+        compiled = regex.compile(pattern)
+        self.find, self.iterate = compiled.findall, compiled.finditer
+        self.stand_ins = stand_ins(library)
+        self.doubt = re.compile("[" + "".join(map(re.escape, map(chr, sorted(self.stand_ins)))) + "]").search if self.stand_ins else lambda t: None
         self.encode_many, self.encode_words = encode_many, encode_words or encode_many
         self.parts, self.pieces = Memo(PART_ENTRIES), Memo(PIECE_ENTRIES)  # from text to ids; None for parts that are no pre-tokens of their own
 
+    def doubtful(self, text: str) -> bool:
+        """Whether a text has a character that needs a stand-in; Latin-1 has none."""
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.doubt(text) is not None
+        return False
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of any text."""
+        if not self.doubtful(text):
+            return self.find(text)
+        return [text[m.start() : m.end()] for m in self.iterate(text.translate(self.stand_ins))]
+
     def _pieces(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
-        split = [self.find(t) for t in texts]
+        split = [self.cut(t) for t in texts]
         seen = self.pieces
         new = seen.unknown(set(chain.from_iterable(split)))
         seen.update(zip(new, self.encode_many(new) if new else ()))
@@ -63,8 +125,9 @@ class MemoEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         heads, split = [], []
-        for t in texts:
-            s = t.split(" ")
+        apart = {i for i, t in enumerate(texts) if self.doubtful(t)}  # cut as a whole
+        for i, t in enumerate(texts):
+            s = t.split(" ") if i not in apart else [""]
             heads.append(s[0])
             del s[0]
             split.append(s)
@@ -91,6 +154,7 @@ class MemoEncoder:
             except TypeError:  # None: a space inside a run
                 out.append(b"")
                 whole.append(i)
+        whole += apart
         for i, ids in zip(whole, self._pieces([texts[i] for i in whole])):
             out[i] = ids
         for p in {*new, *words}:
