@@ -1,13 +1,14 @@
 """Secret scans: patterns of known shapes, and a token-efficiency test for random strings.
 
-A string that a text vocabulary must cut into very short tokens is unlikely to be language. Runs of token characters
-are measured in characters per token; known digests and identifiers are left out first.
+A string that a text vocabulary must cut into very short tokens is unlikely to be language. What stands between white space, less the marks
+at its ends, is measured in characters per token, plain words by the ranks of their tokens too; known digests and identifiers are left out first.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,16 +24,24 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 #: Greedy runs of at least the wanted length are the greedy runs of any length less the short ones.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
-#: Least lengths of the runs that are measured: with both letters and digits, and others. From there on the ratio tells random strings from the tables'
-#: words (sf0.1: 6 of 1,598 runs of 16 letters or more are under 2.0, but 522 of 38,946 of 12 to 15; no run there has both letters and digits).
-LEAST_MIXED, LEAST = 8, 16
-_MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
+#: What stands between white space, in ASCII; marks at its ends aren't measured.
+_RUN = re.compile(r"[!-~]{8,}")
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: Least lengths of the runs that are measured: with both letters and digits, and others.
+LEAST_MIXED, LEAST = 8, 12
+#: From LEAST characters on a run that no language writes (letters with digits, or capitals inside) may have so many times the bound.
+ODD_SHARE = 1.1
+#: Plain words of LEAST characters or more need this much more: bits per character by the ranks of their tokens (log2 of the rank, a vocabulary's guess at
+#: how rare a token is). Invented words of frequent syllables have as few characters per token as random letters have, but frequent tokens.
+WORD_BITS = 5.05
 #: Digests by their hex length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})$")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")
-#: Identifiers: words and numbers joined by separators, such as table_12_of_34 or 2021-04-03-release.
-_IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/=+]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))+[-_/=+]*$")
+#: Identifiers: words and numbers joined by marks, such as table_12_of_34, 2021-04-03-release, a host, a path or a mail address.
+_PART = r"(?:[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+[a-z]?)"
+_IDENTIFIER = re.compile(rf"{_PART}(?:[^A-Za-z0-9]+{_PART})+$")
+_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+_PLAIN, _CAPITALS = re.compile(r"[A-Z]?[a-z]+$"), re.compile(r"[A-Z]+$")
 
 Span = tuple[str, int, int]
 
@@ -48,8 +57,8 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def random_spans(text: str, count_tokens, chars_per_token: float, taken: list[Span]) -> list[Span]:
-    """Spans by the token-efficiency test of the parts of runs that none of `taken` covers."""
+def random_spans(text: str, unlikely, taken: list[Span]) -> list[Span]:
+    """Spans of the parts of runs that none of `taken` covers and that are `unlikely`, without the marks at their ends."""
     out: list[Span] = []
     spans = sorted((a, b) for _, a, b in taken)
     k, covered = 0, 0
@@ -61,11 +70,11 @@ def random_spans(text: str, count_tokens, chars_per_token: float, taken: list[Sp
             k += 1
         parts.append((max(m.start(), covered), m.end()))
         for a, b in parts:
-            part = text[a:b] if a < b else ""
-            run = part.strip("=-_/+")
-            if len(run) < LEAST_MIXED or len(run) < LEAST and not _MIXED.match(run) or _DIGEST.match(run) or _UUID.match(run) or _IDENTIFIER.match(run):
-                continue
-            if len(run) < chars_per_token * count_tokens(run):
+            part = text[a:b] if b - a >= LEAST_MIXED else ""
+            run = part.strip(_MARKS)
+            if len(run) < LEAST_MIXED or run.isalpha() and (len(run) < LEAST or text[a - 1 : a].isalpha() or text[b : b + 1].isalpha()):
+                continue  # letters beside other scripts' are part of a word
+            if unlikely(run):
                 at = a + part.index(run)
                 out.append(("random", at, at + len(run)))
     return out
@@ -80,13 +89,24 @@ class Scanner:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.limit = chars_per_token
 
-    def count(self, run: str) -> int:
-        return len(self.encoding.encode_ordinary(run))
+    def unlikely(self, run: str) -> bool:
+        """Whether a run of LEAST_MIXED ASCII characters or more is cut into tokens too short for language; digests, identifiers and numbers aren't."""
+        letters = run.isalpha()
+        if not letters and (not _LETTER.search(run) or _DIGEST.match(run) or _UUID.match(run) or _IDENTIFIER.match(run)):
+            return False
+        if len(run) < LEAST and not _DIGIT.search(run):
+            return False
+        ids = self.encoding.encode_ordinary(run)
+        if letters and _CAPITALS.match(run):
+            return len(run) < self.limit * len(ids)
+        if letters and _PLAIN.match(run):
+            return len(run) <= self.limit * ODD_SHARE * len(ids) and sum(math.log2(i + 1) for i in ids) >= WORD_BITS * len(run)
+        return len(run) < self.limit * (ODD_SHARE if len(run) >= LEAST else 1) * len(ids)
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans; both by start, then by kind."""
         base = base_spans(text)
-        every = base + random_spans(text, self.count, self.limit, base)
+        every = base + random_spans(text, self.unlikely, base)
         order = lambda s: (s[1], KINDS.index(s[0]))
         return sorted(base, key=order), sorted(every, key=order)
 
@@ -124,7 +144,10 @@ def scan(df: DataFrame, ranks_path: str, pattern: str, chars_per_token: float =
 
 
 def redact_secrets(df: DataFrame, ranks_path: str, pattern: str, chars_per_token: float = 2.0, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every found span replaced by the mark; n_chars, where present, follows. Null texts stay null."""
+    """The documents with every found span replaced by the mark; n_chars, where present, follows. Null texts stay null.
+
+    Texts are scanned whole, one after another, however long; equal rows give equal rows; other columns stay, whatever their names; an empty table gives none.
+    """
 
     def run(texts):
         scanner = Scanner(ranks_path, pattern, chars_per_token)
