@@ -196,10 +196,11 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
-def features(media: DataFrame) -> DataFrame:
+def features(media: DataFrame, strict: bool = False) -> DataFrame:
     """Per member of the source: digests of the stored form and of the payload read back, and a feature of the samples.
 
-    The feature is the samples' mean, standard deviation and mean step, rounded. A member that could not be read gives nulls and its error.
+    The feature is the samples' mean, standard deviation and mean step, rounded. A member that could not be read gives nulls and its error;
+    strict: it fails the task, so that Spark tries it again elsewhere and no result is less than whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +217,8 @@ def features(media: DataFrame) -> DataFrame:
                     mean, var, step = x.mean(), x.var(), np.abs(np.diff(x)).mean()
                     out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), f"mean={mean:.4f};std={var**0.5:.4f};step={step:.4f}", None))
                 except (ValueError, zlib.error) as e:
+                    if strict:
+                        raise RuntimeError(f"member of document {doc_id} could not be read: {e}") from e
                     out.append((doc_id, n, None, None, None, None, None, None, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
@@ -226,9 +229,10 @@ def media_columns(df: DataFrame) -> DataFrame:
     """Store the texts of (doc_id, text) as media in the shared folder, read them back through the source and compute features.
 
     Null text counts as empty (a payload of 64 zero bytes); repeated rows are members of their own; an empty table gives none.
+    Long texts are long members, each stored and read whole. A member that cannot be read after all tries fails the query.
     """
     spark = df.sparkSession
     folder = scratch_path(spark, "media")
     names = [r[0] for r in write_archives(df, folder).collect()]  # a name a task
     spark.dataSource.register(ArchiveSource)
-    return features(spark.read.format("media_archive").option("archives", ",".join(names)).load(folder))
+    return features(spark.read.format("media_archive").option("archives", ",".join(names)).load(folder), strict=True)
