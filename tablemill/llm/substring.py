@@ -23,6 +23,8 @@ from .common import U64, WordHashes, column, fresh_name, hash_words, materialise
 #: Multiplier of the rolling hash and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text that are cut into runs at once: a dozen arrays of its words' number are held besides.
+TEXT_BYTES = 1 << 20
 #: Words of a k-gram for a window of 35, in proportion for others.
 SEED_SHARE = 16 / 35
 
@@ -108,7 +110,7 @@ def repeats(df: DataFrame, window: int) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for part, texts in text_chunks(batch):
+            for part, texts in text_chunks(batch, limit=TEXT_BYTES):
                 doc, start, size, anchor, whole, _ = runs_of(*hash_words(texts, memo), window)
                 row = column(part, "_row").take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([row, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(whole))], ["_row", "start", "size", "anchor", "run"])
@@ -117,7 +119,7 @@ def repeats(df: DataFrame, window: int) -> DataFrame:
         """Equal runs of a chunk as one row with their number and the first of them."""
         memo = WordHashes()
         for batch in batches:
-            for part, texts in text_chunks(batch):
+            for part, texts in text_chunks(batch, limit=TEXT_BYTES):
                 doc, start, size, anchor, whole, _ = runs_of(*hash_words(texts, memo), window)
                 _, at, n = np.unique(whole, return_index=True, return_counts=True)
                 row = column(part, "_row").take(pa.array(doc[at]))
@@ -137,7 +139,7 @@ def repeats(df: DataFrame, window: int) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for part, texts in text_chunks(batch):
+            for part, texts in text_chunks(batch, limit=TEXT_BYTES):
                 words, counts = hash_words(texts, memo)
                 roll, starts = Rolling(words), starts_of(counts)
                 own = column(part, "runs").to_pylist()
@@ -173,7 +175,7 @@ def measure(df: DataFrame, window: int = 35) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_chunks(batch):
+            for part, texts in text_chunks(batch, limit=TEXT_BYTES):
                 out = [(n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for n, kept in _flagged(texts, column(part, "runs").to_pylist(), window)]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id").cast(pa.int64()), *(pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
