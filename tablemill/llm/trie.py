@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import CHAIN_INVERSE, U64, column, materialise, numbered
 
 #: Members above which a node is heavy (more, where TOP_NODES would not do), heavy nodes at most, nodes of shards that are built together, and bytes of a row of ids.
-MEMBERS, TOP_NODES, BUILD_NODES, ID_BYTES = 4096, 1 << 18, 50_000, 1 << 20
+MEMBERS, TOP_NODES, BUILD_NODES, ID_BYTES = 512, 1 << 18, 50_000, 1 << 20
 NAME = ["d", "p1", "p2"]
 
 
