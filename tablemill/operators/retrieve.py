@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablemill.functions.numbers import adaptive_k
 from tablemill.functions.text import fold, phrase_score, section_hints, tokens_of_folded
 
-from . import bm25
+from . import blockmax, bm25
 
 #: Weights of the signals beside BM25, and the constant of rank fusion.
 WEIGHTS = {"period": 2.5, "phrase": 3.0, "cover": 2.0, "section": 1.0, "data": 0.5}
@@ -28,20 +28,32 @@ def top_k(df: DataFrame, k: int | Column, order: list[Column], *keys: str) -> Da
     return df.withColumn("_n", n).where(F.col("_n") <= k).drop("_n")
 
 
-def candidates(ir: DataFrame, meta: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, id) of the tables of each question's documents (qid, doc_id); all tables for questions without documents."""
-    some = docs.select("qid", "doc_id").distinct()
-    named = some.join(meta.select("doc_id", "id"), "doc_id").select("qid", "id")
-    none = ir.select("qid").join(some, "qid", "left_anti")
-    # a stated set of questions against all tables; those without a document are few
-    return named.unionByName(none.join(meta.select("id"), how="cross"))
+def prefilter(scored: DataFrame, above: int = PREFILTER_ABOVE, to: int = PREFILTER_TO) -> DataFrame:
+    """Of questions with many candidates only the best by BM25 (to nine digits, then by id) go on to the costly signals."""
+    many = scored.groupBy("qid").agg(F.count("*").alias("_all")).where(F.col("_all") > above).select("qid")
+    best = top_k(scored.join(many, "qid", "left_semi"), to, [F.desc(F.round("bm25", 9)), F.col("id")], "qid")
+    return scored.join(many, "qid", "left_anti").unionByName(best)
 
 
-def prefilter(scored: DataFrame, above: int = PREFILTER_ABOVE, to: int = PREFILTER_TO) -> DataFrame:
-    """Of questions with many candidates only the best by BM25 go on to the costly signals."""
-    n = F.count("*").over(Window.partitionBy("qid"))
-    scored = scored.withColumn("_all", n)
-    return top_k(scored, F.when(F.col("_all") > above, to).otherwise(above), [F.desc("bm25"), F.col("id")], "qid").drop("_all")
+def base_scores(ir: DataFrame, meta: DataFrame, index: bm25.Index, docs: DataFrame, blocks: blockmax.BlockIndex | None = None, above: int = PREFILTER_ABOVE, to: int = PREFILTER_TO) -> DataFrame:
+    """(qid, id, bm25) of each question's candidates: the tables of its documents (qid, doc_id), all tables for questions without one; pre-filtered.
+
+    No question meets all tables. Without documents and with more than `above` tables, the `to` best are found by bounds of blocks (blockmax.search); where
+    fewer have a term, the tables of least id fill up, of which `to` do. With fewer tables, each question gets them from a list of `above` ids at most.
+    """
+    queries = ir.select("qid", F.col("retrieval_query").alias("query"))
+    some = docs.select("qid", "doc_id").distinct()
+    named = some.join(meta.select("doc_id", "id"), "doc_id").select("qid", "id")
+    named = named.join(bm25.score(index, queries, named), ["qid", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    free = queries.join(some, "qid", "left_anti")
+    ids = [r[0] for r in meta.select("id").orderBy("id").limit(above + 1).collect()]
+    all_of_them = len(ids) <= above
+    filler = F.array(*map(F.lit, ids if all_of_them else ids[:to])) if ids else F.array().cast("array<long>")
+    found = bm25.score(index, free) if all_of_them else blockmax.search(blocks or blockmax.build(index), free, to)[0]
+    listed = free.select("qid", F.explode(filler).alias("id"))
+    both = listed.join(found, ["qid", "id"], "full").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    both = both if all_of_them else top_k(both, to, [F.desc(F.round("bm25", 9)), F.col("id")], "qid")
+    return prefilter(named, above, to).unionByName(both)
 
 
 def normalised(scored: DataFrame) -> DataFrame:
@@ -63,9 +75,15 @@ def signals(ir: DataFrame, meta: DataFrame, index: bm25.Index, pairs: DataFrame)
     meta: (id, doc_id, passage, section, n_numeric_cells, period_years array<int>). Pairs without a term score 0 in BM25.
     """
     queries = ir.select("qid", F.col("retrieval_query").alias("query"))
-    weights = bm25.query_terms(queries).join(index.terms.select("term", "idf"), "term", "left").groupBy("qid").agg(F.collect_list(F.struct("term", F.coalesce("idf", F.lit(0.0)).alias("idf"))).alias("weights"))
     base = pairs.join(bm25.score(index, queries, pairs), ["qid", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    base = normalised(prefilter(base))
+    return signals_of(ir, meta, index, prefilter(base))
+
+
+def signals_of(ir: DataFrame, meta: DataFrame, index: bm25.Index, base: DataFrame) -> DataFrame:
+    """The same for candidates whose BM25 is known: base (qid, id, bm25)."""
+    weights = bm25.query_terms(ir.select("qid", F.col("retrieval_query").alias("query"))).join(index.terms.select("term", "idf"), "term", "left")
+    weights = weights.groupBy("qid").agg(F.collect_list(F.struct("term", F.coalesce("idf", F.lit(0.0)).alias("idf"))).alias("weights"))
+    base = normalised(base)
     q = ir.select("qid", "years", fold(F.col("retrieval_query")).alias("fq")).join(weights, "qid", "left")
     q = q.withColumns({"weights": F.coalesce("weights", F.array().cast("array<struct<term:string,idf:double>>")), "hints": section_hints(F.col("fq")), "qt": tokens_of_folded(F.col("fq"))})
     m = meta.select("id", "doc_id", fold(F.col("passage")).alias("fp"), "section", "n_numeric_cells", "period_years")
@@ -138,10 +156,17 @@ def top_scores(reranked: DataFrame) -> DataFrame:
     return first.agg(F.countDistinct("qid").alias("questions"), F.percentile("rerank_score", 0.1).alias("p10"), F.percentile("rerank_score", 0.5).alias("median"))
 
 
-def retrieve(ir: DataFrame, meta: DataFrame, index: bm25.Index, docs: DataFrame, k_max: int = 12, reranked: DataFrame | None = None, ce_weight: float = 0.0) -> DataFrame:
-    """Ranked tables of each question, as many as its companies, years and operations call for, documents covered first."""
-    rows = signals(ir, meta, index, candidates(ir, meta, docs))
+def retrieve(
+    ir: DataFrame, meta: DataFrame, index: bm25.Index, docs: DataFrame, k_max: int = 12, reranked: DataFrame | None = None, ce_weight: float = 0.0,
+    blocks: blockmax.BlockIndex | None = None, above: int = PREFILTER_ABOVE, to: int = PREFILTER_TO, digits: int = 9,
+) -> DataFrame:
+    """Ranked tables of each question, as many as its companies, years and operations call for, documents covered first.
+
+    ir: (qid, retrieval_query, tickers, years, ops); meta as for signals(); docs: (qid, doc_id). A question whose documents have no table gets none.
+    Scores are compared to `digits` digits, ties by id.
+    """
+    rows = signals_of(ir, meta, index, base_scores(ir, meta, index, docs, blocks, above, to))
     rows = hybrid(rows, reranked, ce_weight) if reranked is not None else rows
     n = docs.groupBy("qid").agg(F.countDistinct("doc_id").alias("n_docs"))
     k = ir.join(n, "qid", "left").select("qid", adaptive_k(F.col("tickers"), F.col("years"), F.col("ops"), k_max, F.coalesce("n_docs", F.lit(0))).alias("k"))
-    return cover_documents(rows.join(k, "qid"), F.col("k"))
+    return cover_documents(rows.withColumn("score", F.round("score", digits)).join(k, "qid"), F.col("k"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions import numbers, periods, text, vectors
-from tablemill.operators import bm25, documents, emit, facts, grids, locate, lookup, patch, planner, probes, prompts, quality, questions, retrieve, solve, verify
+from tablemill.operators import blockmax, bm25, documents, emit, facts, grids, locate, lookup, patch, planner, probes, prompts, quality, questions, retrieve, solve, verify
 from tablemill.operators import vectors as vector_search
 from tablemill.plans import ir as plan_ir
 from tablemill.session import shared_path, store
@@ -428,6 +428,39 @@ def select_doc_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.cover_documents(_signals(spark, sf_dir), 5).select("qid", "id")
 
 
+#: Questions with an even id name a source, the others search all documents; pre-filtered to 200 where there are more than 300.
+_RETRIEVE_SQL = _BM25_SQL + f""", ir AS (SELECT item_id AS qid, text, item_id % 2 = 0 AS named, {TOKENS.format('text')} AS ts, 1 + item_id % 3 AS t, 1 + item_id % 4 // 2 AS y FROM benchmark),
+cand AS (SELECT ir.qid, d.doc_id AS id, round(coalesce(bm25, 0), 9) AS bm25, named FROM ir JOIN documents d ON NOT named OR d.source = 'src' || CAST(qid % 20 AS VARCHAR) LEFT JOIN scored ON scored.qid = ir.qid AND scored.id = d.doc_id),
+base AS (SELECT qid, id, bm25 FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS c, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) AS r FROM cand) WHERE c <= 300 OR r <= 200),
+pairs AS (SELECT qid, id, CASE WHEN max(bm25) OVER (PARTITION BY qid) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY qid) ELSE bm25 END AS bm25, {FOLD.format('d.text')} AS p, ts, d.n_chars, d.source, y FROM base JOIN documents d ON d.doc_id = id JOIN ir USING (qid)),
+c AS (SELECT qid, id, sum(CASE WHEN contains(p, term) THEN coalesce(idf, 0) ELSE 0 END) / CASE WHEN sum(coalesce(idf, 0)) = 0 THEN 1 ELSE sum(coalesce(idf, 0)) END AS cover FROM (SELECT qid, id, p, unnest(list_distinct(ts)) AS term FROM pairs) LEFT JOIN terms USING (term) GROUP BY qid, id),
+h AS (SELECT qid, id, p, ts, i, unnest(generate_series(3, 9)) AS l FROM (SELECT qid, id, p, ts, unnest(generate_series(1, len(ts))) AS i FROM pairs)),
+f AS (SELECT qid, id, least(max(CASE WHEN i + l - 1 <= len(ts) AND contains(p, array_to_string(ts[i : i + l - 1], ' ')) THEN l ELSE 0 END) / 6.0, 1.0) AS phrase FROM h GROUP BY qid, id),
+sig AS (SELECT qid, id, source, round(bm25 + 3.0 * phrase + 2.0 * cover + 2.5 * CAST(n_chars % 7 = qid % 7 OR (y = 2 AND n_chars % 7 = (qid + 1) % 7) AS INTEGER) + 0.5 * CAST(n_chars >= 4 AS INTEGER), 6) AS score FROM pairs JOIN c USING (qid, id) JOIN f USING (qid, id)),
+k AS (SELECT qid, greatest(2, least(12, round_even(2.5 * (CASE WHEN qid % 5 = 0 THEN 1.8 ELSE 1.2 END * CASE WHEN named THEN 1 ELSE t * y END), 0))) AS k FROM ir),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, id) = 1 AS first_ FROM sig)"""
+
+
+@query(_RETRIEVE_SQL + " SELECT qid, id, score FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY first_ DESC, score DESC, id) AS n FROM o) JOIN k USING (qid) WHERE n <= k")
+def retrieve_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to ranked tables, end to end: every document is a table, its source the document that it belongs to."""
+    qid = F.col("qid")
+    ops = F.when(qid % 5 == 0, F.array(F.lit("RATIO"))).otherwise(F.array().cast("array<string>"))
+    years = F.slice(F.array((qid % 7).cast("int"), ((qid + 1) % 7).cast("int")), F.lit(1), (F.lit(1) + F.floor(qid % 4 / 2)).cast("int"))
+    tickers = F.slice(F.array(*map(F.lit, "ABC")), F.lit(1), (F.lit(1) + qid % 3).cast("int"))
+    ir = store(_queries(spark, sf_dir).select("qid", F.col("query").alias("retrieval_query"), tickers.alias("tickers"), years.alias("years"), ops.alias("ops")), "asked")
+    docs = ir.where("qid % 2 = 0").select("qid", F.concat(F.lit("src"), (qid % 20).cast("string")).alias("doc_id"))
+    meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), F.col("text").alias("passage"), F.col("lang").alias("section"), F.col("n_chars").alias("n_numeric_cells"), F.array((F.col("n_chars") % 7).cast("int")).alias("period_years"))
+    hits = retrieve.retrieve(ir, meta, _index(spark, sf_dir), docs, above=300, to=200, digits=6)
+    return hits.select("qid", "id", "score")
+
+
+@query(_BM25_SQL + ", best AS (SELECT qid, id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, id) AS r FROM scored) SELECT qid, id, bm25 FROM best WHERE r <= 20")
+def block_max_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = blockmax.search(blockmax.build(_index(spark, sf_dir), 32), _queries(spark, sf_dir), 20)
+    return found.select("qid", "id", F.round("bm25", 6).alias("bm25"))
+
+
 _RANKS_SQL = "r AS (SELECT l_suppkey AS qid, l_orderkey * 100 + l_linenumber AS id, sum(l_extendedprice) AS p, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), a AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(p, 2) DESC, id) - 1 AS rank FROM r), b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(q, 2) DESC, id) - 1 AS rank FROM r)"
 
 
