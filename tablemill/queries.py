@@ -570,6 +570,26 @@ def rerank_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top_k(s, 10, order, "qid").select("qid", "id", retrieve.rank_from(order, "qid").cast("long").alias("rank"))
 
 
+_KEYED_SQL = _DENSE_SQL.replace("FROM embeddings WHERE vec_id % 100 = 0) a, embeddings b)", "FROM embeddings WHERE vec_id % 100 = 0) a JOIN embeddings b ON a.vec_id % 300 = 0 OR b.label IN (a.label, (a.label + 3) % 10))")
+
+
+@query(f"WITH {_KEYED_SQL}, r AS (SELECT qid, id, n, score, row_number() OVER (PARTITION BY qid ORDER BY length(md5(CAST(id AS VARCHAR) || '/' || CAST(qid AS VARCHAR)).replace('0', '')), n) AS m FROM t WHERE n <= 50) SELECT qid, id, m - 1 AS rank, n - 1 AS dense_rank, score AS dense_score FROM r WHERE m <= 10")
+def dense_filtered_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata filter, dense top 50, rerank to 10: vectors lie by their label, a query asks for two labels (every third for all); a digest stands in for the model."""
+    import hashlib
+
+    e, path = table(spark, sf_dir, "embeddings"), shared_path(spark, "clustered")
+    vector_search.save_clustered(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("key"), F.col("vec_id").cast("string").alias("passage")), path)
+    keys = F.when(F.col("vec_id") % 300 != 0, F.array(F.col("label"), ((F.col("label") + 3) % 10).cast("int")))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), keys.alias("keys"), F.col("vec_id").cast("string").alias("query"))  # the stated set of queries
+
+    def model():
+        return lambda query, passage: [-len(hashlib.md5(f"{p}/{x}".encode()).hexdigest().replace("0", "")) for x, p in zip(query, passage)]
+
+    hits = vector_search.dense_stage(spark.read.parquet(path), q, model)
+    return hits.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.col("dense_rank").cast("long").alias("dense_rank"), "dense_score")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS cut, CAST(1.0 AS DOUBLE) AS again FROM embeddings")
 def matryoshka_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.slice("embedding", 1, 16)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.operators import blockmax, bm25, retrieve
+from tablemill.operators import blockmax, bm25, retrieve, vectors
 
 
 def corpus(n, seed=4):
@@ -104,3 +105,35 @@ def test_retrieve_end_to_end(spark, index, questions, meta):
     both = retrieve.retrieve(ir_of(questions), meta, index, docs, reranked=ranks, ce_weight=1.0, above=100, to=40)
     assert {r["fusion"] for r in both.where("qid = 2").collect()} == {"rrf(lex,ce)"} and {r["fusion"] for r in both.where("qid = 1").collect()} == {"lex_only"}
     assert retrieve.retrieve(ir_of(questions), meta.limit(0), bm25.build(spark.createDataFrame([], "id long, text string")), docs).count() == 0
+
+
+@pytest.mark.parametrize("k, cells", [(1, 10), (7, 1 << 21), (500, 64)])
+def test_search_by_keys(spark, monkeypatch, tmp_path, k, cells):
+    """Heaps over whole partitions against sorting all products; ties, null vectors, queries with keys, without, and with unknown ones."""
+    monkeypatch.setattr(vectors, "CELLS", cells)
+    rnd = np.random.default_rng(k)
+    rows = [(i, rnd.integers(-2, 3, 4).astype(float).tolist() if i % 50 else None, None if i % 11 == 0 else int(rnd.integers(5))) for i in range(300)]
+    asked = [(1, [1.0, 0.0, 2.0, -1.0], [1, 3]), (2, [0.5, 0.5, 0.0, 1.0], None), (7, [0.0] * 4, [2]), (4, [1.0, 1.0, 1.0, 1.0], []), (5, [1.0, 0.0, 0.0, 0.0], [99])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, key int").repartition(6)
+    q = spark.createDataFrame(asked, "qid long, qvec array<double>, keys array<int>")
+    got = sorted((r["qid"], r["rank"], r["id"], r["score"]) for r in vectors.search(df, q, k, same=False).collect())
+    want = []
+    for qid, v, keys in asked:
+        hits = sorted((-round(float(np.dot(x, v)), 6) + 0.0, i) for i, x, key in rows if x is not None and i != qid and (not keys or key in keys))
+        want += [(qid, r, i, -s + 0.0) for r, (s, i) in enumerate(hits[:k])]
+    assert got == sorted(want)
+
+
+def test_search_reads_wanted_keys_only(spark, tmp_path):
+    df = spark.range(2000).select("id", F.array(F.col("id").cast("double")).alias("vec"), (F.col("id") % 40).cast("int").alias("key"), F.lit("p").alias("passage"))
+    vectors.save_clustered(df, str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    q = spark.createDataFrame([(1, [1.0], [3], "x"), (2, [-1.0], [3, 5], "y")], "qid long, qvec array<double>, keys array<int>, query string")
+    found = vectors.search(stored, q, 3)
+    assert "In(key, [3,5])" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in found.where("qid = 1").collect()) == [1883, 1923, 1963]
+    out = vectors.dense_stage(stored, q, lambda: lambda query, passage: [float(len(x) + len(p)) for x, p in zip(query, passage)], dense=3, keep=2)
+    assert sorted((r["qid"], r["id"], r["rank"], r["dense_rank"]) for r in out.collect()) == [(1, 1923, 1, 1), (1, 1963, 0, 0), (2, 3, 0, 0), (2, 5, 1, 1)]
+    assert vectors.search(stored.limit(0), q, 3).count() == vectors.search(stored, q.limit(0), 3).count() == 0
+    shown = spark.range(1).select(vectors.with_instruction(F.lit("Lãi năm 2018?"), "Find the table")).first()[0]
+    assert shown == "Instruct: Find the table\nQuery: Lãi năm 2018?"
