@@ -1,7 +1,7 @@
 """Which companies a question is about: tickers, aliases, and names as phrases with gaps.
 
-The company list is small and bounded (a stock exchange); questions are the large side, and each finds its companies by
-joins on words with the broadcast list, never by a loop over questions.
+Each question finds its companies by joins on words and by one pass of an automaton, never by a loop over questions or companies. Joins with the
+company list have no hint: Spark broadcasts it where its size allows.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.text import fold, tokens
+from tablemill.session import store
 from tablemill.sources import packs
 
-#: Words between two accepted words of a name at most, and the share of a name's weight that must be met.
-MAX_GAP, MIN_COVERAGE = 3, 0.75
+from . import phrases
 
 
 def name_index(companies: DataFrame) -> DataFrame:
@@ -41,42 +41,15 @@ def explicit(question: Column, valid: Column) -> Column:
     return F.when(F.size(upper) > 0, upper).when(F.size(lower) >= 2, lower).otherwise(F.array().cast("array<string>"))
 
 
-def ordered_coverage(question_words: Column, words: Column, idf: Column) -> Column:
-    """struct(coverage, matched): the best share of a name's weight that words in order, MAX_GAP apart at most, reach from any start.
-
-    From each start the next places are taken in order; one counts if its word comes later in the name; a gap wider than allowed ends the walk.
-    """
-    places = F.flatten(F.transform(question_words, lambda w, p: F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda k: F.get(words, k - 1) == w), lambda k: F.struct(p.alias("p"), k.alias("k")))))
-    def step(s: Column, x: Column) -> Column:
-        far = x["p"] - s["p"] > MAX_GAP
-        over = s["over"] | far
-        take = ~over & (x["p"] > s["p"]) & (x["k"] > s["k"])
-        return F.struct(F.when(take, x["p"]).otherwise(s["p"]).alias("p"), F.when(take, x["k"]).otherwise(s["k"]).alias("k"), F.when(take, F.array_append(s["got"], x["k"])).otherwise(s["got"]).alias("got"), over.alias("over"))
-
-    def walk(x: Column, i: Column) -> Column:
-        first = F.struct(x["p"].alias("p"), x["k"].alias("k"), F.array(x["k"]).alias("got"), F.lit(False).alias("over"))
-        got = F.aggregate(F.slice(places, i + 2, F.greatest(F.size(places), F.lit(1))), first, step)["got"]
-        weight = F.aggregate(got, F.lit(0.0), lambda a, k: a + F.get(idf, k - 1))
-        return F.struct(weight.alias("weight"), (-i).alias("first"), got.alias("got"))
-
-    total = F.aggregate(idf, F.lit(0.0), lambda a, x: a + x)
-    best = F.array_max(F.transform(places, walk))
-    return F.struct(F.coalesce(best["weight"] / F.when(total > 0, total).otherwise(1.0), F.lit(0.0)).alias("coverage"), F.coalesce(best["got"], F.array().cast("array<int>")).alias("matched"))
-
-
-def by_name(questions: DataFrame, index: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:
-    """(qid, ticker, coverage) of names that are covered well and whose rarest word is met. Only names that share a word are compared."""
-    words = questions.select("qid", tokens(F.col("question")).alias("qt"))
-    shared = words.select("qid", F.explode(F.array_distinct("qt")).alias("w")).join(F.broadcast(index.select("ticker", F.explode("words").alias("w"))), "w").select("qid", "ticker").distinct()
-    scored = shared.join(words, "qid").join(F.broadcast(index), "ticker").withColumn("m", ordered_coverage(F.col("qt"), F.col("words"), F.col("idf")))
-    rarest = F.array_position(F.col("idf"), F.array_max("idf")).cast("int")
-    return scored.where((F.col("m.coverage") >= least) & F.array_contains("m.matched", rarest)).select("qid", "ticker", F.round("m.coverage", 3).alias("coverage"))
+def by_name(questions: DataFrame, index: DataFrame, least: float = phrases.MIN_COVERAGE) -> DataFrame:
+    """(qid, ticker, coverage) of names that are covered well and whose rarest word is met."""
+    return phrases.names_met(questions, index, least)
 
 
 def by_alias(questions: DataFrame, alias: DataFrame) -> DataFrame:
-    """(qid, ticker): aliases that the folded question contains; the alias list is broadcast."""
-    q = questions.select("qid", fold(F.col("question")).alias("fq"))
-    return q.join(F.broadcast(alias), F.contains("fq", "phrase")).select("qid", "ticker").distinct()
+    """(qid, ticker): aliases (phrase, ticker) that the folded question contains."""
+    found = phrases.contained(questions.select("qid", F.col("question").alias("text")), alias)
+    return found.join(alias, "phrase").select("qid", "ticker").distinct()
 
 
 def resolve(questions: DataFrame, companies: DataFrame, alias: DataFrame | None = None) -> DataFrame:
@@ -86,18 +59,18 @@ def resolve(questions: DataFrame, companies: DataFrame, alias: DataFrame | None
     """
     spark = questions.sparkSession
     alias = aliases(spark) if alias is None else alias
-    index = name_index(companies).cache()
+    index = store(name_index(companies), "names")
     valid = companies.agg(F.sort_array(F.collect_set("ticker")).alias("valid"))  # one row, as long as the list of companies
     ex = questions.crossJoin(F.broadcast(valid)).select("qid", F.explode(explicit(F.col("question"), F.col("valid"))).alias("ticker"))
     nm = by_name(questions, index)
     found = ex.select("qid", "ticker").union(nm.select("qid", "ticker")).union(by_alias(questions, alias)).distinct()
-    own = found.join(F.broadcast(index.select("ticker", "words")), "ticker", "left")
-    strong = nm.where("coverage >= 0.9").join(F.broadcast(index.select("ticker", F.col("words").alias("larger"))), "ticker").select("qid", F.col("ticker").alias("other"), "larger")
+    own = found.join(index.select("ticker", "words"), "ticker", "left")
+    strong = nm.where("coverage >= 0.9").join(index.select("ticker", F.col("words").alias("larger")), "ticker").select("qid", F.col("ticker").alias("other"), "larger")
     part = (F.size(F.array_except("words", "larger")) == 0) & (F.size("larger") > F.size("words"))
     swallowed = own.join(strong, "qid").where((F.col("ticker") != F.col("other")) & part).select("qid", "ticker")
     stay = own.join(swallowed, ["qid", "ticker"], "left_anti")
-    phrases = alias.groupBy("ticker").agg(F.collect_list("phrase").alias("phrases"))
-    placed = stay.join(questions.select("qid", fold(F.col("question")).alias("fq")), "qid").join(F.broadcast(phrases), "ticker", "left")
+    own_phrases = alias.groupBy("ticker").agg(F.collect_list("phrase").alias("phrases"))
+    placed = stay.join(questions.select("qid", fold(F.col("question")).alias("fq")), "qid").join(own_phrases, "ticker", "left")
     own_at = F.call_function("instr", F.col("fq"), F.col("ticker"))
     parts = F.filter(F.transform(F.concat(F.coalesce("words", F.array().cast("array<string>")), F.coalesce("phrases", F.array().cast("array<string>"))), lambda w: F.call_function("instr", F.col("fq"), w)), lambda p: p > 0)
     first = F.when(own_at > 0, own_at).otherwise(F.coalesce(F.array_min(parts), F.length("fq") + 1))

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions import numbers, periods, text, vectors
-from tablemill.operators import blockmax, bm25, documents, emit, facts, grids, locate, lookup, patch, planner, probes, prompts, quality, questions, retrieve, solve, verify
+from tablemill.operators import blockmax, bm25, companies, documents, emit, facts, grids, locate, lookup, patch, phrases, planner, probes, prompts, quality, questions, retrieve, solve, verify
 from tablemill.operators import vectors as vector_search
 from tablemill.plans import ir as plan_ir
 from tablemill.session import shared_path, store
-from tablemill.sources import html, matrices, reports, scan, statements
+from tablemill.sources import html, matrices, packs, reports, scan, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -618,6 +618,39 @@ def matrix_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.crossJoin(held.agg(F.count("*").alias("n")))  # one row
 
 
+#: Names and aliases from the benchmark's passages: the first words as a name, two words of the middle as an alias.
+_NAMES_SQL = f"""bt AS (SELECT item_id, {TOKENS.format('text')} AS ts FROM benchmark WHERE text IS NOT NULL)"""
+
+
+def _passage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", text.tokens(F.col("text")).alias("ts"))
+    pair = lambda k: F.array_join(F.slice("ts", k, 2), " ")
+    return b.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("ticker"), F.array_join(F.slice("ts", 1, 4), " ").alias("name"), F.array(pair(5), pair(9)).alias("phrases"))
+
+
+@query(f"WITH {_NAMES_SQL}, ph AS (SELECT 'B' || CAST(item_id AS VARCHAR) AS ticker, unnest([array_to_string(ts[5:6], ' '), array_to_string(ts[9:10], ' ')]) AS phrase FROM bt) SELECT DISTINCT doc_id AS qid, ticker FROM documents JOIN ph ON phrase <> '' AND contains({FOLD.format('text')}, phrase)")
+def alias_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against aliases by one automaton."""
+    alias = _passage_names(spark, sf_dir).select("ticker", F.explode("phrases").alias("phrase"))
+    return companies.by_alias(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("question")), alias)
+
+
+_FORM_SQL = ", ".join(f"'{w}'" for w in packs.FORM_WORDS)
+
+
+@query(f"""WITH {_NAMES_SQL}, own AS (SELECT 'B' || CAST(item_id AS VARCHAR) AS ticker, list_filter(ts[1:4], lambda x: x NOT IN ({_FORM_SQL})) AS a, ts[1:4] AS every FROM bt),
+u AS (SELECT ticker, CASE WHEN len(a) > 0 THEN a ELSE every END AS ws FROM own), f AS (SELECT ticker, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS ws FROM u), e AS (SELECT ticker, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM f),
+idf AS (SELECT w, ln(1 + (SELECT count(*) FROM f) / count(*)) AS idf FROM e GROUP BY w), n AS (SELECT e.*, idf, sum(idf) OVER (PARTITION BY ticker) AS total, first_value(k) OVER (PARTITION BY ticker ORDER BY idf DESC, k) AS rare FROM e JOIN idf USING (w)),
+pos AS (SELECT doc_id AS qid, unnest(ts) AS w, unnest(range(1, len(ts) + 1)) AS p FROM (SELECT doc_id, {TOKENS.format('text')} AS ts FROM documents)),
+x AS (SELECT qid, ticker, p, k, idf, total, rare FROM pos JOIN n USING (w)), x1 AS (SELECT *, idf AS got, k = rare AS hit FROM x),
+{", ".join(f"y{i} AS (SELECT s.qid, s.ticker, s.p, s.k, s.total, s.rare, s.got, s.hit, min({{'p': x.p, 'k': x.k, 'idf': x.idf}}) AS nx FROM x{i} s LEFT JOIN x ON x.qid = s.qid AND x.ticker = s.ticker AND x.p > s.p AND x.p <= s.p + 3 AND x.k > s.k GROUP BY ALL), x{i + 1} AS (SELECT qid, ticker, coalesce(nx.p, p) AS p, coalesce(nx.k, k) AS k, total, rare, got + coalesce(nx.idf, 0) AS got, hit OR coalesce(nx.k = rare, false) AS hit FROM y{i})" for i in (1, 2, 3))}
+SELECT qid, ticker, round(max(got) / any_value(total), 3) AS coverage FROM x4 GROUP BY qid, ticker HAVING max(got) / any_value(total) >= 0.75 AND max(CASE WHEN hit THEN got END) >= max(got) - 1e-9""")
+def names_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against names as phrases with gaps."""
+    index = companies.name_index(_passage_names(spark, sf_dir).select("ticker", "name"))
+    return companies.by_name(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("question")), index)
+
+
 # --- questions ---------------------------------------------------------------------------------------------------------
 
 _LIST = [("AAA", "CTCP Nhựa An Phát Xanh"), ("FPT", "CTCP FPT"), ("FTS", "CTCP Chứng khoán FPT"), ("VCB", "Ngân hàng TMCP Ngoại thương Việt Nam"), ("HPG", "CTCP Tập đoàn Hòa Phát"), ("GAS", "Tổng công ty Khí Việt Nam"), ("VNM", "CTCP Sữa Việt Nam"), ("DXG", "CTCP Tập đoàn Đất Xanh"), ("PDR", "CTCP Phát triển Bất động sản Phát Đạt")]
