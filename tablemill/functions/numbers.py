@@ -67,10 +67,15 @@ def n_targets(tickers: Column, years: Column, n_docs: Column | None = None) -> C
     return n if n_docs is None else F.when(n_docs > 0, F.least(n, n_docs)).otherwise(n)
 
 
+def gold_tables(tickers: Column, years: Column, ops: Column, n_docs: Column | None = None) -> Column:
+    """Expected number of tables that answer a question: more a pair of company and year where operations compare."""
+    each = F.when(F.arrays_overlap(ops, F.array(F.lit("RATIO"), F.lit("DIFF"), F.lit("GROWTH"))), 1.8).otherwise(1.2)
+    return each * n_targets(tickers, years, n_docs)
+
+
 def adaptive_k(tickers: Column, years: Column, ops: Column, k_max: int = 12, n_docs: Column | None = None, mult: float = 2.5) -> Column:
     """Tables to return: `mult` times the expected number, rounded half to even, from 2 to k_max."""
-    each = F.when(F.arrays_overlap(ops, F.array(F.lit("RATIO"), F.lit("DIFF"), F.lit("GROWTH"))), 1.8).otherwise(1.2)
-    return F.greatest(F.lit(2), F.least(F.lit(k_max), F.bround(mult * (each * n_targets(tickers, years, n_docs)), 0).cast("int"))).cast("int")
+    return F.greatest(F.lit(2), F.least(F.lit(k_max), F.bround(mult * gold_tables(tickers, years, ops, n_docs), 0).cast("int"))).cast("int")
 
 
 def adaptive_docs(tickers: Column, years: Column, cap: int = 8, n_docs: Column | None = None) -> Column:
@@ -81,6 +86,11 @@ def adaptive_docs(tickers: Column, years: Column, cap: int = 8, n_docs: Column |
     return F.greatest(F.lit(1), F.least(F.lit(cap), n)).cast("int")
 
 
+def worth_adding(p: Column, hits: Column, gold: Column, returned: Column) -> Column:
+    """Whether one more table that is right with probability p raises F2: p above hits / (4 * gold + returned)."""
+    return p * (4.0 * gold + returned) > hits
+
+
 def f2(hits: Column, gold: Column, returned: Column) -> Column:
     """F-beta with beta 2 from counts."""
     return F.coalesce(F.try_divide(5.0 * hits, 4.0 * gold + returned), F.lit(0.0))
