@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.sources import archives
+
 from . import grids
 
 POSITIONS = ("table_idx", "line_no", "page_no", "char_start")
@@ -88,14 +88,23 @@ def validate(answers: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def package(answers: DataFrame, evidence_rows: DataFrame) -> bytes:
-    """A ZIP of submission.json and data/*.csv. Driver-side: a submission is a bounded artefact, one record a question asked."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
-        z.writestr("submission.json", json.dumps([json.loads(r[0]) for r in records(answers).select(F.to_json(F.struct("*"))).toLocalIterator()], ensure_ascii=False))
-        for r in evidence_rows.select("file", csv_text(F.col("columns"), F.col("rows")).alias("csv")).toLocalIterator():
-            z.writestr(f"data/{r['file']}", r["csv"])
-    return out.getvalue()
+def members(answers: DataFrame, evidence_rows: DataFrame) -> DataFrame:
+    """(name, content) of a package's files: submission.json, the records as one JSON array, and data/*.csv.
+
+    The records of one submission are put together by one task, in order of their ids: one JSON array has to be written by one hand. They are one
+    for each question asked; evidence files, which are the bulk, stay where they are.
+    """
+    one = records(answers).select("id", F.to_json(F.struct("*")).alias("json"))
+    text = one.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "json"))), lambda r: r["json"]), ", ").alias("x"))
+    submission = text.select(F.lit("submission.json").alias("name"), F.encode(F.concat(F.lit("["), "x", F.lit("]")), "UTF-8").alias("content"))
+    files = evidence_rows.select(F.concat(F.lit("data/"), "file").alias("name"), F.encode(csv_text(F.col("columns"), F.col("rows")), "UTF-8").alias("content"))
+    return submission.unionAll(files)
+
+
+def package(answers: DataFrame, evidence_rows: DataFrame, path: str, single: bool = False) -> None:
+    """A package's files as ZIP archives below the path, written by the tasks and published together; single: one archive, written by one task."""
+    files = members(answers, evidence_rows)
+    archives.write(files.coalesce(1) if single else files, path)
 
 
 def traces(df: DataFrame, key: str = "qid") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +89,55 @@ def report(sections: dict[str, DataFrame]) -> str:
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in df.collect()] + [""]
     return "\n".join(out)
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """The values at these ranks (from 0, ascending) of a column of numbers, exactly; nulls and NaN don't count.
+
+    Selection by histogram: each pass counts every still open interval's values in BINS bins and keeps, for each rank, the bin that it falls into with
+    that bin's own least and greatest value. Where these are equal the value is found. No value is sorted or gathered; the driver reads BINS rows
+    an open interval. Give it a table: it is read a few times.
+    """
+    x = F.col(f"`{column}`").cast("double")
+    held = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
+    n, low, high = held.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    bad = [r for r in ranks if not 0 <= r < n]
+    if bad:
+        raise ValueError(f"ranks {bad} of {n} values")
+    spans = {r: (0, low, high) for r in ranks}  # values below the interval, its least and greatest value
+    while True:
+        wide = sorted({s for s in spans.values() if s[1] < s[2]}, key=lambda s: s[1])
+        if not wide:
+            return {r: s[1] for r, s in spans.items()}
+        where = None
+        for i, (_, a, b) in enumerate(wide):
+            width = b / BINS - a / BINS
+            # the last bin takes what rounding puts beyond it; an interval too narrow to divide is halved at its least value
+            bin_ = F.least(F.floor((F.col("x") / width) - a / width), F.lit(BINS - 1)) if width > 0 and abs(a / width) < 1e15 else F.when(F.col("x") > a, 1).otherwise(0)
+            bin_ = F.greatest(bin_.cast("int"), F.lit(0)) + i * BINS
+            inside = F.col("x").between(a, b)
+            where = F.when(inside, bin_) if where is None else where.when(inside, bin_)
+        rows = held.withColumn("bin", where).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()
+        for r, (below, a, b) in list(spans.items()):
+            if a < b:
+                i = wide.index((below, a, b))
+                for row in sorted((x for x in rows if x["bin"] // BINS == i), key=lambda x: x["a"]):
+                    if below + row["n"] > r:
+                        spans[r] = (below, row["a"], row["b"])
+                        break
+                    below += row["n"]
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours; None for no values."""
+    x = F.col(f"`{column}`").cast("double")
+    n = df.where(x.isNotNull() & ~F.isnan(x)).count()
+    if not n:
+        return [None] * len(shares)
+    at = [s * (n - 1) for s in shares]
+    found = order_statistics(df, column, sorted({int(f(p)) for p in at for f in (math.floor, math.ceil)}))
+    return [found[math.floor(p)] + (p - math.floor(p)) * (found[math.ceil(p)] - found[math.floor(p)]) if p % 1 else found[int(p)] for p in at]
+
+
+#: Bins of an interval in one pass.
+BINS = 1024

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions.numbers import adaptive_k
 from tablemill.functions.text import fold, phrase_score, section_hints, tokens_of_folded
+from tablemill.session import store
 
 from . import blockmax, bm25
 
@@ -152,8 +153,11 @@ def agreement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
 
 def top_scores(reranked: DataFrame) -> DataFrame:
     """One row (questions, p10, median): exact quantiles, interpolated, of the first-ranked rows' rerank_score of (qid, id, rank, rerank_score)."""
-    first = reranked.where("rank = 0")
-    return first.agg(F.countDistinct("qid").alias("questions"), F.percentile("rerank_score", 0.1).alias("p10"), F.percentile("rerank_score", 0.5).alias("median"))
+    from .quality import quantiles
+
+    first = store(reranked.where("rank = 0").select("qid", F.col("rerank_score").cast("double").alias("rerank_score")), "first")
+    p10, median = quantiles(first, "rerank_score", [0.1, 0.5])
+    return first.agg(F.countDistinct("qid").alias("questions")).select("questions", F.lit(p10).cast("double").alias("p10"), F.lit(median).cast("double").alias("median"))
 
 
 def retrieve(

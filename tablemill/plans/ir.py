@@ -1,6 +1,6 @@
 """A closed plan language for answers: what may be computed is a fixed set of node types, compiled to columns; nothing is evaluated as code.
 
-A plan is nested dicts (JSON). Value nodes: cell, literal, scale, abs, arith, reduce, argmax. Table nodes: evidence, filter, project, join,
+A plan is nested dicts (JSON). Value nodes: cell, lookup (the nth row of an evidence table whose label is L, in column C), literal, scale, abs, arith, reduce, argmax. Table nodes: evidence, filter, project, join,
 aggregate, window, top, set. `validate` refuses unknown nodes and literals that look like data.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Significant digits that a literal may have, and years that pass whatever their digits.
 MAX_DIGITS, YEARS = 3, (2000, 2035)
 
-VALUE_NODES = {"cell", "literal", "scale", "abs", "arith", "reduce", "argmax", "scalar"}
+VALUE_NODES = {"cell", "lookup", "literal", "scale", "abs", "arith", "reduce", "argmax", "scalar"}
 TABLE_NODES = {"evidence", "filter", "project", "join", "aggregate", "window", "top", "set"}
 _ARITH: dict[str, Callable[[Column, Column], Column]] = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: F.try_divide(a, b)}
 _REDUCE = {"sum": lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), "min": F.array_min, "max": F.array_max, "avg": lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)}
@@ -44,6 +44,8 @@ def validate(plan: dict) -> list[str]:
         errors.append(f"literal {plan['value']!r} looks like data")
     if kind == "scale" and not is_benign(plan["by"]):
         errors.append(f"factor {plan['by']!r} looks like data")
+    if kind == "lookup" and not (isinstance(plan.get("label"), str) and isinstance(plan.get("column"), str) and isinstance(plan.get("table"), int) and isinstance(plan.get("nth", 0), int) and plan.get("nth", 0) >= 0):
+        errors.append("a lookup names a table, a label, a column and an occurrence from 0")
     if kind == "arith" and plan.get("op") not in _ARITH or kind in ("reduce",) and plan.get("op") not in _REDUCE:
         errors.append(f"unknown operation {plan.get('op')!r}")
     for child in plan.values():
@@ -55,23 +57,31 @@ def validate(plan: dict) -> list[str]:
     return errors
 
 
-def value(plan: dict, cells: Column) -> Column:
-    """A value node over `cells`, an array of numbers (a question's evidence in order): a column."""
+def value(plan: dict, cells: Column, rows: Column | None = None) -> Column:
+    """A value node over `cells`, an array of numbers (a question's evidence in order), and `rows`, its evidence tables: a column.
+
+    rows: array<array<struct<label, cells map<string, double>>>>, a table's rows in order. A lookup without such a table, row or column is null.
+    """
     kind = plan["node"]
     if kind == "cell":
         return F.get(cells, F.lit(plan["index"]))
+    if kind == "lookup":
+        if rows is None:
+            raise ValueError("a lookup needs evidence tables")
+        same = F.filter(F.get(rows, F.lit(plan["table"])), lambda r: F.trim(r["label"]) == F.lit(plan["label"].strip()))
+        return F.try_element_at(F.get(same, F.lit(plan.get("nth", 0)))["cells"], F.lit(plan["column"]))
     if kind == "literal":
         return F.lit(float(plan["value"]))
     if kind == "scale":
-        return value(plan["of"], cells) * F.lit(float(plan["by"]))
+        return value(plan["of"], cells, rows) * F.lit(float(plan["by"]))
     if kind == "abs":
-        return F.abs(value(plan["of"], cells))
+        return F.abs(value(plan["of"], cells, rows))
     if kind == "arith":
-        return fold_left(_ARITH[plan["op"]], (value(p, cells) for p in plan["of"]))
+        return fold_left(_ARITH[plan["op"]], (value(p, cells, rows) for p in plan["of"]))
     if kind == "reduce":
-        return _REDUCE[plan["op"]](F.array(*(value(p, cells) for p in plan["of"])))
+        return _REDUCE[plan["op"]](F.array(*(value(p, cells, rows) for p in plan["of"])))
     if kind == "argmax":
-        pairs = F.array(*(F.struct(value(p["value"], cells).alias("v"), F.lit(float(p["key"])).alias("k")) for p in plan["of"]))
+        pairs = F.array(*(F.struct(value(p["value"], cells, rows).alias("v"), F.lit(float(p["key"])).alias("k")) for p in plan["of"]))
         return (F.array_min(pairs) if plan.get("least") else F.array_max(pairs))["k"]
     raise ValueError(f"not a value node: {kind!r}")
 
@@ -107,27 +117,40 @@ def scalar(plan: dict, frames: dict[str, DataFrame], column: str, nth: int = 0,
     return out if out is not None and out == out and abs(out) != float("inf") else None
 
 
-def to_sql(plan: dict, cells: str = "cells") -> str:
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def to_sql(plan: dict, cells: str = "cells", rows: str = "rows") -> str:
     """A value node as Spark SQL text, for people to read and rerun."""
     kind = plan["node"]
     if kind == "cell":
-        return f"{cells}[{int(plan['index'])}]"
+        return f"get({cells}, {int(plan['index'])})"
+    if kind == "lookup":
+        return f"try_element_at(get(filter(get({rows}, {int(plan['table'])}), r -> trim(r.label) = {_quoted(plan['label'].strip())}), {int(plan.get('nth', 0))}).cells, {_quoted(plan['column'])})"
     if kind == "literal":
         return f"{float(plan['value'])!r}D"
     if kind == "scale":
-        return f"({to_sql(plan['of'], cells)} * {float(plan['by'])!r}D)"
+        return f"({to_sql(plan['of'], cells, rows)} * {float(plan['by'])!r}D)"
     if kind == "abs":
-        return f"abs({to_sql(plan['of'], cells)})"
+        return f"abs({to_sql(plan['of'], cells, rows)})"
     if kind == "arith":
-        return fold_left(lambda a, b: f"try_divide({a}, {b})" if plan["op"] == "/" else f"({a} {plan['op']} {b})", (to_sql(p, cells) for p in plan["of"]))
+        return fold_left(lambda a, b: f"try_divide({a}, {b})" if plan["op"] == "/" else f"({a} {plan['op']} {b})", (to_sql(p, cells, rows) for p in plan["of"]))
     if kind == "reduce":
-        xs = f"array({', '.join(to_sql(p, cells) for p in plan['of'])})"
+        xs = f"array({', '.join(to_sql(p, cells, rows) for p in plan['of'])})"
         total = f"aggregate({xs}, 0D, (a, x) -> a + x)"
         return {"sum": total, "avg": f"({total} / size({xs}))", "min": f"array_min({xs})", "max": f"array_max({xs})"}[plan["op"]]
-    pairs = ", ".join(f"struct({to_sql(p['value'], cells)}, {float(p['key'])!r}D)" for p in plan["of"])
+    pairs = ", ".join(f"struct({to_sql(p['value'], cells, rows)}, {float(p['key'])!r}D)" for p in plan["of"])
     return f"{'array_min' if plan.get('least') else 'array_max'}(array({pairs})).col2"
 
 
+def from_cell(table: int, label: str, column: str, nth: int, multiplier: float = 1.0, undirected: bool = False) -> dict:
+    """The plan that reads one located cell by its label: the occurrence tells rows with the same label apart."""
+    out: dict = {"node": "lookup", "table": table, "label": label, "column": column, "nth": nth}
+    out = {"node": "abs", "of": out} if undirected else out
+    return out if abs(multiplier - 1.0) <= 1e-12 else {"node": "scale", "of": out, "by": multiplier}
+
+
 def from_solution(kind: str, n: int, years: list[int] | None = None, percent: bool = False, undirected: bool = False) -> dict:
     """The plan of a solver's answer over its n facts in order."""
     cell = lambda i: {"node": "cell", "index": i}

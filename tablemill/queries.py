@@ -5,6 +5,7 @@ A query that has no SQL form over the tables compares its results with stated va
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from tablemill.operators import blockmax, bm25, companies, documents, emit, fact
 from tablemill.operators import vectors as vector_search
 from tablemill.plans import ir as plan_ir
 from tablemill.session import shared_path, store
-from tablemill.sources import html, matrices, packs, reports, scan, statements
+from tablemill.sources import grid_store, html, matrices, packs, reports, scan, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -839,6 +840,37 @@ def plan_ir_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_ir.table(plan, frames).withColumn("total", F.round("total", 2))
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_returnflag, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_extendedprice, l_quantity) - 1 AS nth FROM lineitem),
+v AS (SELECT l_orderkey, max(l_quantity) FILTER (l_returnflag = 'R' AND nth = 0) AS first_, max(l_quantity) FILTER (l_returnflag = 'R' AND nth = 1) AS second_, max(l_extendedprice) FILTER (l_returnflag = 'R' AND nth = 2) AS third_, max(l_quantity) FILTER (l_returnflag = 'A' AND nth = 0) AS other FROM r GROUP BY 1)
+SELECT l_orderkey, first_, second_, round(third_ * 0.5, 4) AS third_half, CAST(NULL AS DOUBLE) AS none, round(first_ - abs(other), 4) AS difference FROM v""")
+def label_lookup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by label, column and occurrence: an order's items are a table whose labels repeat. The compiled columns and the SQL text must agree."""
+    li = table(spark, sf_dir, "lineitem")
+    cells = F.create_map(F.lit("so_luong"), F.col("l_quantity"), F.lit("gia"), F.col("l_extendedprice"))
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_quantity", F.concat(F.lit(" "), "l_returnflag").alias("label"), F.map_entries(cells).alias("c")))).alias("x"))
+    rows = rows.select("l_orderkey", F.array(F.transform("x", lambda r: F.struct(r["label"].alias("label"), F.map_from_entries(r["c"]).alias("cells")))).alias("rows"))
+    at = lambda label, column, nth, *more: plan_ir.from_cell(0, label, column, nth, *more)
+    plans = {
+        "first_": at("R", "so_luong", 0), "second_": at("R", "so_luong", 1), "third_half": at("R", "gia", 2, 0.5), "none": {"node": "arith", "op": "+", "of": [at("R", "khong", 0), at("X", "gia", 0)]},
+        "difference": {"node": "arith", "op": "-", "of": [at("R", "so_luong", 0), at("A", "so_luong", 0, 1.0, True)]},
+    }
+    none = F.array().cast("array<double>")
+    made = {k: plan_ir.value(p, none, F.col("rows")) for k, p in plans.items()}
+    said = {k: F.expr(plan_ir.to_sql(p)) for k, p in plans.items()}
+    return rows.select("l_orderkey", *(F.round(F.when(made[k].eqNullSafe(said[k]), made[k]).otherwise(F.raise_error(F.lit("compiled and said differ"))), 4).alias(k) for k in plans))
+
+
+@query("SELECT 'price' AS of_, count(*) AS n, quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.999) AS p999 FROM lineitem UNION ALL SELECT 'quantity', count(*), quantile_cont(l_quantity, 0.1), quantile_cont(l_quantity, 0.5), quantile_cont(l_quantity, 0.999) FROM lineitem")
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles by histograms, no values sorted or gathered."""
+    li, out = table(spark, sf_dir, "lineitem"), None
+    for name, column in (("price", "l_extendedprice"), ("quantity", "l_quantity")):
+        own = quality.quantiles(li, column, [0.1, 0.5, 0.999])
+        row = li.agg(F.lit(name).alias("of_"), F.count("*").alias("n")).select("of_", "n", *(F.lit(v).cast("double").alias(k) for k, v in zip(("p10", "median", "p999"), own)))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 # --- lifecycle ---------------------------------------------------------------------------------------------------------
 
 
@@ -959,8 +991,47 @@ def probe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("tag", "qid", F.array_join(F.array_sort("refs"), ",").alias("refs"))
 
 
-@query("SELECT c_nationkey AS ticker, count(*) AS n FROM customer GROUP BY 1")
+@query(_DOCS_SQL + " SELECT doc_id || '_table_' || CAST(x.i AS VARCHAR) || '.csv' AS file, CAST(x.n + 1 AS INTEGER) AS n_rows, 'chi_tieu' AS first_column, x.l AS first_label, (SELECT count(*) FROM docs) AS records FROM docs, (VALUES (1, 6, 'A. TÀI SẢN NGẮN HẠN'), (2, 4, '3. Doanh thu thuần')) AS x(i, n, l)")
+def package_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission with its evidence as ZIP archives, written and read back by the tasks."""
+    path, t = shared_path(spark, "package"), _tables(spark, sf_dir)
+    answers = t.where("table_idx = 1").select(F.xxhash64("doc_id").alias("id"), F.array("doc_id").alias("relevant_docs"), F.array(emit.table_ref()).alias("relevant_tables"), F.lit("plan").alias("query"))
+    emit.package(answers, emit.evidence(t), path)
+    records, files = reports.read_package(spark, path)
+    n = records.select(F.get_json_object("record", "$.id").alias("id")).distinct().agg(F.count("*").alias("records"))
+    rows = files.select(F.regexp_replace("file", "^data/", "").alias("file"), F.size("rows").alias("n_rows"), F.col("rows")[0][0].alias("first_column"), F.col("rows")[1][0].alias("first_label"))
+    return rows.crossJoin(F.broadcast(n))  # one row
+
+
+@query(_DOCS_SQL + " SELECT doc_id, CAST(x.i AS INTEGER) AS table_idx, CAST(x.n + 1 AS INTEGER) AS n_rows FROM docs, (VALUES (1, 6), (2, 4)) AS x(i, n) WHERE year % 2 = x.i % 2")
+def grid_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids by key: of each report one table, some keys that no table has."""
+    path, t = shared_path(spark, "grids"), _tables(spark, sf_dir)
+    grid_store.save(t, path)
+    keys = t.select("doc_id", (F.lit(2) - F.col("year") % 2).cast("int").alias("table_idx")).unionAll(t.select(F.concat("doc_id", F.lit("x")), "table_idx"))
+    return grid_store.fetch(spark, path, keys, ["grid"]).select("doc_id", "table_idx", F.size("grid").alias("n_rows"))
+
+
+@query(_DOCS_SQL + """ SELECT doc_id, year, CAST(x.i AS INTEGER) AS table_idx, CAST(CASE WHEN year % 3 = 0 THEN 1 ELSE x.n + 1 END AS INTEGER) AS n_rows, CAST(CASE WHEN year % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n_tables
+FROM docs, (VALUES (1, 6), (2, 4)) AS x(i, n) WHERE NOT (year % 3 = 0 AND x.i = 2)""")
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report files in three arrivals, the stream started anew each time: some companies, all of them (the first ones again, unchanged), and later versions of some years."""
+    from tablemill.streaming import ingest
+
+    files, base = store(statements.render(spark, sf_dir), "reports"), shared_path(spark, "ingest")
+    year = F.regexp_extract("path", r"/(\d{4})/", 1).cast("int")
+    later = files.where(year % 3 == 0).select(F.concat(F.lit("late/"), "path").alias("path"), F.lit("BẢNG CÂN ĐỐI KẾ TOÁN\n<table><tr><td>x</td></tr></table>").alias("text"))
+    for k, part in enumerate((files.where(F.crc32("path") % 2 == 0), files.select(F.concat(F.lit("again/"), "path").alias("path"), "text"), later)):
+        if k == 2:
+            time.sleep(1.1)  # a later version has a later file time, to the second
+        reports.write_files(part, f"{base}/in")
+        ingest.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    docs, tables_ = ingest.current(spark, f"{base}/out")
+    return tables_.join(docs.select("doc_id", "n_tables"), "doc_id").select("doc_id", "year", "table_idx", "n_rows", "n_tables")
+
+
+@query("SELECT c_nationkey AS ticker, count(*) AS n FROM customer GROUP BY 1")
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stream of the table's rows adds up to, one micro-batch at a time, equals the table's own counts."""
     from tablemill.streaming import replay
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
-import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from tablemill.functions.periods import classify_period, detect_unit
 from tablemill.functions.text import strip
 from tablemill.operators import grids
-from tablemill.sources import html, scan
+from tablemill.sources import archives, html, scan
 
 PAGE = r"^=====\s*PAGE\s+(\d+)\s*=====\s*$"
 
@@ -41,10 +42,10 @@ def document_meta(path: Column) -> dict[str, Column]:
     return {"doc_id": doc_id, "file_stem": F.regexp_replace(at(1), r"\.txt$", ""), "ticker": at(4), "year": year, "year_dir": year_dir, "stmt_type": kind, "rel_path": F.array_join(F.slice(parts, -4, 4), "/")}
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """Document rows of (path, text), with their counts of characters, pages and tables."""
+def documents(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Document rows of (path, text), with their counts of characters, pages and tables; keep: further columns that stay."""
     lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= scan.LINE_CHARS) & strip(x).rlike(PAGE))
-    own = files.select(*(c.alias(k) for k, c in document_meta(F.col("path")).items()), "text")
+    own = files.select(*(c.alias(k) for k, c in document_meta(F.col("path")).items()), "text", *keep)
     return own.withColumns({"n_chars": F.length("text"), "n_pages": F.size(lines), "n_tables": F.size(html.tables_in(F.col("text")))})
 
 
@@ -53,7 +54,12 @@ def tables(docs: DataFrame) -> DataFrame:
 
     One pass over each text and no shuffle: every row of docs gives its tables, rows with one doc_id or none too.
     """
-    return _select(describe_tables(scan.scan(docs).where("table_idx is not null")))
+    return described(scan.scan(docs).where("table_idx is not null"))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Table rows of scanned ones."""
+    return _select(describe_tables(rows))
 
 
 #: What a dead letter says; a table whose HTML was read in part is among the tables too.
@@ -71,7 +77,7 @@ def write_batch(docs: DataFrame, path: str, batch: int) -> None:
 def read_batches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The tables, described, and the dead letters (doc_id, table_idx, stage, fault) of all batches."""
     rows = spark.read.schema(f"{scan.SCANNED}, batch int").option("basePath", path).parquet(f"{path}/batch=*")
-    return _select(describe_tables(rows.where("table_idx is not null"))), rows.where("fault is not null").select(*FAULTS)
+    return described(rows.where("table_idx is not null")), rows.where("fault is not null").select(*FAULTS)
 
 
 def describe_tables(rows: DataFrame) -> DataFrame:
@@ -115,12 +121,35 @@ def read_evidence(spark: SparkSession, path: str, columns: list[str], numeric: l
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
-def read_zip(spark: SparkSession, path: str, name: str = "submission.json") -> tuple[list, dict[str, list[list[str]]]]:
-    """Records and evidence files of a packaged submission; the file comes through Spark's reader, so any store will do."""
-    import zipfile
+def write_files(files: DataFrame, folder: str) -> int:
+    """Each row of (path, text) as a file below the folder, written by the tasks; the number of files.
+
+    The folder is one that all tasks reach: a path on a mount they share, or an address of a store that Arrow knows. A task that is
+    repeated writes the same files again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = archives.open_fs(folder)
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                where = f"{root.rstrip('/')}/{path.lstrip('/')}"
+                fs.create_dir(where.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(where) as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", F.coalesce("text", F.lit(""))).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_package(spark: SparkSession, path: str, name: str = "submission.json") -> tuple[DataFrame, DataFrame]:
+    """The records (JSON text, one a row) and the evidence files (file, rows) of a packaged submission; members are read by the tasks."""
+    members = archives.read(spark, path)
+    records = members.where(F.col("name") == name).select(F.explode(F.from_json(F.col("content").cast("string"), "array<string>")).alias("record"))
+    lines = members.where(F.endswith("name", F.lit(".csv")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parsed = [list(csv.reader(io.StringIO(x.decode()))) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parsed, pa.list_(pa.list_(pa.string())))], ["file", "rows"])
 
-    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-        records = json.loads(z.read(name))
-        files = {n: list(csv.reader(io.StringIO(z.read(n).decode()))) for n in z.namelist() if n.endswith(".csv")}
-    return records, files
+    return records, lines.select("name", "content").mapInArrow(rows, "file string, rows array<array<string>>")

@@ -98,11 +98,11 @@ def find_tables(text: str) -> Iterator[Found]:
 
 SCANNED = (
     "doc_id string, ticker string, year int, stmt_type string, table_idx int, char_start int, char_end int, line_no int, page_no int, section string, caption string, raw_html string, "
-    "grid array<array<string>>, stage string, fault string"
+    "grid array<array<string>>, stage string, fault string, digest string"
 )
 _KINDS = [
     ("doc_id", pa.string()), ("ticker", pa.string()), ("year", pa.int32()), ("stmt_type", pa.string()), ("table_idx", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("line_no", pa.int32()),
-    ("page_no", pa.int32()), ("section", pa.string()), ("caption", pa.string()), ("raw_html", pa.string()), ("grid", pa.list_(pa.list_(pa.string()))), ("stage", pa.string()), ("fault", pa.string()),
+    ("page_no", pa.int32()), ("section", pa.string()), ("caption", pa.string()), ("raw_html", pa.string()), ("grid", pa.list_(pa.list_(pa.string()))), ("stage", pa.string()), ("fault", pa.string()), ("digest", pa.string()),
 ]
 
 
@@ -110,7 +110,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """A row for each table of (doc_id, ticker, year, stmt_type, text), and one for each fault; a fault costs only what it names.
 
     Stage `text`: the document has no text. Stage `document`: its text could not be read, so it has no tables. Stage `html`: a table's parser gave up; the table's row has
-    the cells before that, and `fault` says why. Every row of docs counts, whatever doc_id it has.
+    the cells before that, and `fault` says why. A column `digest`, if docs have it, stays. Every row of docs counts, whatever doc_id it has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,19 +122,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for at in range(b.num_rows):
-                *own, text = (b.column(i)[at].as_py() for i in range(5))
+                *own, text, digest = (b.column(i)[at].as_py() for i in range(6))
                 if text is None:
-                    out.append((*own, *[None] * 9, "text", "no text"))
+                    out.append((*own, *[None] * 9, "text", "no text", digest))
                     continue
                 try:
                     found = list(find_tables(text))
                 except (ValueError, IndexError, RecursionError) as e:
-                    out.append((*own, *[None] * 9, "document", f"{type(e).__name__}: {e}"[:FAULT_CHARS]))
+                    out.append((*own, *[None] * 9, "document", f"{type(e).__name__}: {e}"[:FAULT_CHARS], digest))
                     continue
                 for t in found:
                     raw = text[t.char_start : t.char_end]
                     grid, fault = html.read_grid(raw)
-                    out.append((*own, t.table_idx, t.char_start, t.char_end, t.line_no, t.page_no, t.section, t.caption, raw, grid, fault and "html", fault and fault[:FAULT_CHARS]))
+                    out.append((*own, t.table_idx, t.char_start, t.char_end, t.line_no, t.page_no, t.section, t.caption, raw, grid, fault and "html", fault and fault[:FAULT_CHARS], digest))
                     size += len(raw)
                     if size >= BATCH_CHARS:
                         yield flush()
@@ -143,4 +143,5 @@ def scan(docs: DataFrame) -> DataFrame:
             yield flush()
 
     names = [F.col("doc_id").cast("string"), F.col("ticker").cast("string"), F.col("year").cast("int"), F.col("stmt_type").cast("string"), F.col("text").cast("string")]
+    names.append(F.col("digest") if "digest" in docs.columns else F.lit(None).cast("string").alias("digest"))
     return docs.select(*names).mapInArrow(run, SCANNED)

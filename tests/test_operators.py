@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import json
+import os
+import random
+import time
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from tablemill.functions import numbers, text, vectors
 from tablemill.operators import bm25, documents, emit, facts, locate, lookup, patch, prompts, quality, questions, retrieve, solve, verify
 from tablemill.operators import vectors as search
 from tablemill.plans import ir
-from tablemill.sources import html, reports, scan, statements
+from tablemill.sources import archives, grid_store, html, reports, scan, statements
 from tablemill.streaming import ingest
 
 
@@ -138,13 +141,113 @@ def test_evidence_is_not_inferred(spark, tmp_path):
 
 
 def test_package_and_read_back(spark, tmp_path):
-    answers = spark.createDataFrame([(2, "q", 1.0, ["d", "d"], ["d|1", "d|1"], "x"), (1, "q", 2.0, ["d"], ["d|1"], "x")], "id int, question string, answer double, relevant_docs array<string>, relevant_tables array<string>, query string")
-    files = spark.createDataFrame([("a.csv", ["h"], [["1"]])], "file string, columns array<string>, rows array<array<string>>")
-    data = emit.package(answers, files)
-    assert zipfile.ZipFile(io.BytesIO(data)).namelist() == ["submission.json", "data/a.csv"]
-    (tmp_path / "s.zip").write_bytes(data)
-    records, csvs = reports.read_zip(spark, str(tmp_path / "s.zip"))
-    assert [r["id"] for r in records] == [1, 2] and records[1]["relevant_docs"] == ["d"] and csvs == {"data/a.csv": [["h"], ["1"]]}
+    answers = spark.createDataFrame([(2, "q é", 1.0, ["d", "d"], ["d|1", "d|1"], "x"), (1, "q", 2.0, ["d"], ["d|1"], "x")], "id int, question string, answer double, relevant_docs array<string>, relevant_tables array<string>, query string")
+    files = spark.createDataFrame([("a.csv", ["h", "é"], [["1", 'x,"y']]), ("b.csv", ["h"], [])], "file string, columns array<string>, rows array<array<string>>").repartition(3)
+    emit.package(answers, files, str(tmp_path / "p"), single=True)
+    (single,) = (f for f in (tmp_path / "p").iterdir() if f.suffix == ".zip")
+    with zipfile.ZipFile(single) as z:
+        assert sorted(z.namelist()) == ["data/a.csv", "data/b.csv", "submission.json"] and z.testzip() is None
+        assert [r["id"] for r in json.loads(z.read("submission.json"))] == [1, 2]
+    for path in (str(single), str(tmp_path / "p")):
+        records, csvs = reports.read_package(spark, path)
+        assert [json.loads(r[0])["relevant_docs"] for r in records.collect()] == [["d"], ["d"]]
+        assert {r["file"]: r["rows"] for r in csvs.collect()} == {"data/a.csv": [["h", "é"], ["1", 'x,"y']], "data/b.csv": [["h"]]}
+    emit.package(answers, files, str(tmp_path / "p"))
+    assert reports.read_package(spark, str(tmp_path / "p"))[1].count() == 2 and not single.exists()
+
+
+def test_archives(spark, tmp_path):
+    """Ranges, appending, empty writes, damaged members, and writes that fail, of which nothing stays."""
+    path = str(tmp_path / "z")
+    rows = [(f"d/{i}.bin", bytes([i % 256]) * (i * 500)) for i in range(60)]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(4)
+    archives.write(df, path)
+    spark.dataSource.register(archives.ZipSource)
+    got = spark.read.format("zip_archive").option("range_bytes", 100).load(path)
+    assert sorted((r["name"], bytes(r["content"])) for r in got.collect()) == sorted(rows) and got.rdd.getNumPartitions() > 10
+    archives.write(df.limit(1).withColumn("name", F.lit("more")), path, overwrite=False)
+    assert archives.read(spark, path).count() == 61
+    fails = df.withColumn("name", F.when(F.col("name") == "d/59.bin", F.raise_error(F.lit("no"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="no"):
+        archives.write(fails, path)
+    assert archives.read(spark, path).count() == 61 and not [f for f in (tmp_path / "z").iterdir() if f.name.startswith("_write")]
+    archives.write(df.limit(0), path)
+    assert archives.read(spark, path).count() == 0
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
+        z.writestr("plain", b"stored" * 9)
+        z.mkdir("folder")
+    assert [tuple(r) for r in archives.read(spark, str(tmp_path / "s.zip")).collect()] == [("s.zip", "plain", b"stored" * 9)]
+    raw = (tmp_path / "s.zip").read_bytes()
+    (tmp_path / "bad.zip").write_bytes(raw.replace(b"storedstored", b"sturedstored", 1))
+    with pytest.raises(Exception, match="damaged"):
+        archives.read(spark, str(tmp_path / "bad.zip")).collect()
+
+
+def test_grid_store(spark, tmp_path):
+    rows = [(f"d{i:03}", k, f"grid {i} {k}") for i in range(200) for k in (1, 2)] + [("d000", 1, "grid 0 0"), (None, 1, "none")]
+    grid_store.save(spark.createDataFrame(rows, "doc_id string, table_idx int, grid string"), str(tmp_path / "g"), file_rows=50)
+    keys = spark.createDataFrame([("d000", 1), ("d150", 2), ("d150", 2), ("zz", 1), (None, 1)], "doc_id string, table_idx int")
+    got = grid_store.fetch(spark, str(tmp_path / "g"), keys, ["grid"])
+    assert sorted(tuple(r) for r in got.collect()) == [("d000", 1, "grid 0 0"), ("d150", 2, "grid 150 2")]
+    assert "PushedFilters: [In(doc_id" in got._jdf.queryExecution().executedPlan().toString()
+    for x in pq.ParquetFile(next(str(f) for f in (tmp_path / "g").iterdir() if f.suffix == ".parquet")).metadata.to_dict()["row_groups"]:
+        assert x["num_rows"] <= 50
+    monkey = grid_store.MOST_KEYS
+    grid_store.MOST_KEYS = 1
+    try:
+        assert grid_store.fetch(spark, str(tmp_path / "g"), keys, ["grid"]).count() == 2
+    finally:
+        grid_store.MOST_KEYS = monkey
+
+
+def test_ingest_of_versions(spark, tmp_path):
+    """Repeated content is left out, a changed document comes in anew, restarts lose and repeat nothing, as one batch over all files would."""
+    table = "<table><tr><td>{}</td></tr></table>"
+    write = lambda rows: reports.write_files(spark.createDataFrame(rows, "path string, text string"), str(tmp_path / "in"))
+    run = lambda: ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), max_files=2).awaitTermination()
+    state = lambda: {(r["doc_id"], r["grid"][0][0]) for r in ingest.current(spark, str(tmp_path / "out"))[1].collect()}
+    assert write([(f"T/2020/d{i}/x_extracted.txt", table.format(i)) for i in range(5)]) == 5
+    run()
+    assert state() == {(f"d{i}", str(i)) for i in range(5)}
+    run()  # nothing new
+    os.utime(tmp_path / "in/T/2020/d0/x_extracted.txt", (1, 1))
+    time.sleep(1.1)
+    write([("T/2020/d0/later_extracted.txt", table.format("new")), ("U/2020/d1/x_extracted.txt", table.format(1)), ("T/2020/d9/x_extracted.txt", table.format(9) * 2)])
+    run()
+    assert state() == {("d0", "new"), *((f"d{i}", str(i)) for i in (1, 2, 3, 4)), ("d9", "9")}
+    docs = ingest.current(spark, str(tmp_path / "out"))[0]
+    assert docs.count() == 6 and docs.where("doc_id = 'd9'").first()["n_tables"] == 2
+    assert spark.read.parquet(str(tmp_path / "out/docs")).count() == 7
+
+
+def test_order_statistics(spark):
+    rnd = random.Random(2)
+    for values in ([5.0], [1.0, 1.0, 1.0, 2.0], [rnd.gauss(0, 1e6) for _ in range(3000)], [1e300, -1e300, 0.0, 1e-300, 1e-300], [float(i // 7) for i in range(500)], [1.0, 1.0 + 2**-52, 1.0 + 2**-51]):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
+        ranks = sorted({0, len(values) // 3, len(values) // 2, len(values) - 1})
+        assert quality.order_statistics(df, "x", ranks) == {r: sorted(values)[r] for r in ranks}
+    assert quality.quantiles(df.limit(0), "x", [0.5]) == [None]
+    with pytest.raises(ValueError, match="ranks"):
+        quality.order_statistics(df, "x", [99])
+
+
+def test_label_lookup_plans(spark):
+    rows = "array(array(struct(' Doanh thu ' AS label, map('nam', 1.5D) AS cells), struct('Lãi' AS label, map('nam', 2D) AS cells), struct('Doanh thu' AS label, map('nam', 3D) AS cells)))"
+    df = spark.sql(f"SELECT {rows} AS rows, array(7D) AS cells")
+    for nth, want in ((0, 1.5), (1, 3.0), (2, None)):
+        plan = ir.from_cell(0, "Doanh thu", "nam", nth, 1.0)
+        assert ir.validate(plan) == []
+        assert [x for x in df.select(ir.value(plan, F.col("cells"), F.col("rows")), F.expr(ir.to_sql(plan))).first()] == [want, want]
+    for plan in (ir.from_cell(0, "Không", "nam", 0), ir.from_cell(0, "Lãi", "cot", 0), ir.from_cell(3, "Lãi", "nam", 0)):
+        assert df.select(ir.value(plan, F.col("cells"), F.col("rows"))).first()[0] is None
+    both = {"node": "arith", "op": "+", "of": [{"node": "cell", "index": 0}, ir.from_cell(0, "it's", "nam", 0, 2.0, True)]}
+    assert df.select(F.expr(ir.to_sql(both))).first()[0] is None and ir.validate(both) == []
+    assert ir.validate({"node": "lookup", "table": 0, "label": "x", "column": "c", "nth": -1}) and ir.validate({"node": "lookup", "label": "x"})
+
+
+def test_worth_adding(spark):
+    df = spark.createDataFrame([(0.3, 2, 2, 3), (0.1, 2, 2, 3)], "p double, h int, g int, k int")
+    assert [r[0] for r in df.select(numbers.worth_adding(*map(F.col, "phgk"))).collect()] == [True, False]
 
 
 def test_missing_position_gives_no_reference(spark):
@@ -183,7 +286,9 @@ def test_no_documents_means_all_tables(spark):
     ir_ = spark.createDataFrame([(1,), (2,)], "qid int")
     meta = spark.createDataFrame([(10, "a"), (11, "b")], "id int, doc_id string")
     docs = spark.createDataFrame([(1, "a"), (1, "gone")], "qid int, doc_id string")
-    assert sorted(map(tuple, retrieve.candidates(ir_, meta, docs).collect())) == [(1, 10), (2, 10), (2, 11)]
+    index = bm25.build(spark.createDataFrame([(10, "x"), (11, "y")], "id long, text string"))
+    base = retrieve.base_scores(ir_.withColumn("retrieval_query", F.lit("x")), meta, index, docs)
+    assert sorted((r["qid"], r["id"]) for r in base.collect()) == [(1, 10), (2, 10), (2, 11)]
 
 
 def test_fusion_weight_zero_is_off(spark):
