@@ -107,10 +107,20 @@ QUESTIONS = {
 }
 
 
-def questions(spark: SparkSession, kind: str) -> DataFrame:
-    """(id, question): one a company N00…N22 (with the next two) for the years 2017 and 2019."""
-    rows = []
-    for k in range(23):
-        a, b, c = (f"N{k + i:02d}" for i in range(3))
-        rows.append((k, QUESTIONS[kind].format(a=a, b=b, c=c, y=2017, z=2019 if kind != "growth" else 2018)))
-    return spark.createDataFrame(rows, "id int, question string")
+#: Companies whose next two are companies too, so that a question can name three.
+LAST_FIRST = 22
+
+
+def questions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(id, question): one for each company up to LAST_FIRST, with the next two, and each of its years {y}; {z} is two years on, for growth one. id: company * 10000 + year."""
+    k = F.substring("ticker", 2, 9).cast("int")
+    t = truth(spark, sf_dir).select("ticker", "year").where(k <= LAST_FIRST)
+    name = lambda i: F.concat(F.lit("N"), F.lpad((k + i).cast("string"), 2, "0"))
+    out = F.lit(QUESTIONS[kind])
+    for mark, by in (("{a}", name(0)), ("{b}", name(1)), ("{c}", name(2)), ("{y}", F.col("year").cast("string")), ("{z}", (F.col("year") + (1 if kind == "growth" else 2)).cast("string"))):
+        out = F.replace(out, F.lit(mark), by)
+    return t.select((k * 10_000 + F.col("year")).cast("int").alias("id"), out.alias("question"))
+
+
+#: The same ids and names in DuckDB SQL, after TRUTH_SQL: q (qid, a, b, c, y).
+QUESTIONS_SQL = f"q AS (SELECT CAST(k * 10000 + year AS INTEGER) AS qid, ticker AS a, 'N' || lpad(CAST(k + 1 AS VARCHAR), 2, '0') AS b, 'N' || lpad(CAST(k + 2 AS VARCHAR), 2, '0') AS c, year AS y FROM (SELECT *, CAST(substr(ticker, 2) AS INTEGER) AS k FROM truth) WHERE k <= {LAST_FIRST})"

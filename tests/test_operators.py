@@ -312,7 +312,7 @@ def test_typeless_and_nearest(spark):
 
 
 def test_alignment_uses_one_label(spark, report_facts, sf):
-    irs = questions.parse(statements.questions(spark, "sum"), statements.companies(spark, sf))
+    irs = questions.parse(statements.questions(spark, sf, "sum"), statements.companies(spark, sf))
     hits = lookup.lookup_per_target(irs, report_facts, 6)
     assert lookup.vote(hits).where("n < 2").count() == 0
     assert lookup.lookup_aligned(irs, report_facts).groupBy("qid").agg(F.countDistinct("label").alias("n")).where("n <> 1").count() == 0
@@ -327,7 +327,7 @@ def test_growth_in_money_is_a_difference(spark, report_facts, sf):
 
 
 def test_relaxed_location_takes_the_first_table(spark, report_docs, sf):
-    irs = questions.parse(statements.questions(spark, "ratio_ab"), statements.companies(spark, sf)).where("qid = 0").withColumns({"retrieval_query": F.lit("DOANH THU THUAN"), "years": F.array(F.lit(2040))})
+    irs = questions.parse(statements.questions(spark, sf, "ratio_ab"), statements.companies(spark, sf)).where("qid = 2017").withColumns({"retrieval_query": F.lit("DOANH THU THUAN"), "years": F.array(F.lit(2040))})
     t = reports.tables(report_docs).where("doc_id = 'N00_2018_consolidated'").withColumns({"qid": F.lit(irs.first()["qid"]), "place": F.col("table_idx")})
     got = locate.locate_best(irs, t).first()
     assert got["relaxed"] and got["table_idx"] == 2
