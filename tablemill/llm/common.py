@@ -27,8 +27,10 @@ _M1, _M2, _M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one under the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master without it (tests), one under the warehouse."""
     own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not own:
         own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return own.rstrip("/")

@@ -1,9 +1,9 @@
 """Media columns: a Spark data source over archives of small media files.
 
-An archive is members one after another, then a directory (a JSON line a member: name, offset, length, CRC-32, attributes), then
-a fixed trailer that says where the directory starts. The source plans byte ranges over the archives from their sizes
-alone; the reader of a range takes from the directory the members that start in it, and fetches each by its offset,
-retrying a member without touching the others. Members are read into Arrow batches of bounded size.
+An archive is members one after another, then a directory (a JSON line a member: name, offset, length, CRC-32, attributes), an index of
+fixed width over it (each member's offset and its line's) and a trailer that says where they start. The source plans byte ranges over the
+archives from their sizes alone; the reader of a range finds the members that start in it by binary search in the index, reads their lines of the
+directory and fetches each by its offset, retrying a member without touching the others. Members are read into Arrow batches of bounded size.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import column, open_fs, scratch_path, text_chunks
 
-TRAILER = struct.Struct("<8sQQ")
-MAGIC = b"MEDIAARC"
+#: Magic, members, starts of the directory and of the index; an index entry: the offsets of a member and of its line.
+TRAILER, ENTRY = struct.Struct("<8sQQQ"), struct.Struct("<QQ")
+MAGIC = b"MEDIAAR2"
 WIDTH = 64
 #: Bytes a planned range has, bytes an Arrow batch holds, and tries a member gets.
 RANGE_BYTES, BATCH_BYTES, TRIES = 8 << 20, 8 << 20, 3
@@ -70,27 +71,50 @@ def read_png(data: bytes) -> bytes:
 
 class ArchiveWriter:
     def __init__(self, fs: pafs.FileSystem, path: str):
-        self.out, self.at, self.directory = fs.open_output_stream(path), 0, []
+        self.out, self.at, self.directory, self.offsets = fs.open_output_stream(path), 0, [], []
 
     def add(self, name: str, data: bytes, **attributes) -> int:
-        self.directory.append(json.dumps([name, self.at, len(data), zlib.crc32(data), attributes]))
+        self.directory.append(json.dumps([name, self.at, len(data), zlib.crc32(data), attributes]).encode() + b"\n")
+        self.offsets.append(self.at)
         self.out.write(data)
         self.at += len(data)
         return self.at - len(data)
 
     def close(self) -> None:
-        self.out.write("\n".join(self.directory).encode())
-        self.out.write(TRAILER.pack(MAGIC, self.at, len(self.directory)))
+        lines = self.at + np.cumsum([0, *map(len, self.directory)])
+        self.out.write(b"".join(self.directory))
+        self.out.write(np.stack([np.array(self.offsets, "<u8"), lines[:-1].astype("<u8")], axis=1).tobytes())
+        self.out.write(TRAILER.pack(MAGIC, len(self.directory), self.at, int(lines[-1])))
         self.out.close()
 
 
-def read_directory(source, size: int) -> list[list]:
+def read_directory(source, size: int, start: int = 0, end: int | None = None) -> list[list]:
+    """The directory's entries of the members that start in [start, end); reads their lines and some entries of the index."""
     source.seek(size - TRAILER.size)
-    magic, start, _ = TRAILER.unpack(source.read(TRAILER.size))
+    magic, n, lines, index = TRAILER.unpack(source.read(TRAILER.size))
     if magic != MAGIC:
         raise ValueError("not an archive")
-    source.seek(start)
-    return [json.loads(x) for x in source.read(size - TRAILER.size - start).decode().split("\n") if x]
+
+    def entry(i: int) -> tuple[int, int]:
+        if i == n:
+            return lines, index  # past the last member, and past its line
+        source.seek(index + i * ENTRY.size)
+        return ENTRY.unpack(source.read(ENTRY.size))
+
+    def first(offset: int) -> int:
+        """The first member that starts at the offset or later."""
+        low, high = 0, n
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if entry(mid)[0] < offset else (low, mid)
+        return low
+
+    a, b = first(start), n if end is None else first(end)
+    if a >= b:
+        return []
+    begin, past = entry(a)[1], entry(b)[1]
+    source.seek(begin)
+    return [json.loads(x) for x in source.read(past - begin).decode().split("\n") if x]
 
 
 def write_archives(df: DataFrame, folder: str) -> DataFrame:
@@ -142,33 +166,53 @@ class ArchiveReader(DataSourceReader):
         if not partition.path:
             return
         fs, _ = open_fs(self.folder)
-        with fs.open_input_file(partition.path) as source:
-            members = [m for m in read_directory(source, partition.size) if partition.start <= m[1] < partition.end]
-        held, rows = 0, []
-        for name, offset, length, crc, attributes in members:
-            data, error = fetch(fs, partition.path, offset, length, crc)
-            rows.append((partition.path.rpartition("/")[2], name, offset, attributes.get("doc_id"), attributes.get("n_bytes"), data, error))
-            held += length
-            if held >= BATCH_BYTES:
+        handle = Handle(fs, partition.path)
+        try:
+            held, rows = 0, []
+            for name, offset, length, crc, attributes in read_directory(handle.open(), partition.size, partition.start, partition.end):
+                data, error = fetch(handle, offset, length, crc)
+                rows.append((partition.path.rpartition("/")[2], name, offset, attributes.get("doc_id"), attributes.get("n_bytes"), data, error))
+                held += length
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    held, rows = 0, []
+            if rows:
                 yield _batch(rows)
-                held, rows = 0, []
-        if rows:
-            yield _batch(rows)
+        finally:
+            handle.close()
+
+
+class Handle:
+    """An archive opened once for all members of a range; after a fault it is opened anew."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.fs, self.path, self.source = fs, path, None
+
+    def open(self):
+        if self.source is None:
+            self.source = self.fs.open_input_file(self.path)
+        return self.source
+
+    def close(self) -> None:
+        source, self.source = self.source, None
+        if source is not None:
+            source.close()
 
 
-def fetch(fs: pafs.FileSystem, path: str, offset: int, length: int, crc: int, tries: int = TRIES) -> tuple[bytes | None, str | None]:
+def fetch(handle: Handle, offset: int, length: int, crc: int, tries: int = TRIES) -> tuple[bytes | None, str | None]:
     """One member by its offset; (None, what went wrong) after the last try."""
     error = None
     for k in range(tries):
         try:
-            with fs.open_input_file(path) as source:
-                source.seek(offset)
-                data = source.read(length)
+            source = handle.open()
+            source.seek(offset)
+            data = source.read(length)
             if zlib.crc32(data) == crc:
                 return data, None
             error = "checksum"
         except OSError as e:
             error = str(e)
+        handle.close()
         if k + 1 < tries:
             time.sleep(0.05 * 2**k)
     return None, error

@@ -53,7 +53,8 @@ def write_token_files(df: DataFrame, folder: str, ranks_path: str, pattern: str,
 def plan_blocks(spark: SparkSession, folder: str, files: list[str] | None, width: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (file, file_no, block, start, end): whole ids, from the files' sizes alone."""
     fs, root = open_fs(folder)
-    found = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.type == pafs.FileType.File and (files is None or f.base_name in set(files))]
+    wanted = None if files is None else set(files)
+    found = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.type == pafs.FileType.File and (wanted is None or f.base_name in wanted)]
     found.sort(key=lambda f: f.path)
     step = max(width, block_bytes // width * width)
     sizes = spark.createDataFrame([(f.path, i, f.size) for i, f in enumerate(found)], "file string, file_no int, size long")
@@ -79,16 +80,16 @@ def separator_scan(spark: SparkSession, folder: str, end_id: int, files: list[st
                 ends = np.flatnonzero(ids == end_id).astype(np.int64) + start // width
                 yield pa.RecordBatch.from_arrays([pa.array([file_no], pa.int32()), pa.array([block], pa.int64()), pa.array([start // width], pa.int64()), pa.array([start // width + len(ids)], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))], ["file_no", "block", "first", "past", "ends"])
 
-    blocks = plan_blocks(spark, folder, files, width, block_bytes).mapInArrow(scan, "file_no int, block long, first long, past long, ends array<long>")
-    # the prefix scan: what earlier blocks of the file hold, from a summary of a few numbers a block
+    blocks = materialise(plan_blocks(spark, folder, files, width, block_bytes).mapInArrow(scan, "file_no int, block long, first long, past long, ends array<long>"), "blocks")
+    # the prefix scan: what earlier blocks of the file hold, from a summary of a few numbers a block; the blocks' own ids stay where they are
+    last_of = lambda n: F.when(F.col(n) > 0, F.element_at("ends", F.greatest(n, F.lit(1))))
+    summary = blocks.withColumn("n", F.size("ends")).select("file_no", "block", "n", last_of("n").alias("last"))
     before = Window.partitionBy("file_no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file_no")
-    blocks = blocks.withColumn("n", F.size("ends")).select(
-        "file_no", "ends",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("docs_before"),
-        F.coalesce(F.max(F.when(F.col("n") > 0, F.element_at("ends", F.greatest("n", F.lit(1))))).over(before) + 1, F.lit(0)).alias("open_from"),
-        (F.max("block").over(whole) == F.col("block")).alias("is_last"), "past",
+    summary = summary.select(
+        "file_no", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("docs_before"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("open_from"),
+        (F.max("block").over(Window.partitionBy("file_no")) == F.col("block")).alias("is_last"),
     )
+    blocks = blocks.join(summary, ["file_no", "block"])
     tail = F.when(F.col("is_last") & (F.col("past") > F.when(F.size("ends") > 0, F.element_at("ends", F.greatest(F.size("ends"), F.lit(1))) + 1).otherwise(F.col("open_from"))), F.array("past"))
     stops = F.concat("ends", F.coalesce(tail, F.array().cast("array<long>")))
     starts = F.concat(F.array("open_from"), F.transform("ends", lambda e: e + 1))
@@ -100,6 +101,7 @@ def count_tokens(df: DataFrame, ranks_path: str, pattern: str, end_id: int) -> D
     """Write the documents as flat token files in the shared folder and count each one's tokens from the files alone.
 
     Per row of (doc_id, text): doc_id, from a side table by file and doc_no, and what separator_scan gives. Repeated and null ids are kept.
+    Null and empty texts have no tokens; texts are encoded whole, however long; other columns are ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
     folder = scratch_path(spark, "tokens")

@@ -585,6 +585,16 @@ def test_token_counts_odd_rows(odd, empty):
     assert tokencount.count_tokens(empty, ranks, P.PATTERN, 50256).count() == 0
 
 
+def test_token_counts_by_tiktoken(spark, sf, docs):
+    """The table's counts, each by the library on the whole text."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("multi", pat_str=P.PATTERN, mergeable_ranks={x: i for i, x in enumerate(bpe.read_ranks(path))}, special_tokens={})
+    got = {r["doc_id"]: r["n_tokens"] for r in run(spark, sf, "op8_token_counts").collect()}
+    assert got == {d: len(enc.encode_ordinary(t or "")) for d, t in docs}
+
+
 def test_token_counts_by_document(spark, sf, docs, odd):
     ranks = P.path("byte_bpe_multi_50k.tiktoken")
     enc = bpe.SentencePieceBpe(ranks, P.PATTERN)
