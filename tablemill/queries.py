@@ -982,6 +982,21 @@ golden(
     [("{s},b,c,nam_2020,{n}", 4, "{s},b,nam_2020,c"), ("{s},b", 4, "{s},b"), ("{s},b,c,d,{n}", 3, "{s},b,c")],
     {"kept": "string"}, lambda d: {"kept": F.array_join(prompts.pick_columns(F.split(d["columns"], ","), F.array(F.lit(2020)), d["budget"]), ",")},
 )
+@query(f"""WITH {statements.TRUTH_SQL}, {statements.QUESTIONS_SQL}, e AS (SELECT qid, count(*) AS n FROM q JOIN truth ON ticker = a AND year = y GROUP BY 1)
+SELECT qid, CAST(2 * n AS INTEGER) AS n_tables, CAST(30 AS INTEGER) AS n_rows, 'CÂU HỎI: Doanh thu thuần cao nhất của ' || a || ' trong giai đoạn ' || y || '-' || (y + 2) || ' là bao nhiêu đồng?' AS first_line, CAST(4 * n AS BIGINT) AS quotes, 'chi_tieu,ma_so,nam_' || y || ',nam_' || (y - 1) AS flow_header, true AS whole FROM q JOIN e USING (qid)""")
+def prompts_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's prompt with the tables of its first year's report, in one job; characters stand in for tokens."""
+    ir = _irs(spark, sf_dir, "max")
+    t = emit.evidence(_tables(spark, sf_dir)).join(_tables(spark, sf_dir).select("doc_id", "table_idx", "ticker", "year"), ["doc_id", "table_idx"])
+    mine = ir.select("qid", F.get("tickers", F.lit(0)).alias("ticker"), F.get("years", F.lit(0)).alias("year")).join(t, ["ticker", "year"])
+    made = prompts.assemble(prompts.inputs(ir, mine.withColumn("place", F.col("table_idx"))), lambda: lambda lines: [len(x) + 1 for x in lines], 20_000)
+    header = F.regexp_extract("prompt", r"(?s)df2 .*?```csv\n(.*?)\n", 1)
+    return made.select(
+        F.col("qid").cast("int").alias("qid"), "n_tables", "n_rows", F.split("prompt", "\n")[0].alias("first_line"), F.regexp_count("prompt", F.lit("```")).cast("long").alias("fences"), header.alias("flow_header"),
+        (F.length("prompt") + 1 == F.col("size")).alias("whole"),
+    ).withColumnRenamed("fences", "quotes")
+
+
 golden(
     "fenced_code", "answer string",
     [("{w} ```python\ndf{n}\n``` y", "df{n}"), ("df1 + {n}", "df1 + {n}"), ("```\n{w}\n```\n```\nb\n```", "{w}")],

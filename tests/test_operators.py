@@ -380,12 +380,54 @@ def test_prompts(spark):
     rows = spark.createDataFrame([(1, 1, i, "doanh thu" if i == 30 else f"khac {i}", "DOANH THU") for i in range(40)], "qid int, table int, row int, label string, query string")
     kept = sorted(r["row"] for r in prompts.pick_rows(rows, 10).collect())
     assert len(kept) == 10 and set(range(8)) <= set(kept) and 30 in kept and prompts.pick_rows(rows, 99).count() == 40
-    build = lambda t, n: "x" * (t * n)
-    assert prompts.fit(build, 4, len, 60) == "x" * 56 and prompts.fit(build, 4, len, 1000) == "x" * 120 and prompts.fit(build, 2, len, 3) == "x" * 10
     p = one(spark, prompts.preview(F.array(F.lit("a")), F.array(F.array(F.lit("v" * 99))), F.lit(5)))
     assert p == "a\n" + "v" * 60 + "\n... 1 of 5 rows"
 
 
+def render_and_count(head, tables, years, k, n):
+    """A prompt of the first k tables with n rows each, from the definition, and its size."""
+    lines = list(head)
+    for number, t in enumerate(tables[:k], 1):
+        own = prompts.chosen_columns(t["columns"], years)
+        first = list(range(min(8, len(t["rows"]))))
+        rest = sorted(range(8, len(t["rows"])), key=lambda i: (-t["scores"][i], i))
+        keep = set((first + rest)[:n])
+        lines += [f"### df{number}   ({t['file']})", "```csv", prompts.csv_line([t["columns"][i] for i in own])]
+        lines += [prompts.csv_line([r[i] if i < len(r) else "" for i in own]) for j, r in enumerate(t["rows"]) if j in keep]
+        lines += [f"… {n} of {len(t['rows'])} rows; df{number} holds all of them"] if n < len(t["rows"]) else []
+        hidden = [c for i, c in enumerate(t["columns"]) if i not in own]
+        lines += ([f"… {len(hidden)} more columns: {', '.join(hidden)}"] if hidden else []) + ["```"]
+    lines += [prompts.more_tables(len(tables) - k)] if k < len(tables) else []
+    return "\n".join(lines), sum(len(x) // 3 + 1 for x in lines)
+
+
+def test_prompts_fit_as_rendered():
+    rnd = random.Random(4)
+    count = lambda lines: [len(x) // 3 + 1 for x in lines]
+    for _ in range(60):
+        tables = []
+        for t in range(rnd.randint(0, 5)):
+            columns = [f"c{i}" if rnd.random() < 0.7 else f"nam_{2018 + i % 4}" for i in range(rnd.choice([2, 5, 12, 13, 20]))]
+            rows = [["x" * rnd.randint(0, 90) + rnd.choice(["", ",", '"', "\n"]) for _ in columns[: rnd.randint(1, len(columns))]] for _ in range(rnd.choice([0, 3, 10, 11, 25, 40]))]
+            tables.append({"file": f"f{t}.csv", "columns": columns, "rows": rows, "scores": [rnd.random() for _ in rows]})
+        head, years, k = ["CÂU HỎI: ?", ""], [2019], len(tables)
+        for budget in (0, 100, 400, 1500, 5000, 10**6):
+            tried = [(k, n) for n in prompts.ROWS] + [(i, prompts.ROWS[-1]) for i in range(k - 1, 0, -1)]
+            want = next(((*render_and_count(head, tables, years, *x), *x) for x in tried if render_and_count(head, tables, years, *x)[1] <= budget), None)
+            if want is None:
+                last = (min(1, k), prompts.LAST_ROWS)
+                want = (*render_and_count(head, tables, years, *last), *last)
+            prompt, n_tables, n_rows, size = prompts.fit(head, tables, years, count, budget)
+            assert (prompt, size, n_tables, n_rows) == want
+
+
+def test_prompt_counts_each_line_once():
+    seen = []
+    table = {"file": "f", "columns": ["a", "b"], "rows": [[f"r{i}", "1"] for i in range(40)], "scores": [0.0] * 40}
+    prompts.fit(["head"], [table] * 3, [], lambda lines: [seen.append(x) or 10 for x in lines], 50)
+    assert sum(x.startswith("r") for x in seen) == 120
+
+
 def test_patches(spark, tmp_path):
     base = spark.createDataFrame([(1, 10.0, ["a", "b"]), (2, 5.0, ["a"]), (3, 1.0, ["a"])], "id int, answer double, evidence array<string>")
     new = spark.createDataFrame([(1, 11.0, ["a"], 10.0), (2, float("nan"), None, None)], "id int, new_answer double, seen array<string>, rule_answer double")
