@@ -314,11 +314,19 @@ golden(
 )
 
 
-@query(_DOCS_SQL + " SELECT doc_id, 'consolidated' AS stmt, length(passage) > 0 AS some, contains(passage, 'BANG CAN DOI KE TOAN') AS sheet FROM (SELECT doc_id, 'BANG CAN DOI KE TOAN' AS passage FROM docs UNION ALL SELECT doc_id, 'KET QUA' FROM docs)")
+def _passage_sql() -> str:
+    unit = packs.UNIT_WORDS.get(1.0, "")
+    heads = {"CDKT": "'Chỉ tiêu Mã số 31/12/' || year || ' 01/01/' || year", "KQKD": "'Chỉ tiêu Mã số Năm ' || year || ' Năm ' || (year - 1)"}
+    captions = {"CDKT": "BẢNG CÂN ĐỐI KẾ TOÁN | Mẫu số B 01 – DN | Đơn vị tính: VND", "KQKD": "Đơn vị tính: VND | BÁO CÁO KẾT QUẢ HOẠT ĐỘNG KINH DOANH | Đơn vị tính: VND"}
+    texts = {s: f"ticker || ' ' || year || ' consolidated {s} {packs.SECTION_WORDS.get(s, '')} {unit}' || chr(10) || '{captions[s]}' || chr(10) || {heads[s]} || chr(10) || '{' ; '.join(x[2] for x in statements.LINES if x[0] == s)}'" for s in heads}
+    return _DOCS_SQL + " " + " UNION ALL ".join(f"SELECT doc_id, CAST({i} AS INTEGER) AS table_idx, md5({t}) AS passage_md5 FROM docs" for i, t in enumerate(texts.values(), 1))
+
+
+@query(_passage_sql())
 def table_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     p = grids.passage(c("ticker"), c("year"), c("stmt_type"), c("section"), c("unit_scale"), c("caption"), c("grid"), c("n_header_rows"))
-    return _tables(spark, sf_dir).select("doc_id", F.col("stmt_type").alias("stmt"), (F.length(p) > 0).alias("some"), F.contains(p, F.lit("BANG CAN DOI KE TOAN")).alias("sheet"))
+    return _tables(spark, sf_dir).select("doc_id", "table_idx", F.md5(p).alias("passage_md5"))
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type IN ('error', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events")
@@ -936,22 +944,29 @@ golden(
 )
 
 
-@query("SELECT o_orderkey AS id, count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_totalprice < 1000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY 1")
+@query("""WITH o AS (SELECT o_orderkey AS id, * FROM orders UNION ALL SELECT o_orderkey, * FROM orders WHERE o_orderkey % 10 = 0),
+e AS (SELECT id, 'repeated id' AS error FROM (SELECT id FROM o GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT id, 'answer is not a number' FROM o WHERE o_totalprice < 1000 OR id % 17 = 0 UNION ALL SELECT id, 'no tables' FROM o WHERE o_orderstatus = 'P'
+UNION ALL SELECT id, 'malformed reference' FROM o WHERE o_orderstatus <> 'P' AND id % 7 = 1 UNION ALL SELECT id, 'path outside data/' FROM o WHERE id % 11 = 2 UNION ALL SELECT id, 'missing file' FROM o WHERE id % 11 = 2 OR id % 13 = 3 UNION ALL SELECT id, 'blank query' FROM o WHERE o_orderpriority LIKE '1%')
+SELECT id, error, count(*) AS n FROM e GROUP BY ALL""")
 def submission_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    """Every rule over orders as answers, some of them twice."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    o = o.unionAll(o.where(key % 10 == 0))
+    path = F.when(key % 11 == 2, "tmp/a.csv").when(key % 13 == 3, "data/gone.csv").otherwise("data/a.csv")
     answers = o.select(
-        F.col("o_orderkey").alias("id"), F.when(F.col("o_totalprice") < 1000, F.lit(None)).otherwise(F.col("o_totalprice")).alias("answer"),
-        F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>")).otherwise(F.array(F.lit("d|1"))).alias("relevant_tables"),
-        F.array(F.struct(F.lit("df1").alias("variable"), F.lit("data/a.csv").alias("csv_path"))).alias("evidence"), F.when(F.col("o_orderpriority").startswith("1"), " ").otherwise("x").alias("query"),
+        key.alias("id"), F.when(F.col("o_totalprice") < 1000, F.lit(None)).when(key % 17 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("answer"),
+        F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>")).when(key % 7 == 1, F.array(F.lit("d1"))).otherwise(F.array(F.lit("d|1"))).alias("relevant_tables"),
+        F.array(F.struct(F.lit("df1").alias("variable"), path.alias("csv_path"))).alias("evidence"), F.when(F.col("o_orderpriority").startswith("1"), " ").otherwise("x").alias("query"),
     )
     files = spark.createDataFrame([("a.csv",)], "file string")
-    return emit.validate(answers, files).groupBy("id").agg(F.count("*").alias("n"))
+    return emit.validate(answers, files).groupBy("id", "error").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, array_to_string(list_transform(list_sort(list(p)), lambda x: x.r), ',') AS roles FROM (SELECT conv_id, {'m': min(turn), 'r': role} AS p FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("x"))
-    return c.select("conv_id", F.array_join(F.array_distinct(F.transform("x", lambda t: t["role"])), ",").alias("roles"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda t: t["role"]).alias("roles"))
+    r = emit.records(c.select(F.col("conv_id").alias("id"), F.col("roles").alias("relevant_docs"), F.col("roles").alias("relevant_tables")))
+    return r.select(F.col("id").alias("conv_id"), F.array_join("relevant_docs", ",").alias("roles"))
 
 
 @query("SELECT event_type AS route, count(*) AS n, round(avg(abs(value)), 4) AS mean_abs FROM events GROUP BY 1")
@@ -964,10 +979,13 @@ def json_struct_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT p_partkey, p_name || '|' || CAST(p_size AS VARCHAR) AS ref, CAST(len(list_distinct([p_partkey, p_size])) AS INTEGER) AS n_refs FROM part")
+@query("SELECT p_partkey, p_name || '|' || CAST(p_size AS VARCHAR) AS ref, array_to_string(list_transform(list_sort(list_distinct(list_filter([p_partkey, p_size, p_partkey % 7, CASE WHEN p_size % 5 <> 0 THEN p_partkey * 3 END], lambda x: x IS NOT NULL))), lambda x: p_name || '_extracted|' || CAST(x AS VARCHAR)), ';') AS refs FROM part")
 def table_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("doc_id"), F.col("p_partkey").alias("table_idx"), F.col("p_size").cast("long").alias("line_no"), F.lit(None).cast("long").alias("page_no"), F.lit(None).cast("long").alias("char_start"))
-    return p.select("p_partkey", emit.table_ref("line_no").alias("ref"), F.size(emit.table_refs()).alias("n_refs"))
+    """All four encodings of a position, some the same, one missing for every fifth size."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("doc_id"), key.alias("table_idx"), size.alias("line_no"), (key % 7).alias("page_no"), F.when(size % 5 != 0, key * 3).alias("char_start"))
+    by_number = F.array_sort(emit.table_refs("file_stem"), lambda a, b: (F.substring_index(a, "|", -1).cast("long") - F.substring_index(b, "|", -1).cast("long")).cast("int"))
+    return p.select("p_partkey", emit.table_ref("line_no").alias("ref"), F.array_join(by_number, ";").alias("refs"))
 
 
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
