@@ -906,13 +906,13 @@ def label_lookup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", *(F.round(F.when(made[k].eqNullSafe(said[k]), made[k]).otherwise(F.raise_error(F.lit("compiled and said differ"))), 4).alias(k) for k in plans))
 
 
-@query("SELECT 'price' AS of_, count(*) AS n, quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.999) AS p999 FROM lineitem UNION ALL SELECT 'quantity', count(*), quantile_cont(l_quantity, 0.1), quantile_cont(l_quantity, 0.5), quantile_cont(l_quantity, 0.999) FROM lineitem")
+@query("SELECT 'price' AS of_, count(*) AS n, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999 FROM lineitem UNION ALL SELECT 'quantity', count(*), round(quantile_cont(l_quantity, 0.1), 6), round(quantile_cont(l_quantity, 0.5), 6), round(quantile_cont(l_quantity, 0.999), 6) FROM lineitem")
 def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles by histograms, no values sorted or gathered."""
     li, out = table(spark, sf_dir, "lineitem"), None
     for name, column in (("price", "l_extendedprice"), ("quantity", "l_quantity")):
         own = quality.quantiles(li, column, [0.1, 0.5, 0.999])
-        row = li.agg(F.lit(name).alias("of_"), F.count("*").alias("n")).select("of_", "n", *(F.lit(v).cast("double").alias(k) for k, v in zip(("p10", "median", "p999"), own)))
+        row = li.agg(F.lit(name).alias("of_"), F.count("*").alias("n")).select("of_", "n", *(F.round(F.lit(v).cast("double"), 6).alias(k) for k, v in zip(("p10", "median", "p999"), own)))
         out = row if out is None else out.unionAll(row)
     return out
 
