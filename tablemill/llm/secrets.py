@@ -32,15 +32,15 @@ LEAST_MIXED, LEAST = 8, 12
 #: From LEAST characters on a run that no language writes (letters with digits, or capitals inside) may have so many times the bound.
 ODD_SHARE = 1.1
 #: Plain words of LEAST characters or more need this much more: bits per character by the ranks of their tokens (log2 of the rank, a vocabulary's guess at
-#: how rare a token is). Invented words of frequent syllables have as few characters per token as random letters have, but frequent tokens.
-WORD_BITS = 5.05
+#: how rare a token is). Invented words of frequent syllables have as few characters per token as random letters have, but frequent tokens. Words that are half vowels are left to language.
+WORD_BITS = 4.95
 #: Digests by their hex length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})$")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")
 #: Identifiers: words and numbers joined by marks, such as table_12_of_34, 2021-04-03-release, a host, a path or a mail address.
-_PART = r"(?:[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+[a-z]?)"
+_PART = r"(?:[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+[A-Za-z]?[0-9]*)"
 _IDENTIFIER = re.compile(rf"{_PART}(?:[^A-Za-z0-9]+{_PART})+$")
-_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+_LETTER, _DIGIT, _VOWEL = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]"), re.compile(r"[AEIOUaeiou]")
 _PLAIN, _CAPITALS = re.compile(r"[A-Z]?[a-z]+$"), re.compile(r"[A-Z]+$")
 
 Span = tuple[str, int, int]
@@ -100,7 +100,7 @@ class Scanner:
         if letters and _CAPITALS.match(run):
             return len(run) < self.limit * len(ids)
         if letters and _PLAIN.match(run):
-            return len(run) <= self.limit * ODD_SHARE * len(ids) and sum(math.log2(i + 1) for i in ids) >= WORD_BITS * len(run)
+            return len(run) <= self.limit * ODD_SHARE * len(ids) and sum(math.log2(i + 1) for i in ids) >= WORD_BITS * len(run) and 2 * len(_VOWEL.findall(run)) < len(run)
         return len(run) < self.limit * (ODD_SHARE if len(run) >= LEAST else 1) * len(ids)
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
