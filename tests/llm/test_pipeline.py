@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from tablemill.llm import quality, secrets
 from tablemill.llm.queries import PATTERN, RANKS
@@ -41,3 +43,32 @@ def test_stages(spark, sf, tmp_path):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing names and an empty table: every stage keeps the columns, clean documents come through."""
+    def prose(seed, n):
+        rnd = random.Random(seed)
+        return " ".join("".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 3))) for _ in range(n))
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, _row long, __row_key long, runs int, `a.b` int"
+    texts = [None, "", " \n", "short", prose(1, 200), prose(1, 200), prose(3, 30_000), prose(7, 300), "password = 'hunter22x' " + prose(9, 200)]
+    rows = [(i, t, "en", None, None if t is None else len(t), i, None, 1, 2) for i, t in enumerate(texts)]
+    rows += [rows[7], (None, prose(11, 150), None, "s", 1, None, None, None, None)]
+    for part, n in ((rows, 1), ([], 0)):
+        docs = spark.createDataFrame(part, names).repartition(3)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            path = str(tmp_path / f"{name}-{n}")
+            out.write.parquet(path)
+            before, docs = docs, spark.read.parquet(path)
+            if name != "best_fit_packing":
+                assert docs.columns == before.columns and docs.count() <= before.count()
+            if n and name == "quality_rules":
+                assert {r["doc_id"] for r in docs.collect()} >= {4, 5, 6, 7, None}
+            if n and name == "ngram_jaccard_join":
+                ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect())
+                assert (False, 4) in ids and (False, 5) not in ids and ids.count((False, 7)) == 1 and (True, 0) in ids
+            if n and name == "secret_scans":
+                assert docs.where("text like '%hunter22x%'").count() == 0 and docs.where("doc_id = 8 and text like '%[SECRET]%'").count() == 1
+        assert (docs.count() > 0) == bool(n)
