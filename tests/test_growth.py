@@ -1,4 +1,4 @@
-"""What queries shuffle on a larger copy of the documents, their index built anew: less than its postings, which are never moved."""
+"""What queries shuffle on a larger copy of the documents, their index built anew: far fewer records than its postings."""
 
 from __future__ import annotations
 
