@@ -24,7 +24,7 @@ from .common import column, fresh_name, materialise, quoted, text_chunks
 from .pretokens import MemoEncoder
 
 #: Bytes of text that are encoded at once.
-CHUNK = 2 << 20
+CHUNK = 8 << 20
 #: Pieces that a group has about, of those that each length is dealt into, so that a common length is numbered by many tasks; and the fewest groups.
 GROUP_PIECES, LEAST_GROUPS = 100_000, 32
 
@@ -144,22 +144,22 @@ def encoder(tokenizer_path: str, pattern: str) -> MemoEncoder:
         for e in tokenizer.encode_batch_fast(pretokens, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
-    # ids whose token starts with the byte-mapped space; of words in a row each starts with one
+    # ids whose token starts with the byte-mapped space; of parts in a row each starts with one
     starts = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
 
-    def encode_words(words: list[str]) -> Iterator[bytes]:
-        """Words that start with a space, many in one call of the library; each is a pre-token, so its ids are its own."""
-        groups = [words[k : k + 500] for k in range(0, len(words), 500)]
+    def encode_parts(parts: list[str]) -> Iterator[bytes]:
+        """Parts that start with a space and hold no other, many in one call of the library, which cuts before each space."""
+        groups = [parts[k : k + 500] for k in range(0, len(parts), 500)]
         for own, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             cuts = [*(4 * np.flatnonzero(starts[ids])).tolist(), 4 * len(ids)]
             if len(cuts) - 1 != len(own):
-                raise ValueError("words and pre-tokens differ")
+                raise ValueError("parts and spaces differ")
             raw = ids.tobytes()
             for a, b in zip(cuts, cuts[1:]):
                 yield raw[a:b]
 
-    return MemoEncoder(pattern, "tokenizers", encode_many, encode_words)
+    return MemoEncoder(pattern, "tokenizers", encode_many, encode_parts)
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int, capacity: int) -> DataFrame:
@@ -169,17 +169,19 @@ def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = encoder(tokenizer_path, pattern), np.array([end_id], "<u4").tobytes()
+        memo = encoder(tokenizer_path, pattern)
         for batch in batches:
-            for part, texts in text_chunks(batch, limit=CHUNK):
+            for part, _ in text_chunks(batch, limit=CHUNK):
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, ids in enumerate(memo.encode([t.decode() for t in texts])):
-                    ids += end
-                    n = len(ids) // 4
+                ids, each = memo.encode_array(column(part, "text"))
+                ids = np.insert(ids, np.cumsum(each), end_id)
+                raw, at = memoryview(ids).cast("B"), 0
+                for i, n in enumerate((each + 1).tolist()):
                     head = n % capacity or capacity
                     for k, a in enumerate([0, *range(head, n, capacity)]):
                         b = head if not k else a + capacity
-                        rows.append((i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                        rows.append((i, k, a, b - a, zlib.crc32(raw[4 * (at + a) : 4 * (at + b)])))
+                    at += n
                 who = column(part, "doc_id").cast(pa.int64()).take(pa.array([r[0] for r in rows], pa.int64()))
                 cols = [pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.int64()) for j in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays([who, *cols], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -11,10 +11,15 @@ from collections.abc import Callable, Iterable
 from functools import cache
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from .common import starts_of
+
 #: Entries of the memos of parts and of pre-tokens after which what was not looked up since is forgotten, and the longest key that is kept.
-PART_ENTRIES, PIECE_ENTRIES, MEMO_CHARS = 200_000, 50_000, 48
+PART_ENTRIES, PIECE_ENTRIES, MEMO_CHARS = 500_000, 50_000, 48
 #: Marks that follow words.
 MARKS = ".,;:?!"
 
@@ -76,22 +81,98 @@ class Memo(dict):
             self.clear()
 
 
+#: Kinds of bytes where texts are cut.
+LETTER, MARK, SPACE, NEWLINE, SHOWN = 1, 2, 4, 8, 16
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x21:0x7F] = SHOWN
+KINDS[0xC3] = SHOWN  # begins U+00C0 to U+00FF
+for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+    KINDS[_c] |= LETTER
+for _c in MARKS.encode():
+    KINDS[_c] |= MARK
+KINDS[ord(" ")], KINDS[ord("\n")] = SPACE, NEWLINE
+
+
+def parts_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts, one after another, and where each text's begin; texts without nulls.
+
+    Cut is before a space, before a mark between a letter and a space or line end, and around a line end between two shown characters.
+    """
+    if not len(texts):
+        return pa.array([], pa.string()), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if offsets[0] == offsets[-1]:
+        return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64)
+    text = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kind = KINDS[text]
+    cut = kind == SPACE
+    cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    cut[1:-1] |= ((kind[1:-1] & MARK) > 0) & ((kind[:-2] & LETTER) > 0) & ((kind[2:] & (SPACE | NEWLINE)) > 0)
+    line = np.flatnonzero(kind[1:-1] == NEWLINE) + 1
+    line = line[(kind[line - 1] & kind[line + 1] & SHOWN) > 0]
+    cut[line] = cut[line + 1] = True
+    begins = np.flatnonzero(cut)
+    parts = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.r_[begins, len(text)].astype(np.int32)), pa.py_buffer(text))
+    return parts, np.searchsorted(begins, offsets)
+
+
+class Parts:
+    """Parts by number and their ids, in arrays: those of all parts one after another, and how many each has.
+
+    odd: parts that are no pre-tokens of their own, without ids.
+    """
+
+    def __init__(self, entries: int):
+        self.entries, self.turn = entries, 0
+        self.parts = pa.array([], pa.string())
+        self.ids, self.sizes, self.odd, self.used = np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, bool), np.empty(0, np.int64)
+
+    def rows(self, parts: pa.Array) -> np.ndarray:
+        """The parts' numbers; -1: unknown."""
+        return pc.fill_null(pc.index_in(parts, value_set=self.parts), -1).to_numpy(zero_copy_only=False).copy()
+
+    def add(self, parts: list[str], ids: list[bytes | None]) -> None:
+        self.parts = pa.concat_arrays([self.parts, pa.array(parts, pa.string())])
+        self.odd = np.r_[self.odd, np.array([x is None for x in ids], bool)]
+        self.sizes = np.r_[self.sizes, np.array([len(x or b"") // 4 for x in ids], np.int32)]
+        self.ids = np.r_[self.ids, np.frombuffer(b"".join(x or b"" for x in ids), "<u4")]
+        self.used = np.r_[self.used, np.full(len(parts), self.turn)]
+
+    def look(self, rows: np.ndarray) -> None:
+        self.used[rows] = self.turn
+
+    def trim(self) -> None:
+        """Of more parts than `entries`, the half looked up last stays; of this turn's, none that are too long."""
+        self.turn += 1
+        keep = pc.less_equal(pc.utf8_length(self.parts), MEMO_CHARS).to_numpy(zero_copy_only=False)
+        if len(keep) > self.entries:
+            keep = keep.copy()
+            keep[np.argsort(-self.used, kind="stable")[self.entries // 2 :]] = False
+        if not keep.all():
+            self.ids = self.ids[np.repeat(keep, self.sizes)]
+            self.parts = self.parts.filter(pa.array(keep))
+            self.sizes, self.odd, self.used = self.sizes[keep], self.odd[keep], self.used[keep]
+
+
 class MemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    A pre-token starts at every space that a word or mark follows, so a text can be cut before such spaces and each part looked up, as what
-    stands after the space. A part that is empty or starts with white space means a space inside a run; its text takes the pattern itself.
-    encode_many: from pre-tokens to the ids of each, as bytes; encode_words: the same for pre-tokens that are a space and letters. library: whose cuts
-    are wanted, `tiktoken` or `tokenizers`.
+    A pre-token starts at every space that a word or mark follows, at a mark after a word, and at a line end and the character after it between two
+    shown ones; so a text can be cut there and each part looked up. A part that is a space alone, or before white space, means a space inside a run;
+    its text takes the pattern itself.
+    encode_many: from pre-tokens to the ids of each, as bytes; encode_parts: from parts that start with a space, for a library that cuts them itself.
+    library: whose cuts are wanted, `tiktoken` or `tokenizers`.
     """
 
-    def __init__(self, pattern: str, library: str, encode_many: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], Iterable[bytes]] | None = None):
+    def __init__(self, pattern: str, library: str, encode_many: Callable[[list[str]], Iterable[bytes]], encode_parts: Callable[[list[str]], Iterable[bytes]] | None = None):
         compiled = regex.compile(pattern)
         self.find, self.iterate = compiled.findall, compiled.finditer
         self.stand_ins = stand_ins(library)
         self.doubt = re.compile("[" + "".join(map(re.escape, map(chr, sorted(self.stand_ins)))) + "]").search if self.stand_ins else lambda t: None
-        self.encode_many, self.encode_words = encode_many, encode_words or encode_many
-        self.parts, self.pieces = Memo(PART_ENTRIES), Memo(PIECE_ENTRIES)  # from text to ids; None for parts that are no pre-tokens of their own
+        self.encode_many, self.encode_parts = encode_many, encode_parts
+        self.parts, self.pieces = Parts(PART_ENTRIES), Memo(PIECE_ENTRIES)
 
     def doubtful(self, text: str) -> bool:
         """Whether a text has a character that needs a stand-in; Latin-1 has none."""
@@ -123,42 +204,58 @@ class MemoEncoder:
         seen.trim()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        heads, split = [], []
-        apart = {i for i, t in enumerate(texts) if self.doubtful(t)}  # cut as a whole
-        for i, t in enumerate(texts):
-            s = t.split(" ") if i not in apart else [""]
-            heads.append(s[0])
-            del s[0]
-            split.append(s)
-        known = self.parts
-        new = known.unknown(set(chain.from_iterable(split)))
-        # most parts are a word, or a word and one mark, which is a pre-token of its own
-        marked = [p for p in new if p[-1:] in MARKS and p[:-1].isalpha()]
-        words = known.unknown({p for p in new if p.isalpha()}.union([p[:-1] for p in marked]))
-        known.update(zip(words, self.encode_words([" " + p for p in words]) if words else ()))
-        if marked:
-            ids = dict(zip(MARKS, self._pieces(list(MARKS))))
-            known.update([(p, known[p[:-1]] + ids[p[-1]]) for p in marked])
-        rest = [p for p in new if p not in known]
-        odd = [p for p in rest if not p or p[0].isspace()]
-        known.update(dict.fromkeys(odd))
-        plain = [p for p in rest if p not in known]
-        known.update(zip(plain, self._pieces([" " + p for p in plain])))
-        first = self._pieces(heads)
-        out: list[bytes] = []
-        whole = []
-        for i, s in enumerate(split):
-            try:
-                out.append(first[i] + b"".join(map(known.__getitem__, s)))
-            except TypeError:  # None: a space inside a run
-                out.append(b"")
-                whole.append(i)
-        whole += apart
-        for i, ids in zip(whole, self._pieces([texts[i] for i in whole])):
-            out[i] = ids
-        for p in {*new, *words}:
-            if len(p) > MEMO_CHARS:
-                del known[p]
+    def _learn(self, parts: list[str]) -> None:
+        """Take up parts, in this order."""
+        some = self.doubtful("".join(parts))
+        odd = {p for p in parts if (p[0] == " " and (len(p) == 1 or p[1].isspace())) or (some and self.doubtful(p))}
+        ids: dict[str, bytes | None] = dict.fromkeys(odd)
+        sure = [p for p in parts if p not in odd] if odd else parts
+        if self.encode_parts is not None:
+            one, rest = [p for p in sure if p[0] == " "], [p for p in sure if p[0] != " "]
+            ids.update(zip(one, self.encode_parts(one) if one else ()))
+            ids.update(zip(rest, self.encode_many(rest) if rest else ()))
+        else:  # most parts are a pre-token
+            one, rest = [], []
+            for p in sure:
+                (one if (p[1:] if p[0] == " " else p).isalpha() else rest).append(p)
+            ids.update(zip(one, self.encode_many(one) if one else ()))
+            ids.update(zip(rest, self._pieces(rest)))
+        self.parts.add(parts, [ids[p] for p in parts])
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has; null is empty.
+
+        Parts are told apart where they lie in the array; only those that are not known become strings.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        parts, at = parts_of(texts)
+        if not len(parts):
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        held, known = parts.dictionary_encode(), self.parts
+        row = known.rows(held.dictionary)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            row[new] = len(known.parts) + np.arange(len(new))
+            self._learn(held.dictionary.take(pa.array(new)).to_pylist())
+        known.look(row)
+        place = row[held.indices.to_numpy(zero_copy_only=False)]
+        sizes, starts, store = known.sizes, starts_of(known.sizes)[:-1], known.ids
+        apart = np.unique(np.searchsorted(at, np.flatnonzero(known.odd[place]), side="right") - 1) if known.odd.any() else np.empty(0, np.int64)
+        if len(apart):  # cut as a whole
+            own = self._pieces(texts.take(pa.array(apart)).to_pylist())
+            place = np.where(np.isin(np.repeat(np.arange(len(texts)), np.diff(at)), apart), len(sizes) + len(apart), place)
+            place[at[apart]] = len(sizes) + np.arange(len(apart))
+            sizes = np.r_[sizes, np.array([len(x) // 4 for x in own], np.int32), np.zeros(1, np.int32)]
+            store = np.r_[store, np.frombuffer(b"".join(own), "<u4")]
+            starts = starts_of(sizes)[:-1]
+        size = sizes[place]
+        ends = starts_of(size)
+        source = np.repeat((starts[place] - ends[:-1]).astype(np.int32), size)
+        source += np.arange(len(source), dtype=np.int32)
         known.trim()
-        return out
+        return store[source], np.diff(ends[at])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, each = self.encode_array(pa.array(texts, pa.string()))
+        at = starts_of(each).tolist()
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]

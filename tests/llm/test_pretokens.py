@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import copy
 import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -67,3 +69,35 @@ def test_ids_of_tiktoken(ranks):
     doubtful = [chr(c) for c in pretokens.stand_ins("tiktoken")]
     texts += ["".join(rnd.choice(["a", " ", "'s", "1", "\n", "é", rnd.choice(doubtful), chr(0x4E2D)]) for _ in range(30)) for _ in range(500)]
     assert [x.tolist() for x in bpe.encoder(ranks, PATTERN).encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_cuts_at_marks_and_line_ends():
+    """Any mix of words, marks, line ends and spaces has the ids of both libraries, also while parts are forgotten."""
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    rnd = random.Random(3)
+    pieces = ["ab", "Word", "é", "Éa", "ÿ", "中", "12", "'s", "'", ".", ",", "?!", "\n", "\n\n", " ", "  ", "\t", "\r\n", "\x1c", " ", "　", "×", "_", "<|endoftext|>"]
+    texts = ["", " ", "\n", ".", "x", "x.", "x.\n", "\nx", "x\ny", " x \ny", None] + ["".join(rnd.choices(pieces, [4] * 6 + [1] * (len(pieces) - 6) if rnd.random() < 0.5 else None, k=rnd.randrange(1, 25))) for _ in range(6000)]
+    tokenizer.encode_special_tokens = True
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    made = packing.encoder(TOKENIZER, PATTERN)
+    small = copy.copy(made)
+    small.parts = pretokens.Parts(50)
+    for memo in (made, small):
+        got = []
+        for a in range(0, len(texts), 500):
+            ids, each = memo.encode_array(pa.array([None, *texts], pa.string())[a + 1 : a + 501])
+            got += [x.tolist() for x in np.split(ids, np.cumsum(each)[:-1])]
+        assert [t for t, x, y in zip(texts, got, want) if x != y] == []
+    assert len(small.parts.parts) <= 50
+    enc, got = encoding(), bpe.encoder(RANKS, PATTERN).encode([t or "" for t in texts])
+    assert [t for t, x in zip(texts, got) if x.tolist() != enc.encode_ordinary(t or "")] == []
+
+
+def test_what_stands_around_line_ends_is_cut_once():
+    """60 words before and after a line end are 3600 lines, of which the pattern is asked for marks and line ends alone."""
+    fresh, cut = copy.copy(bpe.encoder(RANKS, PATTERN).memo), []
+    find = fresh.find
+    fresh.find = lambda t: cut.append(t) or find(t)
+    words = ["w" + "abcdefghij"[i // 10] + "klmnopqrst"[i % 10] for i in range(60)]
+    fresh.encode([f"x {a}.\n{b} y" for a in words for b in words])
+    assert len(cut) < 100
