@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
-from .common import U64, WordHashes, column, hash_words, mix, open_fs, scratch_path, seeded, starts_of, text_chunks
+from .common import U64, column, mix, open_fs, scratch_path, seeded, starts_of, text_chunks
 
 END = U64(0x5DEECE66D1CE4E5B)
 #: Bits of a word's hash that are kept.
@@ -187,16 +189,27 @@ def is_held_out(doc_ids: list[int | None], folds: int = 5, fold: int = 1) -> np.
     return np.array([zlib.crc32(b"" if d is None else str(d).encode()) % folds == fold for d in doc_ids], bool)
 
 
-def tokens_of(texts: list[bytes], memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words in lower case, an end after each text's), the tokens' contexts, and tokens of each text."""
-    words, counts = hash_words([t.lower() for t in texts], memo)
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, ascending; all tokens (words in lower case, an end after each text's) by their place there; and tokens of each text."""
+    words, counts = words_of(pa.array(texts, pa.binary()).view(pa.string()))
+    held = words.dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, held.dictionary.view(pa.binary()).to_pylist()), U64, len(held.dictionary))
+    distinct, place = np.unique(np.r_[hashes, END], return_inverse=True)
     n = counts + 1
-    out = np.empty(int(n.sum()), U64)
+    out = np.empty(int(n.sum()), np.int64)
     ends = starts_of(n)[1:] - 1
     is_end = np.zeros(len(out), bool)
     is_end[ends] = True
-    out[is_end], out[~is_end] = END, words
-    return out, np.r_[END, out[:-1]], n
+    out[is_end], out[~is_end] = place[-1], place[held.indices.to_numpy(zero_copy_only=False)]
+    return distinct, out, n
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z in lower case, one after another, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, at = split.flatten(), starts_of(split.value_lengths().to_numpy(zero_copy_only=False))
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # none at a text's ends
+    return words.filter(pa.array(some)), np.diff(starts_of(some)[at])
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -357,10 +370,12 @@ def learn_words(df: DataFrame, folder: str, shards: int) -> dict:
     """Count training words and write them; returns what Words needs. df: (doc_id, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for ids, texts in packed(batches):
             train = [t for t, h in zip(texts, is_held_out(ids)) if not h]
-            values, n = np.unique(tokens_of(train, memo)[0], return_counts=True)
+            if not train:
+                continue
+            values, token, _ = tokens_of(train)
+            n = np.bincount(token, minlength=len(values))
             out = [(s, blob(values[a:b], n[a:b])) for s, a, b in ranges(shard_of(values, shards))]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["shard", "data"])
 
@@ -413,13 +428,12 @@ def learn_grams(df: DataFrame, words: dict, shards: int, weight: float, order: i
     bits = max(1, none.bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, level = WordHashes(), Words(**words)
+        level = Words(**words)
         for ids, texts in packed(batches):
             train = [t for t, h in zip(texts, is_held_out(ids)) if not h]
             if not train:
                 continue
-            token, _, each = tokens_of(train, memo)
-            distinct, which = np.unique(token, return_inverse=True)
+            distinct, which, each = tokens_of(train)
             number, held = level.find(distinct)
             token = number[which]
             left = np.repeat(starts_of(each)[1:], each) - np.arange(len(token))  # tokens of the document from here on
@@ -564,10 +578,9 @@ def score(df: DataFrame, model: dict) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, words, trie = WordHashes(), Words(**model["words"]), Trie(**model["grams"])
+        words, trie = Words(**model["words"]), Trie(**model["grams"])
         for ids, texts in packed(batches):
-            token, _, n = tokens_of(texts, memo)
-            distinct, which = np.unique(token, return_inverse=True)
+            distinct, which, n = tokens_of(texts)
             number, counts = words.find(distinct)
             base = words.log10(counts)
             before = np.r_[np.searchsorted(distinct, END), which[:-1]]
@@ -576,7 +589,7 @@ def score(df: DataFrame, model: dict) -> DataFrame:
             log, shard, place = trie.pairs(number[v], number[w], counts[v], base[w], words.total)
             log, shard, place = log[pair_of], shard[pair_of], place[pair_of]
             del before, pair, pair_of, v, w
-            depth = np.arange(len(token)) - np.repeat(starts_of(n)[:-1], n)
+            depth = np.arange(len(which)) - np.repeat(starts_of(n)[:-1], n)
             for k in range(3, trie.order + 1):
                 at = np.flatnonzero(depth >= k - 2)
                 at = at[(place[at - 1] >= 0) & (number[which[at]] < trie.none)]
@@ -585,7 +598,7 @@ def score(df: DataFrame, model: dict) -> DataFrame:
                 unseen = unseen[place[unseen - 1] >= 0]
                 unseen = unseen[np.lexsort((place[unseen - 1], shard[unseen - 1]))]
                 old, above, in_shard = log.copy(), place, shard
-                place, shard = np.full(len(token), -1, np.int64), np.zeros(len(token), np.int64)
+                place, shard = np.full(len(which), -1, np.int64), np.zeros(len(which), np.int64)
                 for rows in (at, unseen):
                     log[rows], place[rows] = trie.extend(k, in_shard[rows - 1], above[rows - 1], number[which[rows]], old[rows])
                     shard[rows] = in_shard[rows - 1]

@@ -402,6 +402,19 @@ def test_elias_fano(values, others):
     assert (ef.find(miss) == -1).all()
 
 
+def test_lm_hashes_each_word_once(monkeypatch):
+    """Words are told apart in the column's bytes, so one that is repeated is hashed once; cut as by bytes.split()."""
+    hashed, plain = [], lm.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(lm.xxhash, "xxh3_64_intdigest", lambda w: hashed.append(w) or plain(w))
+    texts = [b"", b" \t", b"a", " A  b\x0b\x0cc\x1cd\u2003e\x85\r\n É é ".encode(), b"a b " * 500]
+    distinct, place, n = lm.tokens_of(texts)
+    want = [[plain(w) for w in t.lower().split()] + [int(lm.END)] for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    assert distinct[place].tolist() == [h for w in want for h in w]
+    assert distinct.tolist() == sorted({h for w in want for h in w})
+    assert len(hashed) == len(set(hashed))
+
+
 def test_lm_odd_rows(odd, empty):
     got = lm.score_documents(odd).collect()
     assert len(got) == len(odd_docs()) and all(np.isfinite(r["score"]) for r in got)
